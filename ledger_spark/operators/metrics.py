@@ -63,112 +63,89 @@ def ytd_cells(fm: DataFrame) -> DataFrame:
 
 def series_frame(fm: DataFrame, as_of: Column) -> DataFrame:
     """The wide frame; `as_of` is the month that counts as now (a date literal or a scalar subquery)."""
-    frame = cells(fm)
-    actual = F.col("actual").cast("double")
-    in_period = W.partitionBy("company_id", "period_type", "start_date")
-    base = F.max(F.when(F.col("line_item") == RATIO_BASE, F.col("actual"))).over(in_period).cast("double")
-    frame = frame.withColumn("base", base).withColumn(
-        "ratio", F.when(F.col("base") > 0, actual / F.col("base")))
-
-    timeline = W.partitionBy(*SERIES).orderBy("period_seq")
-    back = lambda c, n: F.max(c).over(timeline.rangeBetween(-n, -n))
-    kind = F.col("period_type")
-    series = W.partitionBy(*SERIES)
-    newest_first = W.partitionBy(*SERIES).orderBy(F.col("actual").isNull(), F.desc("period_seq"))
-
-    since = lambda months: F.col("start_date") >= F.add_months(as_of, -months)
-    year_back = F.when(since(12), actual)
-    positive = F.when(since(12) & (F.col("actual") > 0), actual)
-    two_years = F.when(since(24), actual)
-    three_years = F.when(since(36), actual)
-    same_month = W.partitionBy(*SERIES, F.month("start_date"))
-    has = F.col("actual").isNotNull()
-
-    frame = frame.withColumns({
-        "now": as_of,
-        "prev": back("actual", 1),
-        "year_ago": F.when(kind == "Monthly", back("actual", 12)).when(kind == "Quarterly", back("actual", 4))
-                     .otherwise(back("actual", 1)),
-        "prev_ratio": back("ratio", 1),
-        "age": F.when(has, F.row_number().over(newest_first)),
-        "n_12": F.count(year_back).over(series),
-        "mean_12": F.avg(year_back).over(series),
-        "std_12": F.stddev_samp(year_back).over(series),
-        "n_pos": F.count(positive).over(series),
-        "mean_pos": F.avg(positive).over(series),
-        "std_pos": F.stddev_samp(positive).over(series),
-        "n_24": F.count(two_years).over(series),
-        "mean_24": F.avg(two_years).over(series),
-        "std_24": F.stddev_samp(two_years).over(series),
-        "n_season": F.count(three_years).over(same_month),
-        "mean_season": F.avg(three_years).over(same_month),
-    })
+    series = "partition by company_id, line_item, period_type"
+    in_period = "partition by company_id, period_type, start_date"
+    back = lambda c, n: (f"max({c}) over ({series} order by period_seq "
+                         f"range between {n} preceding and {n} preceding)")
+    over = lambda what: f"{what} over ({series})"
+    since = lambda months: f"start_date >= add_months(now, -{months})"
+    value = "cast(actual as double)"
+    year, two_years, three_years = (f"case when {since(m)} then {value} end" for m in (12, 24, 36))
+    positive = f"case when {since(12)} and actual > 0 then {value} end"
     # The last few points of a series, numbered upwards in time: -age rises by one per point.
-    recent = F.when(F.col("age") <= settings.TREND_PERIODS, actual)
-    step = F.when(F.col("age") <= settings.TREND_PERIODS, (-F.col("age")).cast("double"))
-    return frame.withColumns({
-        "n_recent": F.count(recent).over(series),
-        "slope": F.regr_slope(recent, step).over(series),
-        "mean_recent": F.avg(recent).over(series),
-    })
+    recent = f"case when age <= {settings.TREND_PERIODS} then {value} end"
+    step = f"case when age <= {settings.TREND_PERIODS} then cast(-age as double) end"
+    same_month = f"over ({series}, month(start_date))"
+    based = cells(fm).withColumn("now", as_of).selectExpr(
+        "*", f"cast(max(case when line_item = '{RATIO_BASE}' then actual end) over ({in_period}) as double) as base")
+    with_ratio = based.selectExpr("*", f"case when base > 0 then {value} / base end as ratio")
+    placed = with_ratio.selectExpr(
+        "*", f"{back('actual', 1)} as prev",
+        f"case period_type when 'Monthly' then {back('actual', 12)} when 'Quarterly' then {back('actual', 4)} "
+        f"else {back('actual', 1)} end as year_ago",
+        f"{back('ratio', 1)} as prev_ratio",
+        f"case when actual is not null then row_number() over ({series} order by actual is null, period_seq desc) "
+        "end as age",
+        over(f"count({positive})") + " as n_pos", over(f"avg({positive})") + " as mean_pos",
+        over(f"stddev_samp({positive})") + " as std_pos",
+        over(f"count({two_years})") + " as n_24", over(f"avg({two_years})") + " as mean_24",
+        over(f"stddev_samp({two_years})") + " as std_24",
+        f"count({three_years}) {same_month} as n_season", f"avg({three_years}) {same_month} as mean_season")
+    return placed.selectExpr(
+        "*", over(f"count({recent})") + " as n_recent", over(f"regr_slope({recent}, {step})") + " as slope",
+        over(f"avg({recent})") + " as mean_recent")
 
 
 # -- observations ------------------------------------------------------------
 
-def _rules() -> dict[str, tuple[Column, Column, Column, Column]]:
-    """name -> (row condition, current value, reference value, calculated value) over the series frame."""
-    monthly = F.col("period_type") == "Monthly"
-    quarterly = F.col("period_type") == "Quarterly"
-    actual, prev, year_ago = F.col("actual"), F.col("prev"), F.col("year_ago")
-    base = F.col("base")
-    null = F.lit(None).cast("double")
-    since = lambda months: F.col("start_date") >= F.add_months(F.col("now"), -months)
-    newest = F.col("age") == 1
-    spread = F.when((F.col("n_24") >= 12) & (F.col("std_24") > 0), F.col("std_24"))
-    season = F.when(F.col("n_season") >= 2, F.col("mean_season"))
+def _change(current: str, previous: str) -> str:
+    cur, prev = f"cast({current} as double)", f"cast({previous} as double)"
+    return f"try_divide({cur} - {prev}, {prev}) * 100"
+
+
+def _rules() -> dict[str, tuple[str, str, str, str]]:
+    """name -> (row condition, current value, reference value, calculated value) over the series frame, as SQL."""
+    monthly = "period_type = 'Monthly'"
+    since = lambda months: f"start_date >= add_months(now, -{months})"
+    margins = ", ".join(f"'{i}'" for i in MARGIN_ITEMS)
+    season = "case when n_season >= 2 then mean_season end"
+    spread = "case when n_24 >= 12 and std_24 > 0 then std_24 end"
     return {
-        "growth_mom": (monthly, actual, prev, V.pct_change(actual, prev)),
-        "growth_qoq": (quarterly, actual, prev, V.pct_change(actual, prev)),
-        "growth_yoy": (F.col("period_type") != "YTD", actual, year_ago, V.pct_change(actual, year_ago)),
-        "variance_vs_budget": (F.lit(True), actual, F.col("budget"), V.pct_change(actual, F.col("budget"))),
-        "variance_vs_forecast": (F.lit(True), actual, F.col("forecast"),
-                                 V.pct_change(actual, F.col("forecast"))),
-        "trend_direction": (newest & monthly & (F.col("n_recent") >= 3), F.col("slope"), F.col("mean_recent"),
-                            F.try_divide("slope", "mean_recent")),
-        "volatility_measure": (newest & monthly & (F.col("n_pos") >= 6), F.col("std_pos"), F.col("mean_pos"),
-                               F.try_divide("std_pos", "mean_pos")),
-        "seasonal_variance": (monthly & since(3), actual, season, V.pct_change(actual, season)),
-        "absolute_change": (F.lit(True), actual, prev,
-                            F.abs(actual.cast("double") - prev.cast("double"))),
-        "magnitude_check": (monthly & since(1), actual, F.col("mean_24"),
-                            F.try_divide(actual.cast("double") - F.col("mean_24"), spread)),
-        "efficiency_ratio": (F.col("line_item") == EFFICIENCY_ITEM, F.col("ratio"), F.col("prev_ratio"),
-                             F.when(base.isNotNull(), F.col("ratio"))),
-        "margin_analysis": (F.col("line_item").isin(MARGIN_ITEMS), F.col("ratio") * 100,
-                            F.col("prev_ratio") * 100, F.col("ratio") * 100),
+        "growth_mom": (monthly, "actual", "prev", _change("actual", "prev")),
+        "growth_qoq": ("period_type = 'Quarterly'", "actual", "prev", _change("actual", "prev")),
+        "growth_yoy": ("true", "actual", "year_ago", _change("actual", "year_ago")),
+        "variance_vs_budget": ("true", "actual", "budget", _change("actual", "budget")),
+        "variance_vs_forecast": ("true", "actual", "forecast", _change("actual", "forecast")),
+        "trend_direction": (f"{monthly} and age = 1 and n_recent >= 3", "slope", "mean_recent",
+                            "try_divide(slope, mean_recent)"),
+        "volatility_measure": (f"{monthly} and age = 1 and n_pos >= 6", "std_pos", "mean_pos",
+                               "try_divide(std_pos, mean_pos)"),
+        "seasonal_variance": (f"{monthly} and {since(3)}", "actual", season, _change("actual", season)),
+        "absolute_change": ("true", "actual", "prev", "abs(cast(actual as double) - cast(prev as double))"),
+        "magnitude_check": (f"{monthly} and {since(1)}", "actual", "mean_24",
+                            f"try_divide(cast(actual as double) - mean_24, {spread})"),
+        "efficiency_ratio": (f"line_item = '{EFFICIENCY_ITEM}'", "ratio", "prev_ratio", "ratio"),
+        "margin_analysis": (f"line_item in ({margins})", "ratio * 100", "prev_ratio * 100", "ratio * 100"),
     }
 
 
-def _emit(name: str, rule) -> Column:
+def _emit(name: str, rule: tuple[str, str, str, str]) -> str:
     """The observation struct of a rule on its rows, null elsewhere."""
     condition, current, reference, calculated = rule
     number = settings.OBSERVATION_BY_NAME[name][0]
-    return F.when(condition & calculated.isNotNull(), F.struct(
-        F.lit(number).alias("observation_id"), F.lit(name).alias("observation_name"),
-        current.cast("double").alias("current_value"), reference.cast("double").alias("reference_value"),
-        calculated.alias("calculated_value")))
+    return (f"case when {condition} and ({calculated}) is not null then named_struct('observation_id', {number}, "
+            f"'observation_name', '{name}', 'current_value', cast({current} as double), "
+            f"'reference_value', cast({reference} as double), 'calculated_value', {calculated}) end")
 
 
 def observe(fm: DataFrame, as_of: Column, names: list[str] | None = None) -> DataFrame:
     """Rows of the named observations (all but YTD by default), before any materiality filter."""
     rules = _rules()
-    chosen = [n for n in (names or rules) if n in rules]
-    structs = F.filter(F.array(*[_emit(n, rules[n]) for n in chosen]), lambda o: o.isNotNull())
+    structs = ", ".join(_emit(n, rules[n]) for n in (names or rules) if n in rules)
     return (series_frame(fm, as_of)
-            .select("company_id", F.col("line_item").alias("metric_name"), "period_type", "period_label",
-                    F.explode(structs).alias("o"))
-            .select("o.observation_id", "o.observation_name", "company_id", "metric_name", "period_type",
-                    "period_label", "o.current_value", "o.reference_value", "o.calculated_value"))
+            .selectExpr("company_id", "line_item as metric_name", "period_type", "period_label",
+                        f"inline(filter(array({structs}), o -> o is not null))")
+            .select(*OBS))
 
 
 def ytd_growth(fm: DataFrame) -> DataFrame:
@@ -190,41 +167,38 @@ def all_observations(fm: DataFrame, as_of: Column) -> DataFrame:
 
 # -- materiality and weights -------------------------------------------------
 
-def threshold(observation: Column, metric: Column) -> Column:
-    """Metric override, else the observation's own, else the default; rows in other units use their own only."""
-    override = F.lit(None).cast("double")
-    for name, value in settings.METRIC_MATERIALITY.items():
-        override = F.when(metric == name, F.lit(value)).otherwise(override)
-    result = F.lit(None).cast("double")
-    for _, name, unit, own, *_ in settings.OBSERVATIONS:
-        own_or_default = F.lit(settings.DEFAULT_MATERIALITY if own is None else own)
-        value = F.coalesce(override, own_or_default) if unit == "pct" else own_or_default
-        result = F.when(observation == name, value).otherwise(result)
-    return result
+def _names(unit: str) -> str:
+    return ", ".join(f"'{o[1]}'" for o in settings.OBSERVATIONS if o[2] == unit)
+
 
+def threshold(override: float | None = None) -> Column:
+    """The limit of an observation row in its own unit.
 
-def _by_unit(observation: Column, unit: str) -> Column:
-    return observation.isin([o[1] for o in settings.OBSERVATIONS if o[2] == unit])
+    Percentages: metric override, else the observation's own, else the default, times 100; an explicit
+    `override` (already in %) replaces all of these.  Rows in other units use their own parameter only.
+    """
+    by_metric = " ".join(f"when '{m}' then {v}D" for m, v in settings.METRIC_MATERIALITY.items())
+    own = " ".join(f"when '{o[1]}' then {o[3]}D" for o in settings.OBSERVATIONS if o[3] is not None)
+    default = settings.DEFAULT_MATERIALITY
+    own_or_default = f"case observation_name {own} else {default}D end"
+    pct = f"{override}D" if override is not None else \
+        f"100 * coalesce(case metric_name {by_metric} end, {own_or_default})"
+    return F.expr(f"case when observation_name in ({_names('pct')}) then {pct} else {own_or_default} end")
 
 
 def materiality_filter(obs: DataFrame, override: float | None = None) -> DataFrame:
-    """Material rows only, with the `threshold` they passed; `override` replaces every percentage threshold."""
-    name, value = F.col("observation_name"), F.col("calculated_value")
-    limit = threshold(name, F.col("metric_name"))
-    if override is not None:
-        limit = F.when(_by_unit(name, "pct"), F.lit(override / 100)).otherwise(limit)
-    limit = F.when(_by_unit(name, "pct"), limit * 100).otherwise(limit)
-    size = F.when(_by_unit(name, "ratio"), F.abs(value - 1)).otherwise(F.abs(value))
-    return obs.withColumn("threshold", limit).where(size >= F.col("threshold"))
+    """Material rows only, with the `threshold` they passed."""
+    size = f"case when observation_name in ({_names('ratio')}) then abs(calculated_value - 1) " \
+           "else abs(calculated_value) end"
+    return obs.withColumn("threshold", threshold(override)).where(f"{size} >= threshold")
 
 
 def derived_rows(obs: DataFrame) -> DataFrame:
     """Observation rows in the shape of the derived-metric table."""
-    calc = F.lit(None).cast("string")
-    for o in settings.OBSERVATIONS:
-        calc = F.when(F.col("observation_name") == o[1], F.lit(o[6])).otherwise(calc)
+    calc = F.expr("case observation_name " + " ".join(
+        f"when '{o[1]}' then '{o[6]}'" for o in settings.OBSERVATIONS) + " end")
     base = V.row_hash(F.col("company_id"), F.col("period_label"), F.col("metric_name"), F.lit("Actual"), F.lit(""))
-    pct = _by_unit(F.col("observation_name"), "pct")
+    pct = F.expr(f"observation_name in ({_names('pct')})")
     return obs.select(
         "company_id", "period_label", "metric_name", calc.alias("calculation_type"),
         base.alias("base_metric_id"), F.col("calculated_value").cast("decimal(28,4)").alias("calculated_value"),
@@ -235,12 +209,9 @@ def derived_rows(obs: DataFrame) -> DataFrame:
 
 def weighted(obs: DataFrame) -> DataFrame:
     """Observations with importance, family weight and their product."""
-    importance, weight = F.lit(None).cast("int"), F.lit(None).cast("double")
-    for o in settings.OBSERVATIONS:
-        here = F.col("observation_name") == o[1]
-        importance = F.when(here, F.lit(o[4])).otherwise(importance)
-        weight = F.when(here, F.lit(o[7])).otherwise(weight)
-    return obs.withColumns({"importance": importance, "family_weight": weight}) \
+    pick = lambda i, kind: F.expr("case observation_name " + " ".join(
+        f"when '{o[1]}' then cast({o[i]} as {kind})" for o in settings.OBSERVATIONS) + " end")
+    return obs.withColumns({"importance": pick(4, "int"), "family_weight": pick(7, "double")}) \
               .withColumn("score", F.col("importance") * F.col("family_weight"))
 
 

@@ -19,46 +19,56 @@ def match_templates(obs: DataFrame, tpl: DataFrame | None = None) -> DataFrame:
     return obs.join(tpl.drop("template_text"), "observation_id")
 
 
-def _text_values() -> dict[str, Column]:
-    """What a template placeholder may stand for, as text columns over an observation row."""
-    cur, ref, calc = F.col("current_value"), F.col("reference_value"), F.col("calculated_value")
-    gap = cur - F.coalesce(ref, F.lit(0.0))
-    pct = F.coalesce(V.pct_change(cur, ref), F.lit(0.0))
+def _money(x: str) -> str:
+    return f"concat('$', format_number(coalesce(cast({x} as double), 0D), 2))"
+
+
+def _short(x: str, places: int) -> str:
+    text = f"cast(cast(coalesce({x}, 0D) as decimal(30,{places})) as string)"
+    return f"regexp_replace({text}, '([.][0-9]+?)0+$', '$1')" if places > 1 else text
+
+
+def _text_values() -> dict[str, str]:
+    """What a template placeholder stands for, as SQL text over an observation row."""
+    gap = "(current_value - coalesce(reference_value, 0D))"
     return {
-        "metric_name": F.col("metric_name"),
-        "pct": V.short_decimal(pct, 2),
-        "cur": V.format_currency(cur), "ref": V.format_currency(ref),
-        "gap": V.format_currency(gap), "abs_gap": V.format_abs(gap),
-        "abs_gap_1": V.short_decimal(F.abs(F.when(ref.isNotNull(), gap)), 1),
-        "calc_1": V.short_decimal(calc, 1), "calc_2": V.short_decimal(calc, 2),
-        "calc100_1": V.short_decimal(calc * 100, 1), "calc_money": V.format_currency(calc),
-        "trend_periods": F.lit(str(settings.TREND_PERIODS)),
+        "metric_name": "metric_name",
+        "pct": _short("try_divide(current_value - reference_value, reference_value) * 100", 2),
+        "cur": _money("current_value"), "ref": _money("reference_value"),
+        "gap": _money(gap), "abs_gap": _money(f"abs{gap}"),
+        "abs_gap_1": _short("abs(current_value - reference_value)", 1),
+        "calc_1": _short("calculated_value", 1), "calc_2": _short("calculated_value", 2),
+        "calc100_1": _short("calculated_value * 100", 1), "calc_money": _money("calculated_value"),
+        "trend_periods": f"'{settings.TREND_PERIODS}'",
     }
 
 
-def compile_template(text: str) -> Column:
-    """A template as one concat expression; `{up:a|b}` and `{pos:a|b}` choose a word."""
+_TESTS = {"up": "coalesce(current_value > reference_value, false)", "pos": "calculated_value > 0"}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def compile_template(text: str) -> str:
+    """A template as one SQL concat; `{up:a|b}` and `{pos:a|b}` choose a word."""
     values = _text_values()
-    tests = {"up": F.coalesce(F.col("current_value") > F.col("reference_value"), F.lit(False)),
-             "pos": F.col("calculated_value") > 0}
     parts = []
     for literal, name, choice, _ in string.Formatter().parse(text):
         if literal:
-            parts.append(F.lit(literal))
-        if name in tests:
+            parts.append(_quoted(literal))
+        if name in _TESTS:
             yes, no = choice.split("|")
-            parts.append(F.when(tests[name], F.lit(yes)).otherwise(F.lit(no)))
+            parts.append(f"case when {_TESTS[name]} then {_quoted(yes)} else {_quoted(no)} end")
         elif name:
             parts.append(values[name])
-    return F.concat(*parts)
+    return f"concat({', '.join(parts)})"
 
 
 def render(df: DataFrame, templates: list[tuple] = settings.TEMPLATES) -> DataFrame:
     """Add `question_text`: each template is compiled once and selected by its id."""
-    text = F.lit(None).cast("string")
-    for number, *_, body in templates:
-        text = F.when(F.col("template_id") == number, compile_template(body)).otherwise(text)
-    return df.withColumn("question_text", text)
+    branches = " ".join(f"when {number} then {compile_template(body)}" for number, *_, body in templates)
+    return df.withColumn("question_text", F.expr(f"case template_id {branches} end"))
 
 
 def top_questions(matched: DataFrame, k: int = settings.MAX_QUESTIONS) -> DataFrame:

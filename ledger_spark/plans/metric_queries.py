@@ -176,11 +176,13 @@ def trend_slope(t: Tables):
   SELECT company_id, line_item, period_type, value_type, avg(CAST(value AS DOUBLE)) AS m,
          stddev_samp(CAST(value AS DOUBLE)) AS s FROM fm GROUP BY ALL)
 SELECT {big('f.company_id', 'company_id')}, f.line_item, f.period_type, f.period_label, f.value_type, {r4('f.value', 'value')},
-  {r4('s.m', 'mean_value')}, {r4('s.s', 'std_value')}
+  {r4('(CAST(f.value AS DOUBLE) - s.m) / s.s', 'z_score')}
 FROM fm f JOIN s USING (company_id, line_item, period_type, value_type)
 WHERE abs(CAST(f.value AS DOUBLE) - s.m) > 2 * s.s""")
 def outlier_flags(t: Tables):
-    return M.outliers(t.fm, k=2.0).where("is_outlier").drop("is_outlier", "start_date", "period_seq")
+    z = (F.col("value").cast("double") - F.col("mean_value")) / F.col("std_value")
+    return M.outliers(t.fm, k=2.0).where("is_outlier").select(
+        "company_id", "line_item", "period_type", "period_label", "value_type", "value", z.alias("z_score"))
 
 
 @query("materiality_filter", sql=_material_sql("growth_mom", "variance_vs_budget", "variance_vs_forecast"))

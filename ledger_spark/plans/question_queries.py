@@ -100,7 +100,7 @@ def question_records(t: Tables):
 @query("format_helpers", sql=f"""SELECT {big('l_orderkey', 'l_orderkey')}, {big('l_linenumber', 'l_linenumber')},
   {_short('(l_extendedprice - l_quantity * 1000) / l_extendedprice * 100', 2)} AS percent_text,
   {_money('l_extendedprice')} AS currency_text, {_money('abs(l_quantity * 1000 - l_extendedprice)')} AS abs_text,
-  {_short('l_extendedprice / 7', 1)} AS smart_text, CASE WHEN l_tax > 0.04 THEN 'above' ELSE 'below' END AS choice
+  {_short('sqrt(l_extendedprice)', 1)} AS smart_text, CASE WHEN l_tax > 0.04 THEN 'above' ELSE 'below' END AS choice
 FROM lineitem""")
 def format_helpers(t: Tables):
     price, floor = F.col("l_extendedprice"), F.col("l_quantity") * 1000
@@ -108,7 +108,7 @@ def format_helpers(t: Tables):
         "l_orderkey", "l_linenumber",
         V.short_decimal(F.try_divide(price - floor, price) * 100, 2).alias("percent_text"),
         V.format_currency(price).alias("currency_text"), V.format_abs(floor - price).alias("abs_text"),
-        V.short_decimal(price / 7, 1).alias("smart_text"),
+        V.short_decimal(F.sqrt(price), 1).alias("smart_text"),
         F.when(F.col("l_tax") > 0.04, "above").otherwise("below").alias("choice"))
 
 

@@ -77,41 +77,41 @@ class Tables:
     def ship_months(self) -> DataFrame:
         """One aggregation of all lines to (company, month, value type) with the three measures.
 
-        Supplier is joined by whatever way fits its size; the company sums are combined before the shuffle.
+        Amounts are whole cents and whole percents, so a line's measures are integers in units of 0.0001.
+        They are summed in two parts, millions and rest, which keeps every sum exact in a long for up to
+        9e12 lines a group; decimals appear only on the few group rows.  Supplier is joined by whatever way
+        fits its size, and the sums combine before the shuffle.
         """
-        px = F.col("l_extendedprice").cast("decimal(15,2)")
-        disc, tax = F.col("l_discount").cast("decimal(4,2)"), F.col("l_tax").cast("decimal(4,2)")
-        value_type = (F.when(F.col("l_returnflag") == "A", "Actual").when(F.col("l_returnflag") == "N", "Budget")
-                       .otherwise("Forecast"))
-        one = F.lit(1)
-        return (self("lineitem").join(self("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-                .groupBy(F.col("s_nationkey").alias("company_id"),
-                         F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month"),
-                         value_type.alias("value_type"))
-                .agg(F.sum(px).alias("revenue"),
-                     F.sum((px * (one - disc)).cast("decimal(18,4)")).alias("gross"),
-                     F.sum((px * (one - disc - tax)).cast("decimal(18,4)")).alias("ebitda")))
+        lines = self("lineitem").join(self("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).selectExpr(
+            "s_nationkey as company_id", "trunc(cast(l_shipdate as date), 'month') as month",
+            "case l_returnflag when 'A' then 'Actual' when 'N' then 'Budget' else 'Forecast' end as value_type",
+            "cast(rint(l_extendedprice * 100) as long) as cents",
+            "cast(rint(l_discount * 100) as long) as disc", "cast(rint(l_tax * 100) as long) as tax")
+        units = {"revenue": "cents * 100", "gross": "cents * (100 - disc)", "ebitda": "cents * (100 - disc - tax)"}
+        parts = [F.expr(f"sum(({x}) {op} 1000000)").alias(f"{name}_{half}") for name, x in units.items()
+                 for half, op in (("high", "div"), ("low", "%"))]
+        whole = [f"cast(cast({n}_high as decimal(20,0)) * 100 + cast({n}_low as decimal(20,0)) * 0.0001 "
+                 f"as decimal(30,4)) as {n}" for n in units]
+        return lines.groupBy("company_id", "month", "value_type").agg(*parts) \
+                    .selectExpr("company_id", "month", "value_type", *whole)
 
     def _facts(self, kinds: list[tuple[str, str]]) -> DataFrame:
         months = self.ship_months
         if [k for k, _ in kinds] == ["Monthly"]:
-            rolled = months.select("company_id", F.lit("Monthly").alias("period_type"),
-                                   F.col("month").alias("start_date"), "value_type", "revenue", "gross", "ebitda")
+            rolled = months.selectExpr("company_id", "'Monthly' as period_type", "month as start_date", "value_type",
+                                       "revenue", "gross", "ebitda")
         else:
-            spans = F.array(*[F.struct(F.lit(kind).alias("period_type"), F.trunc("month", unit).alias("start_date"))
-                              for kind, unit in kinds])
-            rolled = (months.withColumn("p", F.explode(spans))
-                            .groupBy("company_id", F.col("p.period_type").alias("period_type"),
-                                     F.col("p.start_date").alias("start_date"), "value_type")
+            spans = ", ".join(f"named_struct('period_type', '{kind}', 'start_date', trunc(month, '{unit}'))"
+                              for kind, unit in kinds)
+            rolled = (months.selectExpr("*", f"inline(array({spans}))")
+                            .groupBy("company_id", "period_type", "start_date", "value_type")
                             .agg(*[F.sum(c).alias(c) for c in ("revenue", "gross", "ebitda")]))
-        measures = F.array(*[F.struct(F.lit(item).alias("line_item"), F.col(c).cast(FACT_VALUE).alias("value"))
-                             for item, c in (("Revenue", "revenue"), ("Gross Profit", "gross"), ("EBITDA", "ebitda"))])
+        measures = ", ".join(f"named_struct('line_item', '{item}', 'value', cast({c} as {FACT_VALUE}))" for item, c in (
+            ("Revenue", "revenue"), ("Gross Profit", "gross"), ("EBITDA", "ebitda")))
         kind, first = F.col("period_type"), F.col("start_date")
-        return (rolled.withColumn("m", F.explode(measures))
-                      .select("company_id", F.col("m.line_item").alias("line_item"), kind,
-                              P.period_label(first, kind).alias("period_label"), first,
-                              P.period_seq(first, kind).alias("period_seq"), "value_type",
-                              F.col("m.value").alias("value")))
+        return (rolled.selectExpr("*", f"inline(array({measures}))")
+                      .select("company_id", "line_item", kind, P.period_label(first, kind).alias("period_label"),
+                              first, P.period_seq(first, kind).alias("period_seq"), "value_type", "value"))
 
     @property
     def fm(self) -> DataFrame:
