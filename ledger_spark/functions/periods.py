@@ -17,45 +17,48 @@ def clean_period(c: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"^(?i)({prefixes})", ""))
 
 
-def month_number(c: Column) -> Column:
-    """1-12 from text that starts with a month name (any case), else null."""
-    head = F.lower(F.substring(c, 1, 3))
-    number = F.lit(None).cast("int")
-    for i, name in enumerate(settings.MONTHS, start=1):
-        number = F.when(head == name[:3].lower(), F.lit(i)).otherwise(number)
-    return number
+_MONTH_CODES = "".join(m[:3].lower() for m in settings.MONTHS)
+_MONTH_NAMES = "|".join(m[:3].lower() for m in settings.MONTHS)
 
 
-def full_year(c: Column) -> Column:
-    """A two-digit year is read as 20YY; four digits stand."""
-    return F.when(F.length(c) == 2, F.concat(F.lit("20"), c)).when(F.length(c) == 4, c)
+def month_number(code: Column) -> Column:
+    """1-12 from a three-letter month code in lower case."""
+    return ((F.position(code, F.lit(_MONTH_CODES)) + 2) / 3).cast("int")
 
 
 def month_label(year: Column, month: Column) -> Column:
     return F.concat(year, F.lit("-"), F.lpad(month.cast("string"), 2, "0"))
 
 
-def parse_period_pattern(cleaned: Column) -> Column:
-    """Struct (period_label, period_type) by the six anchored patterns; null when none fits."""
-    names = "|".join(m[:3].lower() for m in settings.MONTHS)
-    iso_month = r"^([0-9]{4})[-/](0[1-9]|1[0-2])$"
-    named_month = rf"^(?i)({names})[a-z]*\s+([0-9]{{4}})$"
-    iso_quarter = r"^(?i)([0-9]{4})-q([1-4])$"
-    quarter_first = r"^(?i)(?:q([1-4])|([1-4])q)\s*([0-9]{4})$"
-    year_only = r"^[0-9]{4}$"
-    fiscal = r"^(?i)(?:fy|cy)([0-9]{2}|[0-9]{4})$"
+def canonical_text(cleaned_lc: Column) -> Column:
+    """The six written forms turned into 'yyyy-mm', 'yyyy-mon', 'yyyy-qn' or 'yyyy' by a chain of rewrites.
+
+    Whole-text rewrites exclude each other, so their order does not matter; other text passes unchanged.
+    A two-digit fiscal year is read as 20YY.
+    """
+    text = cleaned_lc
+    for pattern, form in ((r"^([0-9]{4})/([0-9]{2})$", "$1-$2"),
+                          (rf"^({_MONTH_NAMES})[a-z]*\s+([0-9]{{4}})$", "$2-$1"),
+                          (r"^q([1-4])\s*([0-9]{4})$", "$2-q$1"),
+                          (r"^([1-4])q\s*([0-9]{4})$", "$2-q$1"),
+                          (r"^(?:fy|cy)([0-9]{4})$", "$1"),
+                          (r"^(?:fy|cy)([0-9]{2})$", "20$1")):
+        text = F.regexp_replace(text, pattern, form)
+    return text
+
+
+def parse_canonical(text: Column) -> Column:
+    """Struct (period_label, period_type) from the rewritten text; null when it is no period."""
+    year = F.substring(text, 1, 4)
 
     def out(label: Column, kind: str) -> Column:
         return F.struct(label.alias("period_label"), F.lit(kind).alias("period_type"))
 
-    part = lambda pattern, group: F.regexp_extract(cleaned, pattern, group)
-    quarter = F.coalesce(F.nullif(part(quarter_first, 1), F.lit("")), part(quarter_first, 2))
-    return (F.when(cleaned.rlike(iso_month), out(F.concat(part(iso_month, 1), F.lit("-"), part(iso_month, 2)), "Monthly"))
-             .when(cleaned.rlike(named_month), out(month_label(part(named_month, 2), month_number(cleaned)), "Monthly"))
-             .when(cleaned.rlike(iso_quarter), out(F.concat(part(iso_quarter, 1), F.lit("-Q"), part(iso_quarter, 2)), "Quarterly"))
-             .when(cleaned.rlike(quarter_first), out(F.concat(part(quarter_first, 3), F.lit("-Q"), quarter), "Quarterly"))
-             .when(cleaned.rlike(year_only), out(cleaned, "Yearly"))
-             .when(cleaned.rlike(fiscal), out(full_year(part(fiscal, 1)), "Yearly")))
+    return (F.when(text.rlike("^[0-9]{4}$"), out(text, "Yearly"))
+             .when(text.rlike("^[0-9]{4}-q[1-4]$"), out(F.upper(text), "Quarterly"))
+             .when(text.rlike("^[0-9]{4}-(0[1-9]|1[0-2])$"), out(text, "Monthly"))
+             .when(text.rlike(f"^[0-9]{{4}}-({_MONTH_NAMES})$"),
+                   out(month_label(year, month_number(F.substring(text, 6, 3))), "Monthly")))
 
 
 def period_start(label: Column, kind: Column) -> Column:
@@ -111,9 +114,8 @@ def parse_period(raw: Column, as_of: Column, kind: Column | None = None,
         return out(ptype, label, start, period_end(start, ptype))
 
     quarter = F.regexp_extract(text, r"(?i)q([1-4])", 1)
-    month = F.lit(None).cast("int")
-    for i, name in reversed(list(enumerate(settings.MONTHS, start=1))):
-        month = F.when(F.upper(text).contains(name[:3].upper()), F.lit(i)).otherwise(month)
+    named = F.regexp_extract_all(F.lower(text), F.lit(f"({_MONTH_NAMES})"), F.lit(1))
+    month = F.array_min(F.transform(named, month_number))
     written = F.lit(None).cast("date")
     for fmt in reversed(settings.DATE_FORMATS):
         written = F.coalesce(F.try_to_date(text, fmt), written)

@@ -25,19 +25,14 @@ def rlike_any(c: Column, words: list[str]) -> Column:
 # -- money and numbers -------------------------------------------------------
 
 def parse_money(c: Column, signs: str = settings.CURRENCY_SIGNS, to: str = MONEY) -> Column:
-    """'$1,234.50' -> 1234.50, '(5)' -> -5, '-5' -> -5; anything else -> null."""
-    bare = F.regexp_replace(F.trim(c), f"[{signs},\\s]", "")
-    bracketed = bare.rlike(r"^\(.*\)$")
-    digits = F.regexp_replace(bare, r"^\(|\)$", "")
-    number = F.when(digits.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), digits).try_cast(to)
-    return F.when(bracketed, -number).otherwise(number).cast(to)
+    """'$1,234.50' -> 1234.50, '(5)' and '(-5)' -> -5, '-5' -> -5; anything else -> null."""
+    bare = F.regexp_replace(c, f"[{signs},\\s]", "")
+    return F.regexp_replace(bare, r"^\(-?(.*)\)$", "-$1").try_cast(to)
 
 
 def clean_numeric(c: Column) -> Column:
     """Struct (number double, is_integer): the loose cleaner, which keeps an inner sign."""
-    bare = F.trim(F.regexp_replace(c, "[,$€£]", ""))
-    signed = F.when(bare.rlike(r"^\(.*\)$"), F.concat(F.lit("-"), F.regexp_replace(bare, r"^\(|\)$", "")))
-    text = F.coalesce(signed, bare)
+    text = F.regexp_replace(F.trim(F.regexp_replace(c, "[,$€£]", "")), r"^\((.*)\)$", "-$1")
     number = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), text).try_cast("double")
     return F.struct(number.alias("number"),
                     F.when(number.isNotNull(), ~text.contains(".")).alias("is_integer"))

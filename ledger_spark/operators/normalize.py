@@ -14,22 +14,25 @@ REASONS = ["incomplete", "period", "period_id", "line_item", "value"]
 
 def resolve_alias(df: DataFrame, aliases: DataFrame, column: str = "period_label") -> DataFrame:
     """Add `alias_label`, `alias_type` for labels the alias dimension knows (any case, cleaned)."""
-    known = aliases.select(F.col("alias_lc").alias("_alias"), F.col("period_label").alias("alias_label"),
+    known = aliases.select(F.col("alias_lc").alias("_clean"), F.col("period_label").alias("alias_label"),
                            F.col("period_type").alias("alias_type"))
-    return df.join(known, F.lower(P.clean_period(F.col(column))) == F.col("_alias"), "left").drop("_alias")
+    return df.withColumn("_clean", F.lower(P.clean_period(F.col(column)))).join(known, "_clean", "left") \
+             .drop("_clean")
 
 
 def resolve_period(df: DataFrame, aliases: DataFrame | None = None,
                    column: str = "period_label") -> DataFrame:
     """Add `canonical_label`, `canonical_type`: alias first, then the anchored patterns."""
-    pattern = P.parse_period_pattern(P.clean_period(F.col(column)))
+    text = df.withColumn("_clean", F.lower(P.clean_period(F.col(column)))) \
+             .withColumn("_text", P.canonical_text(F.col("_clean"))) \
+             .withColumn("_p", P.parse_canonical(F.col("_text"))).drop("_text")
     if aliases is None:
-        return df.withColumn("_p", pattern).select(
-            *df.columns, F.col("_p.period_label").alias("canonical_label"),
-            F.col("_p.period_type").alias("canonical_type"))
-    found = resolve_alias(df, aliases, column).withColumn("_p", pattern)
-    return found.select(*df.columns, F.coalesce("alias_label", "_p.period_label").alias("canonical_label"),
-                        F.coalesce("alias_type", "_p.period_type").alias("canonical_type"))
+        label, kind = F.col("_p.period_label"), F.col("_p.period_type")
+    else:
+        text = text.join(aliases.select(F.col("alias_lc").alias("_clean"), F.col("period_label").alias("_label"),
+                                        F.col("period_type").alias("_type")), "_clean", "left")
+        label, kind = F.coalesce("_label", "_p.period_label"), F.coalesce("_type", "_p.period_type")
+    return text.select(*df.columns, label.alias("canonical_label"), kind.alias("canonical_type"))
 
 
 def period_bounds(df: DataFrame, label: str = "period_label", kind: str = "period_type") -> DataFrame:
@@ -62,11 +65,12 @@ def judge(mapped: DataFrame, items: DataFrame, aliases: DataFrame | None = None)
 
     One frame serves both sides of the split, so accepted and rejected rows always add up.
     """
-    known = resolve_line_item(resolve_period(mapped, aliases), items)
+    dated = resolve_period(mapped, aliases)
     start = P.period_start(F.col("canonical_label"), F.col("canonical_type"))
-    amount = V.parse_money(F.col("value"))
+    parsed = dated.withColumns({"start_date": start, "amount": V.parse_money(F.col("value"))})
     blank = lambda c: F.col(c).isNull() | (F.col(c) == "")
-    return known.withColumns({"start_date": start, "amount": amount}).withColumn(
+    # Parsed columns lie below the line-item joins, so a filter on `reason` does not repeat the parsing.
+    return resolve_line_item(parsed, items).withColumn(
         "reason",
         F.when(blank("line_item") | blank("period_label") | F.col("value").isNull(), "incomplete")
          .when(F.col("canonical_label").isNull(), "period")
