@@ -230,18 +230,23 @@ def recent_alerts(alerts: DataFrame, since: Column) -> DataFrame:
 
 # -- rate limiting -----------------------------------------------------------
 
-def decide(times, limit: int, window: int, held: deque | None = None) -> list[bool]:
-    """Allow while fewer than `limit` allowed requests lie in the last `window`; denied ones do not count."""
-    held = deque() if held is None else held
-    out = []
-    for t in times:
-        while held and t - held[0] >= window:
-            held.popleft()
-        ok = len(held) < limit
-        if ok:
-            held.append(t)
-        out.append(ok)
-    return out
+def decider(limit: int, window: int):
+    """A function (times, held) -> decisions: allow while fewer than `limit` allowed times lie in the last
+    `window`; denied ones do not count.  `held` is the deque of allowed times and is carried by the caller.
+
+    It is built here as a closure, so that tasks get it by value and need not import this package.
+    """
+    def decide(times, held):
+        out = []
+        for t in times:
+            while held and t - held[0] >= window:
+                held.popleft()
+            ok = len(held) < limit
+            if ok:
+                held.append(t)
+            out.append(ok)
+        return out
+    return decide
 
 
 def rate_limit(ev: DataFrame, limit: int, seconds: int, client: str = "client") -> DataFrame:
@@ -273,6 +278,8 @@ def rate_limit(ev: DataFrame, limit: int, seconds: int, client: str = "client")
         .alias("_bucket"))
     placed = rows.join(members, ["client", "_bucket"], "left")
 
+    decide = decider(limit, window)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, held = None, deque()
         for pdf in batches:
@@ -280,7 +287,7 @@ def rate_limit(ev: DataFrame, limit: int, seconds: int, client: str = "client")
             for key, part in pdf.groupby(["client", "_stretch"], sort=False):
                 if key != current:
                     current, held = key, deque()
-                allowed += decide(part["_micros"].tolist(), limit, window, held)
+                allowed += decide(part["_micros"].tolist(), held)
             yield pdf[["event_id", "client", "ts"]].assign(allowed=allowed)
 
     chained = (placed.where(F.col("_stretch").isNotNull())

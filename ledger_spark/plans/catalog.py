@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ledger_spark.plans import ingest_queries, metric_queries, quality_queries, question_queries, registry  # noqa: F401
+from ledger_spark.plans import (event_queries, ingest_queries, metric_queries, quality_queries, question_queries,
+                                registry, text_queries)  # noqa: F401
 
 
 def queries() -> dict:

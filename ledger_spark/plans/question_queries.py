@@ -92,9 +92,16 @@ def question_summary(t: Tables):
     return Q.question_summary(t.questions)
 
 
-@query("question_records")
+@query("question_records", sql=f"""WITH {RENDERED_SQL} SELECT {big('company_id', 'company_id')}, question_text, category,
+  {big('5', 'priority')}, CAST(template_id AS VARCHAR) AS template_id, metric_name, period_label,
+  {r4('calculated_value', 'calculated_value')} FROM rendered""")
 def question_records(t: Tables):
-    return Q.question_rows(Q.render(t.questions))
+    """Question rows, with some fields read back out of their JSON context."""
+    field = lambda path: F.get_json_object("metric_context", path)
+    return Q.question_rows(Q.render(t.questions)).select(
+        "company_id", "question_text", "category", "priority", field("$.template_id").alias("template_id"),
+        field("$.context.metric_name").alias("metric_name"), field("$.context.period_label").alias("period_label"),
+        field("$.context.calculated_value").try_cast("double").alias("calculated_value"))
 
 
 @query("format_helpers", sql=f"""SELECT {big('l_orderkey', 'l_orderkey')}, {big('l_linenumber', 'l_linenumber')},

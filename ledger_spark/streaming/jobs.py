@@ -123,7 +123,7 @@ def stream_repeated_alerts(errors: DataFrame, at_least: int, keep: str, lateness
 
 def stream_rate_limit(ev: DataFrame, limit: int, seconds: int, lateness: str, client: str = "client") -> DataFrame:
     """Allow or deny each request as it arrives; state is the last allowed times of a client, at most `limit`."""
-    window = seconds * 1_000_000
+    decide = E.decider(limit, seconds * 1_000_000)
 
     def judge(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -131,8 +131,8 @@ def stream_rate_limit(ev: DataFrame, limit: int, seconds: int, lateness: str, cl
             return
         held = deque(state.get[0] if state.exists else [])
         pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        micros = (pdf["ts"].astype("int64") // (1 if pdf["ts"].dtype.name.startswith("datetime64[us") else 1000)).tolist()
-        allowed = E.decide(micros, limit, window, held)
+        micros = pdf["ts"].astype("datetime64[us]").astype("int64").tolist()
+        allowed = decide(micros, held)
         state.update((list(held),))
         state.setTimeoutTimestamp(max(micros[-1] // 1000, state.getCurrentWatermarkMs()) + seconds * 1000)
         yield pd.DataFrame({"event_id": pdf["event_id"], "client": key[0], "ts": pdf["ts"], "allowed": allowed})
