@@ -32,12 +32,15 @@ def query(name: str, sql: str | None = None):
 
 
 def finish(df: DataFrame) -> DataFrame:
-    """Decimals and doubles to doubles of four places, dates to text, arrays to comma-joined text."""
+    """Decimals and doubles to doubles of four places, dates to text, arrays to comma-joined text.
+
+    Rounding goes by way of eight places, so that the last bit of a sum does not decide an exact half.
+    """
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DecimalType, T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 4) + F.lit(0.0)
+            c = F.round(F.round(c.cast("double"), 8), 4) + F.lit(0.0)
         elif isinstance(f.dataType, T.DateType):
             c = c.cast("string")
         elif isinstance(f.dataType, T.ArrayType):
@@ -52,7 +55,7 @@ def finish(df: DataFrame) -> DataFrame:
 
 def r4(expression: str, alias: str) -> str:
     """SQL side of `finish` for numbers."""
-    return f"round(CAST({expression} AS DOUBLE), 4) + 0.0 AS {alias}"
+    return f"round(round(CAST({expression} AS DOUBLE), 8), 4) + 0.0 AS {alias}"
 
 
 def big(expression: str, alias: str) -> str:
