@@ -183,18 +183,19 @@ def trailing_count(df: DataFrame, keys: list[str], seconds: int, name: str, ts:
     at = _micros(F.col(ts))
     bucket = F.floor(at / window)
     enter, leave = (0, 1) if closed else (1, 0)
-    moves = df.withColumn("_move", F.explode(F.array(
-        F.struct(bucket.alias("bucket"), at.alias("at"), F.lit(enter).alias("phase")),
-        F.struct((bucket + 1).alias("bucket"), (at + window).alias("at"), F.lit(leave).alias("phase")))))
-    moves = moves.select(*df.columns, F.col("_move.bucket").alias("_bucket"), F.col("_move.at").alias("_at"),
-                         F.col("_move.phase").alias("_phase"))
+    rest = F.struct(*[c for c in df.columns if c not in keys])
+    # Only the entering copy carries the other columns; the leaving one is a key, a time and a sign.
+    moves = df.select(*keys, F.explode(F.array(
+        F.struct(bucket.alias("_bucket"), at.alias("_at"), F.lit(enter).alias("_phase"), rest.alias("_row")),
+        F.struct((bucket + 1).alias("_bucket"), (at + window).alias("_at"), F.lit(leave).alias("_phase"),
+                 F.lit(None).alias("_row")))).alias("_move")).select(*keys, "_move.*")
     group = [*keys, "_bucket"]
     so_far = W.partitionBy(*group).orderBy("_at", "_phase").rangeBetween(W.unboundedPreceding, W.currentRow)
     exits = F.when(F.col("_phase") == leave, 1).otherwise(0)
     change = F.when(F.col("_phase") == leave, -1).otherwise(1)
     count = F.sum(exits).over(W.partitionBy(*group)) + F.sum(change).over(so_far)
     return (moves.withColumn(name, count).where(F.col("_phase") == enter)
-                 .drop("_bucket", "_at", "_phase"))
+                 .select(*keys, "_row.*", name).select(*df.columns, name))
 
 
 def alerts_repeated(errors: DataFrame, n: int = settings.REPEATED_ERROR_COUNT) -> DataFrame:

@@ -6,7 +6,8 @@ and the statistics of its series.  Building it takes one map-side-combined aggre
 two window shuffles over cells, however many observations are asked for; Catalyst drops the window
 columns that the chosen observations do not use.
 
-A window group is one series (company, line item, period type) or one (company, period), so it is
+The fact view must hold one value per cell and value type: where several files do, `normalize.latest_cell`
+decides first.  A window group is one series (company, line item, period type) or one (company, period), so it is
 bounded by the calendar or by the few ratio items, not by the number of input rows.
 """
 
@@ -52,15 +53,6 @@ def ytd_running(fm: DataFrame) -> DataFrame:
               .withColumn("ytd_value", F.sum("value").over(so_far)))
 
 
-def ytd_cells(fm: DataFrame) -> DataFrame:
-    """Year-to-date totals as cells of their own period type, so the growth rules apply to them too."""
-    return ytd_total(fm).select(
-        "company_id", "line_item", F.lit("YTD").alias("period_type"),
-        F.concat(F.lit("YTD "), F.col("year").cast("string")).alias("period_label"),
-        F.make_date("year", F.lit(1), F.lit(1)).alias("start_date"), F.col("year").alias("period_seq"),
-        F.col("ytd_value").cast("decimal(28,2)").alias("actual"))
-
-
 def series_frame(fm: DataFrame, as_of: Column) -> DataFrame:
     """The wide frame; `as_of` is the month that counts as now (a date literal or a scalar subquery)."""
     series = "partition by company_id, line_item, period_type"
@@ -90,7 +82,12 @@ def series_frame(fm: DataFrame, as_of: Column) -> DataFrame:
         over(f"stddev_samp({positive})") + " as std_pos",
         over(f"count({two_years})") + " as n_24", over(f"avg({two_years})") + " as mean_24",
         over(f"stddev_samp({two_years})") + " as std_24",
-        f"count({three_years}) {same_month} as n_season", f"avg({three_years}) {same_month} as mean_season")
+        f"count({three_years}) {same_month} as n_season", f"avg({three_years}) {same_month} as mean_season",
+        f"case when actual is not null then row_number() over ({series}, year(start_date) "
+        "order by actual is null, start_date) end as nth_of_year",
+        f"sum(actual) over ({series}, year(start_date)) as year_total",
+        f"sum(actual) over ({series} order by year(start_date) range between 1 preceding and 1 preceding) "
+        "as last_year_total")
     return placed.selectExpr(
         "*", over(f"count({recent})") + " as n_recent", over(f"regr_slope({recent}, {step})") + " as slope",
         over(f"avg({recent})") + " as mean_recent")
@@ -126,6 +123,9 @@ def _rules() -> dict[str, tuple[str, str, str, str]]:
                             f"try_divide(cast(actual as double) - mean_24, {spread})"),
         "efficiency_ratio": (f"line_item = '{EFFICIENCY_ITEM}'", "ratio", "prev_ratio", "ratio"),
         "margin_analysis": (f"line_item in ({margins})", "ratio * 100", "prev_ratio * 100", "ratio * 100"),
+        # Said once per year, on the year's first month.
+        "ytd_performance": (f"{monthly} and nth_of_year = 1", "year_total", "last_year_total",
+                            _change("year_total", "last_year_total")),
     }
 
 
@@ -133,36 +133,31 @@ def _emit(name: str, rule: tuple[str, str, str, str]) -> str:
     """The observation struct of a rule on its rows, null elsewhere."""
     condition, current, reference, calculated = rule
     number = settings.OBSERVATION_BY_NAME[name][0]
+    kind, label = ("'Yearly'", "concat('YTD ', year(start_date))") if name == "ytd_performance" \
+        else ("period_type", "period_label")
     return (f"case when {condition} and ({calculated}) is not null then named_struct('observation_id', {number}, "
-            f"'observation_name', '{name}', 'current_value', cast({current} as double), "
+            f"'observation_name', '{name}', 'period_type', {kind}, 'period_label', {label}, 'current_value', cast({current} as double), "
             f"'reference_value', cast({reference} as double), 'calculated_value', {calculated}) end")
 
 
 def observe(fm: DataFrame, as_of: Column, names: list[str] | None = None) -> DataFrame:
-    """Rows of the named observations (all but YTD by default), before any materiality filter."""
+    """Rows of the named observations (all thirteen by default), before any materiality filter."""
     rules = _rules()
-    structs = ", ".join(_emit(n, rules[n]) for n in (names or rules) if n in rules)
+    structs = ", ".join(_emit(n, rules[n]) for n in names or rules)
     return (series_frame(fm, as_of)
-            .selectExpr("company_id", "line_item as metric_name", "period_type", "period_label",
+            .selectExpr("company_id", "line_item as metric_name",
                         f"inline(filter(array({structs}), o -> o is not null))")
             .select(*OBS))
 
 
 def ytd_growth(fm: DataFrame) -> DataFrame:
     """Year-to-date total against the year before, labelled 'YTD yyyy'."""
-    timeline = W.partitionBy("company_id", "line_item").orderBy("period_seq").rangeBetween(-1, -1)
-    rows = ytd_cells(fm).withColumn("prev", F.max("actual").over(timeline))
-    calculated = V.pct_change(F.col("actual"), F.col("prev"))
-    return rows.where(calculated.isNotNull()).select(
-        F.lit(20006).alias("observation_id"), F.lit("ytd_performance").alias("observation_name"), "company_id",
-        F.col("line_item").alias("metric_name"), F.lit("Yearly").alias("period_type"), "period_label",
-        F.col("actual").cast("double").alias("current_value"),
-        F.col("prev").cast("double").alias("reference_value"), calculated.alias("calculated_value"))
+    return observe(fm, F.lit(None).cast("date"), ["ytd_performance"])
 
 
 def all_observations(fm: DataFrame, as_of: Column) -> DataFrame:
-    """All thirteen observations."""
-    return observe(fm, as_of).unionByName(ytd_growth(fm))
+    """All thirteen observations from one pass over the facts."""
+    return observe(fm, as_of)
 
 
 # -- materiality and weights -------------------------------------------------

@@ -207,8 +207,7 @@ SELECT {big('company_id', 'company_id')}, period_label, metric_name, ct AS calcu
   {r4('CAST(calculated_value AS DECIMAL(28,4))', 'calculated_value')}, '%' AS unit, base AS source_ids,
   ct || ' for ' || period_label AS calculation_note, 'Ok' AS corroboration_status, period_type AS frequency FROM d""")
 def derived_metrics(t: Tables):
-    fm = t.fm
-    growth = M.observe(fm, t.as_of, ["growth_mom", "growth_qoq", "growth_yoy"]).unionByName(M.ytd_growth(fm))
+    growth = M.observe(t.fm, t.as_of, ["growth_mom", "growth_qoq", "growth_yoy", "ytd_performance"])
     return M.derived_rows(M.materiality_filter(growth))
 
 

@@ -27,6 +27,18 @@ def build_session(app: str = "ledger_spark", master: str | None = None, **conf)
     return builder.getOrCreate()
 
 
+def sized_for(input_bytes: int, cores: int, partition_bytes: int = 128 * 1024 * 1024) -> dict[str, str]:
+    """Settings for an input size: enough shuffle partitions that each holds about `partition_bytes`.
+
+    Adaptive execution merges what turns out small, so the count may be generous; it is at least three tasks
+    per core, and scans are split so that every core has work.
+    """
+    shuffle = max(3 * cores, -(-input_bytes // partition_bytes))
+    scan = min(partition_bytes, max(4 * 1024 * 1024, input_bytes // (2 * cores)))
+    return {"spark.sql.shuffle.partitions": str(shuffle), "spark.sql.files.maxPartitionBytes": str(scan),
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes)}
+
+
 _own_dirs: dict[str, str] = {}
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 FACT_KEY = ["company_id", "period_label", "line_item", "value_type", "source_file"]
 
@@ -38,9 +39,26 @@ def append_counts(incoming: DataFrame, new_rows: DataFrame) -> DataFrame:
                     (total("i") - total("n")).alias("skipped"))
 
 
-def write_fact(new_rows: DataFrame, path: str) -> None:
-    """Append below `period_type=...` folders; every task writes its own rows, at most one file per type."""
-    new_rows.write.mode("append").partitionBy("period_type").parquet(path)
+def rebalanced(df: DataFrame, column: str) -> DataFrame:
+    """Gather rows by `column` before a partitioned write; adaptive execution splits a hot value over many
+    tasks and merges small ones, so files come out even."""
+    return df.sparkSession.sql(f"SELECT /*+ REBALANCE({column}) */ * FROM {{rows}}", rows=df)
+
+
+def write_fact(new_rows: DataFrame, path: str, partition: str = "period_type") -> None:
+    """Append below one folder per value of `partition`."""
+    rebalanced(new_rows, partition).write.mode("append").partitionBy(partition).parquet(path)
+
+
+def held_keys(spark: SparkSession, path: str, schema: StructType, incoming: DataFrame, key: list[str],
+              partition: str, at_most: int = 5000) -> DataFrame:
+    """The keys of a fact table that `incoming` could meet: only the folders of its own partition values.
+
+    Those values come from the calendar; should there be more than `at_most`, all folders are read.
+    """
+    held = spark.read.schema(schema).parquet(path)
+    values = [r[0] for r in incoming.select(partition).distinct().limit(at_most + 1).collect()]
+    return (held.where(F.col(partition).isin(values)) if len(values) <= at_most else held).select(*key)
 
 
 def upsert(target: DataFrame, source: DataFrame, key: list[str], version: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledger_spark.operators import events as E
+from ledger_spark.session import written
 from ledger_spark.sources import sinks
 
 
@@ -33,19 +34,20 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
 # -- ingest ------------------------------------------------------------------
 
 def stream_ingest(spark: SparkSession, folder: str, schema: T.StructType, sink: str, checkpoint: str,
-                  to_facts, key: list[str] = sinks.FACT_KEY) -> StreamingQuery:
+                  to_facts, key: list[str] = sinks.FACT_KEY, partition: str = "period_label") -> StreamingQuery:
     """New CSV files -> facts appended where their key is absent.
 
     A batch that is replayed after a failure finds its own rows and adds none, so the sink stays exact.
+    The sink has a folder per period, and a batch looks for its keys in the folders of its own periods only.
     """
     drops = spark.readStream.schema(schema).option("header", True).csv(folder)
 
     def append(batch: DataFrame, _: int) -> None:
-        facts = to_facts(batch)
-        spark_ = batch.sparkSession
-        known = spark_.read.schema(facts.schema).parquet(sink) if _has_files(spark_, sink) \
-            else spark_.createDataFrame([], facts.schema)
-        sinks.append_new(known, facts, key).write.mode("append").parquet(sink)
+        session = batch.sparkSession
+        facts = written(to_facts(batch), "batch")  # read for its periods and again for its rows
+        known = sinks.held_keys(session, sink, facts.schema, facts, key, partition) \
+            if _has_files(session, sink) else facts.limit(0)
+        sinks.write_fact(sinks.append_new(known, facts, key), sink, partition)
 
     return (drops.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
                  .trigger(availableNow=True).start())
@@ -122,7 +124,11 @@ def stream_repeated_alerts(errors: DataFrame, at_least: int, keep: str, lateness
 # -- rate limit --------------------------------------------------------------
 
 def stream_rate_limit(ev: DataFrame, limit: int, seconds: int, lateness: str, client: str = "client") -> DataFrame:
-    """Allow or deny each request as it arrives; state is the last allowed times of a client, at most `limit`."""
+    """Allow or deny each request as it arrives; state is the last allowed times of a client, at most `limit`.
+
+    A client's requests of one micro-batch are put in time order, so the batch size (`maxFilesPerTrigger`)
+    bounds what a task holds.
+    """
     decide = E.decider(limit, seconds * 1_000_000)
 
     def judge(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
