@@ -14,7 +14,7 @@ def clean_period(c: Column) -> Column:
     text = F.translate(c, "–—", "--")
     text = F.trim(F.regexp_replace(text, r"\s+", " "))
     prefixes = "|".join(settings.PERIOD_PREFIXES)
-    return F.trim(F.regexp_replace(text, f"^(?i)({prefixes})", ""))
+    return F.when(text.contains(":"), F.trim(F.regexp_replace(text, f"^(?i)({prefixes})", ""))).otherwise(text)
 
 
 _MONTH_CODES = "".join(m[:3].lower() for m in settings.MONTHS)
@@ -71,6 +71,14 @@ def period_start(label: Column, kind: Column) -> Column:
     return F.concat(year, F.lit("-"), month, F.lit("-01")).try_cast("date")
 
 
+def canonical_start(label: Column, kind: Column) -> Column:
+    """First day of a label known to be canonical, without testing its form again."""
+    month = (F.when(kind == "Monthly", F.substring(label, 6, 2))
+              .when(kind == "Quarterly", F.lpad((F.substring(label, 7, 1).try_cast("int") * 3 - 2).cast("string"), 2, "0"))
+              .when(kind == "Yearly", F.lit("01")))
+    return F.concat(F.substring(label, 1, 4), F.lit("-"), month, F.lit("-01")).try_cast("date")
+
+
 def period_end(start: Column, kind: Column) -> Column:
     span = F.when(kind == "Monthly", 0).when(kind == "Quarterly", 2).when(kind == "Yearly", 11)
     return F.last_day(F.add_months(start, span))

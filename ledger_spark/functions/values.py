@@ -25,9 +25,14 @@ def rlike_any(c: Column, words: list[str]) -> Column:
 # -- money and numbers -------------------------------------------------------
 
 def parse_money(c: Column, signs: str = settings.CURRENCY_SIGNS, to: str = MONEY) -> Column:
-    """'$1,234.50' -> 1234.50, '(5)' and '(-5)' -> -5, '-5' -> -5; anything else -> null."""
-    bare = F.regexp_replace(c, f"[{signs},\\s]", "")
-    return F.regexp_replace(bare, r"^\(-?(.*)\)$", "-$1").try_cast(to)
+    """'$1,234.50' -> 1234.50, '(5)' and '(-5)' -> -5, '-5' -> -5; anything else -> null.
+
+    Only text made of number characters is cast, because a failed cast is far dearer than the test.
+    """
+    bare = F.translate(c, signs + ", \t\n\r\f\x0b", "")
+    inner = F.translate(bare, "()-", "")
+    signed = F.when(bare.startswith("(") & bare.endswith(")"), F.concat(F.lit("-"), inner)).otherwise(bare)
+    return F.when(signed.rlike(r"^[+-]?[0-9.]+$"), signed).try_cast(to)
 
 
 def clean_numeric(c: Column) -> Column:
@@ -71,10 +76,10 @@ def page_number(page: Column, sheet: Column | None = None) -> Column:
 
 def source_tags(path: Column) -> Column:
     """Struct (source_file, source_type) from a path: the base name and its upper-case extension."""
-    base = F.element_at(F.split(path, "/"), -1)
-    ext = F.upper(F.regexp_extract(base, r"^.+\.([^.]+)$", 1))
+    base = F.substring_index(path, "/", -1)
+    ext = F.when(F.position(F.lit("."), base) > 1, F.upper(F.substring_index(base, ".", -1)))
     return F.struct(base.alias("source_file"),
-                    F.when(ext != "", ext).otherwise(settings.DEFAULTS["source_type"]).alias("source_type"))
+                    F.coalesce(F.nullif(ext, F.lit("")), F.lit(settings.DEFAULTS["source_type"])).alias("source_type"))
 
 
 def display_source(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ledger_spark import settings
 from ledger_spark.functions import periods as P, values as V
@@ -23,16 +23,19 @@ def resolve_alias(df: DataFrame, aliases: DataFrame, column: str = "period_label
 def resolve_period(df: DataFrame, aliases: DataFrame | None = None,
                    column: str = "period_label") -> DataFrame:
     """Add `canonical_label`, `canonical_type`: alias first, then the anchored patterns."""
-    text = df.withColumn("_clean", F.lower(P.clean_period(F.col(column)))) \
-             .withColumn("_text", P.canonical_text(F.col("_clean"))) \
-             .withColumn("_p", P.parse_canonical(F.col("_text"))).drop("_text")
-    if aliases is None:
-        label, kind = F.col("_p.period_label"), F.col("_p.period_type")
-    else:
-        text = text.join(aliases.select(F.col("alias_lc").alias("_clean"), F.col("period_label").alias("_label"),
-                                        F.col("period_type").alias("_type")), "_clean", "left")
-        label, kind = F.coalesce("_label", "_p.period_label"), F.coalesce("_type", "_p.period_type")
-    return text.select(*df.columns, label.alias("canonical_label"), kind.alias("canonical_type"))
+    clean = df.withColumn("_clean", F.lower(P.clean_period(F.col(column))))
+    known = F.lit(None).cast("string")
+    if aliases is not None:
+        clean = clean.join(aliases.select(F.col("alias_lc").alias("_clean"), F.col("period_label").alias("_label"),
+                                          F.col("period_type").alias("_type")), "_clean", "left")
+        known = F.col("_label")
+    # The patterns are tried only on labels that no alias names.
+    parsed = clean.withColumn("_text", F.when(known.isNull(), P.canonical_text(F.col("_clean")))) \
+                  .withColumn("_p", P.parse_canonical(F.col("_text")))
+    label, kind = F.col("_p.period_label"), F.col("_p.period_type")
+    if aliases is not None:
+        label, kind = F.coalesce("_label", label), F.coalesce("_type", kind)
+    return parsed.select(*df.columns, label.alias("canonical_label"), kind.alias("canonical_type"))
 
 
 def period_bounds(df: DataFrame, label: str = "period_label", kind: str = "period_type") -> DataFrame:
@@ -66,7 +69,7 @@ def judge(mapped: DataFrame, items: DataFrame, aliases: DataFrame | None = None)
     One frame serves both sides of the split, so accepted and rejected rows always add up.
     """
     dated = resolve_period(mapped, aliases)
-    start = P.period_start(F.col("canonical_label"), F.col("canonical_type"))
+    start = P.canonical_start(F.col("canonical_label"), F.col("canonical_type"))
     parsed = dated.withColumns({"start_date": start, "amount": V.parse_money(F.col("value"))})
     blank = lambda c: F.col(c).isNull() | (F.col(c) == "")
     # Parsed columns lie below the line-item joins, so a filter on `reason` does not repeat the parsing.
@@ -81,10 +84,15 @@ def judge(mapped: DataFrame, items: DataFrame, aliases: DataFrame | None = None)
 
 def accepted(judged: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Fact rows of the judged rows that failed no rule."""
+    return fact_columns(judged.where(F.col("reason").isNull()), keep)
+
+
+def fact_columns(judged: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Judged rows in the shape of the fact table."""
     value_type = F.coalesce(V.clean_text(F.col("value_type")), F.lit(settings.DEFAULTS["value_type"]))
     sheet = F.col("_sheet_name") if "_sheet_name" in judged.columns else F.lit(None).cast("string")
     tags = V.source_tags(F.col("source_file"))
-    return judged.where(F.col("reason").isNull()).select(
+    return judged.select(
         *keep, "company_id", F.col("canonical_label").alias("period_label"),
         F.col("canonical_type").alias("period_type"), "start_date", "line_item_id", "line_item",
         F.col("amount").alias("value"), value_type.alias("value_type"),
@@ -107,16 +115,21 @@ def latest_cell(fact: DataFrame, order: list[str]) -> DataFrame:
     return fact.groupBy(*key).agg(F.max_by("value", F.struct(*order)).alias("value"))
 
 
-def stage_summary(judged: DataFrame, new_rows: DataFrame, extracted: Column | None = None) -> DataFrame:
-    """One row of stage counts.  Judged rows are counted in a single aggregate."""
-    failed = F.col("reason").isNotNull()
-    counts = judged.agg(F.count(F.lit(1)).alias("rows_extracted"),
-                        F.count_if(~failed).alias("rows_normalized"),
-                        F.count_if(failed).alias("error_count"),
-                        *[F.count_if(F.col("reason") == r).alias(f"rejected_{r}") for r in REASONS])
-    persisted = new_rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return counts.withColumn("rows_persisted", persisted) \
-                 .withColumn("rows_skipped", F.col("rows_normalized") - F.col("rows_persisted"))
+def stage_summary(judged: DataFrame, fact: DataFrame, key: list[str] = sinks.FACT_KEY) -> DataFrame:
+    """One row of stage counts, from one pass over the judged rows.
+
+    They are counted by (key, reason) first; on those far fewer rows the fact table's keys are looked up.
+    """
+    groups = fact_columns(judged, ["reason"]).groupBy(*key, "reason").agg(F.count(F.lit(1)).alias("n"))
+    held = fact.select(*key).distinct().withColumn("_held", F.lit(True))
+    good = F.col("reason").isNull()
+    total = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+    return groups.join(held, key, "left").agg(
+        total(F.lit(True)).alias("rows_extracted"), total(good).alias("rows_normalized"),
+        total(~good).alias("error_count"),
+        *[total(F.col("reason") == r).alias(f"rejected_{r}") for r in REASONS],
+        F.count_if(good & F.col("_held").isNull()).alias("rows_persisted")) \
+        .withColumn("rows_skipped", F.col("rows_normalized") - F.col("rows_persisted"))
 
 
 def ingest(raw: DataFrame, fact: DataFrame, items: DataFrame, period_aliases: DataFrame | None = None,
@@ -125,6 +138,5 @@ def ingest(raw: DataFrame, fact: DataFrame, items: DataFrame, period_aliases: Da
     order = order or ["source_page", "value"]
     judged = judge(M.map_rows(M.canonical_headers(raw)), items, period_aliases)
     keep = [c for c in order if c in judged.columns and c not in ("source_page", "value")]
-    rows = accepted(judged, keep)
-    new_rows = sinks.append_new(fact, rows, order=order)
-    return new_rows.drop(*keep), stage_summary(judged, new_rows)
+    new_rows = sinks.append_new(fact, accepted(judged, keep), order=order)
+    return new_rows.drop(*keep), stage_summary(judged, fact)

@@ -8,7 +8,7 @@ from ledger_spark import settings
 from ledger_spark.functions import periods as P, values as V
 from ledger_spark.operators import mapping as MP, normalize as N
 from ledger_spark.plans.registry import HEADERS_SQL, JUDGED_SQL, RAW_SQL, Tables, big, query, r4
-from ledger_spark.session import scratch_path
+from ledger_spark.session import scratch_path, written
 from ledger_spark.sources import dimensions as D, files, sinks
 
 
@@ -364,7 +364,7 @@ FROM firsts f WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM held h WHERE h.company_
 def fact_append_new(t: Tables):
     """The monthly facts before 1998 are held already; the whole input arrives again."""
     columns = ["row_id", *sinks.FACT_KEY, "value"]
-    facts = t.facts
+    facts = written(t.facts.select(*columns, "start_date", "period_type"), "facts")
     held = facts.where((F.col("start_date") < F.lit("1998-01-01").cast("date")) & (F.col("period_type") == "Monthly"))
     return sinks.append_new(held, facts.select(*columns), order=["row_id"])
 
@@ -393,6 +393,6 @@ def ingest_summary(t: Tables):
     aliases = D.period_aliases(t.order_calendar)
     raw = t.raw_rows.withColumnsRenamed({"line_item": "Metric Name", "period_label": "Period", "value": "Amount",
                                          "value_type": "Scenario", "source_page": "Page"})
-    held = t.facts.where(F.col("period_type") == "Yearly")
+    held = written(t.facts.where(F.col("period_type") == "Yearly").select(*sinks.FACT_KEY), "facts")
     _, summary = N.ingest(raw, held, D.line_items(t.spark), aliases, order=["row_id"])
     return summary

@@ -8,6 +8,7 @@ from ledger_spark.functions import values as V
 from ledger_spark.operators import mapping as MP, normalize as N, quality as C, questions as Q, reports as R
 from ledger_spark.plans.question_queries import RENDERED_SQL
 from ledger_spark.plans.registry import JUDGED_SQL, RAW_SQL, Tables, big, query, r4
+from ledger_spark.session import written
 from ledger_spark.sources import dimensions as D, sinks
 
 
@@ -15,7 +16,8 @@ from ledger_spark.sources import dimensions as D, sinks
 SELECT company_id, CAST(start_date AS VARCHAR) AS start_date, item AS name, canon AS period_label, vt AS value_type,
   {r4('amount', 'value')}, 'USD' AS currency, source_file, {big('page', 'source_page')}, CAST(NULL AS VARCHAR) AS notes FROM facts""")
 def report_metrics(t: Tables):
-    return R.report_metrics(t.facts.drop("start_date"), D.line_items(t.spark).select("line_item_id", "name"),
+    facts = written(t.facts.drop("start_date", "hash"), "facts")
+    return R.report_metrics(facts, D.line_items(t.spark).select("line_item_id", "name"),
                             t.order_calendar)
 
 

@@ -155,7 +155,7 @@ class Tables:
         rows = self("orders").selectExpr(
             "*", "CAST(o_totalprice AS DECIMAL(15,2)) AS v", "CAST(year(o_orderdate) AS STRING) AS yyyy",
             "lpad(CAST(month(o_orderdate) AS STRING), 2, '0') AS mm", "CAST(quarter(o_orderdate) AS STRING) AS qq",
-            "date_format(o_orderdate, 'MMM') AS mon3")
+            "substr('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * month(o_orderdate) - 2, 3) AS mon3")
         return rows.selectExpr(
             "o_orderkey AS row_id", "concat('file_', o_orderkey % 7, '.csv') AS source_file",
             "CAST(o_custkey % 25 AS STRING) AS company_id",

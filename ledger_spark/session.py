@@ -20,6 +20,8 @@ def build_session(app: str = "ledger_spark", master: str | None = None, **conf)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Long row pipelines: beyond this size the JVM would leave a fused method uncompiled, so Spark splits it.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **{k: str(v) for k, v in conf.items()},
     }
     for key, value in settings.items():
