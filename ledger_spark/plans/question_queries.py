@@ -186,6 +186,7 @@ def template_placeholders(t: Tables):
         "budget_value": money("reference_value"),
         "variance_percent": F.abs("calculated_value").cast("decimal(30,2)").cast("string"),
         "variance_direction": F.when(F.col("calculated_value") > 0, "above").otherwise("below")})
-    rows = rows.withColumn("category", F.lit("variance_analysis")).join(tpl, "category")
+    families = D.observations(t.spark).select("observation_id", "category")
+    rows = rows.join(families, "observation_id").join(tpl, "category")
     return rows.select("company_id", "metric_name", "period_label", "priority", "variables",
                        text.alias("question_text"))
