@@ -164,8 +164,13 @@ def running_count(df: DataFrame, key: str, order: list[str], name: str, bucket:
                 .withColumn(name, F.col("_before") + F.col("_inside")).drop("_bucket", "_before", "_inside"))
 
 
-def _micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+def _micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds on the time line of the column: a zone-free timestamp is measured without any zone, so
+    that daylight saving in the session's zone does not bend its windows."""
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        return F.expr(f"cast(cast(cast({ts} - timestamp_ntz'1970-01-01 00:00:00' as interval second) "
+                      "as decimal(18,6)) * 1000000 as long)")
+    return F.unix_micros(ts)
 
 
 def trailing_count(df: DataFrame, keys: list[str], seconds: int, name: str, ts: str = "ts",
@@ -180,7 +185,7 @@ def trailing_count(df: DataFrame, keys: list[str], seconds: int, name: str, ts:
     linear however dense the window is, and no window group is longer than two buckets.
     """
     window = seconds * 1_000_000
-    at = _micros(F.col(ts))
+    at = _micros(df, ts)
     bucket = F.floor(at / window)
     enter, leave = (0, 1) if closed else (1, 0)
     rest = F.struct(*[c for c in df.columns if c not in keys])
@@ -267,7 +272,7 @@ def rate_limit(ev: DataFrame, limit: int, seconds: int, client: str = "client")
     window = seconds * 1_000_000
     base = ev.select("event_id", F.col(client).alias("client"), "ts")
     rows = trailing_count(base, ["client"], seconds, "_seen", closed=False).withColumns(
-        {"_micros": _micros(F.col("ts")), "_bucket": F.floor(_micros(F.col("ts")) / window)})
+        {"_micros": _micros(base, "ts"), "_bucket": F.floor(_micros(base, "ts") / window)})
 
     busy = rows.where(F.col("_seen") > limit).select("client", "_bucket").distinct()
     by_time = W.partitionBy("client").orderBy("_bucket")

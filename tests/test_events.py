@@ -52,6 +52,19 @@ def test_trailing_count(spark, busy, closed):
         assert got[i] == want
 
 
+def test_trailing_count_ignores_the_session_zone(spark):
+    """02:30 does not exist on this day in New York; the rows lie an hour apart all the same."""
+    times = [dt.datetime(2024, 3, 10, h, 30) for h in (0, 1, 2, 3, 4)]
+    df = spark.createDataFrame(list(enumerate(times)), "event_id long, ts timestamp_ntz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = {r["event_id"]: r["n"] for r in E.trailing_count(df, [], 3600, "n").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == {0: 1, 1: 2, 2: 2, 3: 2, 4: 2}
+
+
 def test_running_count(spark, busy):
     got = {r["event_id"]: r["n"] for r in E.running_count(log(spark, busy), "client", ["ts", "event_id"], "n").collect()}
     seen = {}
