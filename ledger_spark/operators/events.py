@@ -149,28 +149,31 @@ def retain(errors: DataFrame, cutoff: Column) -> DataFrame:
 
 # -- ordered counts ----------------------------------------------------------
 
-def running_count(df: DataFrame, key: str, order: list[str], name: str, bucket: str = "minute") -> DataFrame:
+def _micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds on the time line of the column: a zone-free timestamp is measured without any zone, so
+    that daylight saving in the session's zone does not bend its windows."""
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        return F.expr(f"cast(cast(cast({ts} - timestamp_ntz'1970-01-01 00:00:00' as interval second) "
+                      "as decimal(18,6)) * 1000000 as long)")
+    return F.unix_micros(ts)
+
+
+def running_count(df: DataFrame, key: str, order: list[str], name: str, bucket_seconds: int = 60) -> DataFrame:
     """1, 2, 3, … per key in `order` (whose first column is the time), without one window per key.
 
     Counts inside (key, time bucket) plus the total of the key's earlier buckets, which is a window over one
     small row per bucket.  A key with a third of all rows is spread over its buckets.
     """
-    rows = df.withColumn("_bucket", F.date_trunc(bucket, order[0]))
+    rows = df.withColumn("_bucket", F.floor(_micros(df, order[0]) / (bucket_seconds * 1_000_000)))
     earlier = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = (rows.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-                  .select(key, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+                  .select(F.col(key).alias("_key"), F.col("_bucket").alias("_b"),
+                          F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b"))
     inside = F.row_number().over(W.partitionBy(key, "_bucket").orderBy(*order))
-    return (rows.withColumn("_inside", inside).join(totals, [key, "_bucket"])
-                .withColumn(name, F.col("_before") + F.col("_inside")).drop("_bucket", "_before", "_inside"))
-
-
-def _micros(df: DataFrame, ts: str) -> Column:
-    """Microseconds on the time line of the column: a zone-free timestamp is measured without any zone, so
-    that daylight saving in the session's zone does not bend its windows."""
-    if dict(df.dtypes)[ts] == "timestamp_ntz":
-        return F.expr(f"cast(cast(cast({ts} - timestamp_ntz'1970-01-01 00:00:00' as interval second) "
-                      "as decimal(18,6)) * 1000000 as long)")
-    return F.unix_micros(ts)
+    return (rows.withColumn("_inside", inside).join(totals, same)
+                .withColumn(name, F.col("_before") + F.col("_inside"))
+                .drop("_key", "_b", "_bucket", "_before", "_inside"))
 
 
 def trailing_count(df: DataFrame, keys: list[str], seconds: int, name: str, ts: str = "ts",
@@ -256,7 +259,7 @@ def decider(limit: int, window: int):
 
 
 def rate_limit(ev: DataFrame, limit: int, seconds: int, client: str = "client") -> DataFrame:
-    """(event_id, client, ts, allowed) for every request.
+    """(event_id, client, ts, allowed) for every request; requests without a client share one limit.
 
     A decision depends on earlier decisions, so no window function gives it.  It does so only inside a *busy
     stretch*, though.  A request is free if no more than `limit` requests of its client, itself included, lie
@@ -270,19 +273,20 @@ def rate_limit(ev: DataFrame, limit: int, seconds: int, client: str = "client")
     A stretch streams through in time order, with at most `limit` timestamps of state.
     """
     window = seconds * 1_000_000
-    base = ev.select("event_id", F.col(client).alias("client"), "ts")
-    rows = trailing_count(base, ["client"], seconds, "_seen", closed=False).withColumns(
+    who = F.coalesce(F.col(client).cast("string"), F.lit("unknown"))
+    base = ev.select("event_id", F.col(client).alias("client"), "ts", who.alias("_who"))
+    rows = trailing_count(base, ["_who"], seconds, "_seen", closed=False).withColumns(
         {"_micros": _micros(base, "ts"), "_bucket": F.floor(_micros(base, "ts") / window)})
 
-    busy = rows.where(F.col("_seen") > limit).select("client", "_bucket").distinct()
-    by_time = W.partitionBy("client").orderBy("_bucket")
+    busy = rows.where(F.col("_seen") > limit).select("_who", "_bucket").distinct()
+    by_time = W.partitionBy("_who").orderBy("_bucket")
     starts = F.coalesce(F.col("_bucket") - F.lag("_bucket").over(by_time) > 1, F.lit(True))
     islands = (busy.withColumn("_start", starts)
                    .withColumn("_stretch", F.sum(F.col("_start").cast("long")).over(by_time)))
-    members = islands.select("client", "_stretch", F.explode(F.when(
+    members = islands.select("_who", "_stretch", F.explode(F.when(
         F.col("_start"), F.array(F.col("_bucket") - 1, F.col("_bucket"))).otherwise(F.array("_bucket")))
         .alias("_bucket"))
-    placed = rows.join(members, ["client", "_bucket"], "left")
+    placed = rows.join(members, ["_who", "_bucket"], "left")
 
     decide = decider(limit, window)
 
@@ -290,16 +294,16 @@ def rate_limit(ev: DataFrame, limit: int, seconds: int, client: str = "client")
         current, held = None, deque()
         for pdf in batches:
             allowed = []
-            for key, part in pdf.groupby(["client", "_stretch"], sort=False):
+            for key, part in pdf.groupby(["_who", "_stretch"], sort=False):
                 if key != current:
                     current, held = key, deque()
                 allowed += decide(part["_micros"].tolist(), held)
             yield pdf[["event_id", "client", "ts"]].assign(allowed=allowed)
 
     chained = (placed.where(F.col("_stretch").isNotNull())
-                     .select("event_id", "client", "ts", "_stretch", "_micros")
-                     .repartition("client", "_stretch")
-                     .sortWithinPartitions("client", "_stretch", "_micros", "event_id"))
+                     .select("event_id", "client", "ts", "_who", "_stretch", "_micros")
+                     .repartition("_who", "_stretch")
+                     .sortWithinPartitions("_who", "_stretch", "_micros", "event_id"))
     types = dict(chained.dtypes)
     decided = chained.mapInPandas(run, f"event_id {types['event_id']}, client {types['client']}, "
                                        f"ts {types['ts']}, allowed boolean")

@@ -49,11 +49,14 @@ def _row_numbers(df: DataFrame, group: list[str], name: str, offset: int) -> Dat
     key = [*group, _FILE, _BLOCK]
     splits = marked.groupBy(*key).agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     in_order = W.partitionBy(*group).orderBy(_FILE, _BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    starts = splits.select(*key, "_first",
+    starts = splits.select(*[F.col(c).alias(f"_at{i}") for i, c in enumerate(key)], "_first",
                            F.coalesce(F.sum("_rows").over(in_order), F.lit(0)).alias("_before"))
     number = F.col("_before") + F.col("_mono") - F.col("_first") + offset
-    return (marked.join(starts, key).withColumn(name, number.cast("long"))
-                  .drop("_mono", "_first", "_before"))
+    same = F.lit(True)
+    for i, c in enumerate(key):
+        same = same & F.col(c).eqNullSafe(F.col(f"_at{i}"))
+    return (marked.join(starts, same).withColumn(name, number.cast("long"))
+                  .drop("_mono", "_first", "_before", *[f"_at{i}" for i in range(len(key))]))
 
 
 def scan_csv_na(spark: SparkSession, path, na_tokens: list[str] | None = None) -> DataFrame:

@@ -44,6 +44,14 @@ def test_rate_limit(spark, busy, limit, window):
     assert [got[i] for i in range(len(busy))] == brute_limit(busy, limit, window)
 
 
+def test_requests_without_client_count_together(spark):
+    rows = [(float(i), None if i % 2 else 7) for i in range(40)]
+    got = {r["event_id"]: r["allowed"] for r in E.rate_limit(log(spark, rows), 3, 60).collect()}
+    assert [got[i] for i in range(40)] == brute_limit(rows, 3, 60)
+    run = E.running_count(log(spark, rows), "client", ["ts", "event_id"], "n").collect()
+    assert max(r["n"] for r in run if r["client"] is None) == 20 and len(run) == 40
+
+
 @pytest.mark.parametrize("closed", [True, False])
 def test_trailing_count(spark, busy, closed):
     got = {r["event_id"]: r["n"] for r in E.trailing_count(log(spark, busy), ["client"], 60, "n", closed=closed).collect()}
@@ -60,6 +68,8 @@ def test_trailing_count_ignores_the_session_zone(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
         got = {r["event_id"]: r["n"] for r in E.trailing_count(df, [], 3600, "n").collect()}
+        run = E.running_count(df.withColumn("k", F.lit(1)), "k", ["ts", "event_id"], "n")
+        assert {r["event_id"]: r["n"] for r in run.collect()} == {i: i + 1 for i in range(5)}
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert got == {0: 1, 1: 2, 2: 2, 3: 2, 4: 2}
