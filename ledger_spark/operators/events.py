@@ -164,16 +164,16 @@ def running_count(df: DataFrame, key: str, order: list[str], name: str, bucket_s
     Counts inside (key, time bucket) plus the total of the key's earlier buckets, which is a window over one
     small row per bucket.  A key with a third of all rows is spread over its buckets.
     """
-    rows = df.withColumn("_bucket", F.floor(_micros(df, order[0]) / (bucket_seconds * 1_000_000)))
-    earlier = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = (rows.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-                  .select(F.col(key).alias("_key"), F.col("_bucket").alias("_b"),
-                          F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b"))
-    inside = F.row_number().over(W.partitionBy(key, "_bucket").orderBy(*order))
-    return (rows.withColumn("_inside", inside).join(totals, same)
+    # A struct of the key is never null itself, so null keys join too and all steps share one partitioning.
+    rows = df.withColumns({"_key": F.struct(key),
+                           "_bucket": F.floor(_micros(df, order[0]) / (bucket_seconds * 1_000_000))})
+    earlier = W.partitionBy("_key").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = (rows.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+                  .select("_key", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+    inside = F.row_number().over(W.partitionBy("_key", "_bucket").orderBy(*order))
+    return (rows.withColumn("_inside", inside).join(totals, ["_key", "_bucket"])
                 .withColumn(name, F.col("_before") + F.col("_inside"))
-                .drop("_key", "_b", "_bucket", "_before", "_inside"))
+                .drop("_key", "_bucket", "_before", "_inside"))
 
 
 def trailing_count(df: DataFrame, keys: list[str], seconds: int, name: str, ts: str = "ts",
