@@ -8,11 +8,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from ledger_spark.plans import catalog
 
 SF = os.environ.get("LEDGER_TEST_SF", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 PYTHON_ALLOWED = {"rate_limit_decisions"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
