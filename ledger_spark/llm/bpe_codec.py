@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,18 @@ _NONE = np.int64(1 << 62)
 _CODECS: dict[tuple[str, str], "Codec"] = {}
 
 
-def unicode_spaces(pattern: str) -> str:
-    r"""The pattern with \s and \S as Unicode's White_Space, as the libraries for these ranks read them."""
-    return pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    r"""All matches of `pattern` in a text, with \s as Unicode's White_Space, as the libraries for these ranks read it.
+
+    Texts of ASCII alone go by an equal pattern of plain classes, which is faster.
+    """
+    wide = pattern
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\t-\r A-Za-z0-9]")
+    for mark, full, narrow in ((r"\p{L}", r"\p{L}", "[A-Za-z]"), (r"\p{N}", r"\p{N}", "[0-9]"),
+                               (r"\s", r"\p{White_Space}", r"[\t-\r ]"), (r"\S", r"\P{White_Space}", r"[^\t-\r ]")):
+        wide, plain = wide.replace(mark, full), plain.replace(mark, narrow)
+    wide, plain = regex.compile(wide).findall, re.compile(plain).findall
+    return lambda text: (plain if text.isascii() else wide)(text)
 
 
 class Codec:
@@ -38,7 +48,7 @@ class Codec:
             pairs = [line.split() for line in lines if line.strip()]
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.tokens = {str(r): t for t, r in self.ranks.items()}
-        self.split = regex.compile(unicode_spaces(pattern)).findall
+        self.split = splitter(pattern)
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         merges = sorted((self.ranks[t[:i]] << 32 | self.ranks[t[i:]], r) for t, r in self.ranks.items() if len(t) > 1
                         for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks)
