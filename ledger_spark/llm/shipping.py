@@ -1,4 +1,4 @@
-"""Sends this package to the executors once per application, so that their Python workers can import it."""
+"""Readies a session for Python workers: sends this package to the executors once per application, and bounds Arrow batches."""
 
 from __future__ import annotations
 
@@ -8,12 +8,19 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SENT: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package's sources as a zip file to the application; Spark copies it to every executor."""
+    """Add the package's sources as a zip file to the application; Spark copies it to every executor.
+
+    Texts are long, so Arrow batches get `BATCH_ROWS` rows unless the session asks for fewer.
+    """
     context = spark.sparkContext
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
     if context.applicationId in _SENT:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
