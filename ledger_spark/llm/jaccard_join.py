@@ -33,7 +33,8 @@ ALIKE = 4
 #: Sizes from which fewer tokens are kept, and the share kept; well above 1 - t plus the chance spread at each size.
 LEVELS = ((0, 1.0), (64, 0.5), (256, 0.27), (1024, 0.22))
 BUCKET_TOKENS = 400_000
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 250_000
+SKETCH_BITS = 25
 _SALTS = [U64(x) for x in np.random.default_rng(11).integers(1, 1 << 62, 64) * 2 + 1]
 _SETS = ("doc_id long, n long, cid long, " + ", ".join(f"m{i} long" for i in range(HASHES))
          + ", subs array<struct<kept:int,need:int,tokens:array<bigint>>>")
@@ -91,8 +92,37 @@ def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS)
 
 
+def _slots(ids: pa.Array) -> np.ndarray:
+    return (mix(ids.to_numpy(zero_copy_only=False).view(U64)) & U64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+
+
+def _sketch(ids: DataFrame) -> np.ndarray:
+    """A bit map of a fixed size with the hash of each id set, made in few tasks and joined on the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << SKETCH_BITS, bool)
+        for batch in batches:
+            bits[_slots(batch.column(0))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(1 << SKETCH_BITS - 3, np.uint8)
+    for r in ids.coalesce(8).mapInArrow(run, "bits binary").collect():
+        out |= np.frombuffer(r.bits, np.uint8)
+    return out
+
+
 def _tokens_of(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """(cid, tokens): the whole sets of `classes` (cid, rep), read from the texts of their representatives."""
+    """(cid, tokens): the whole sets of `classes` (cid, rep), read from the texts of their representatives.
+
+    A sketch of the ids keeps most other texts out of the shuffle; it is of a fixed size, and passes more as it fills.
+    """
+    wanted = written(classes.select(F.col("rep").alias("doc_id"), "cid"), "wanted")
+    bits = docs.sparkSession.sparkContext.broadcast(_sketch(wanted.select("doc_id")))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = _slots(batch.column(0))
+            yield batch.filter(pa.array((bits.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [(c, t.view(np.int64)) for c, t in zip(batch.column(1).to_pylist(), shingle_sets(batch.column(0), words))
@@ -101,15 +131,16 @@ def _tokens_of(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
                                               pa.array([k[1] for k in kept], pa.list_(pa.int64()))],
                                              names=["cid", "tokens"])
 
-    wanted = classes.select(F.col("rep").alias("doc_id"), "cid")
-    return docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("text", "cid").mapInArrow(
-        run, "cid long, tokens array<bigint>")
+    passed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(sift, "doc_id long, text string")
+    return passed.join(wanted, "doc_id").select("text", "cid").mapInArrow(run, "cid long, tokens array<bigint>")
+
+
+def _wanted(docs: DataFrame, classes: DataFrame, cids: DataFrame, words: int) -> DataFrame:
+    return written(_tokens_of(docs, classes.select("cid", "rep").join(cids, "cid"), words), "sets")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of `pairs` (a, b: classes) whose whole sets link."""
-    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    sets = written(_tokens_of(docs, classes.select("cid", "rep").join(ends, "cid"), words), "sets")
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of `pairs` (a, b: classes) whose whole sets (cid, tokens) link."""
     left = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
@@ -118,55 +149,61 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int,
 
 
 def _alike(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a class and the most alike of the first classes of its hash groups."""
+    """Pairs (a, b) of a class and the most central classes of its hash groups with which it agrees most often.
+
+    The central class of a hash group is the one whose hashes are shared most: among edited copies of one text that is the
+    least edited one, with which more copies link than with any other.
+    """
     hashes = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"m{i}").alias("m")) for i in range(HASHES)])
     keyed = classes.select("cid", F.inline(hashes)).select("cid", "i", "m")
-    firsts = keyed.groupBy("i", "m").agg(F.min("cid").alias("b"), F.count("*").alias("size")).where("size > 1")
-    agree = keyed.join(firsts, ["i", "m"]).where("cid <> b").groupBy("cid", "b").agg(F.count("*").alias("same"))
-    best = agree.where(F.col("same") >= ALIKE).groupBy("cid").agg(F.max(F.struct("same", "b"))["b"].alias("b"))
-    sizes = classes.select("cid", "n")
-    pairs = best.join(sizes, "cid").join(sizes.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b")
-    return pairs.where(100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")).select(
-        F.col("cid").alias("a"), "b")
+    sizes = keyed.groupBy("i", "m").agg(F.count("*").alias("size")).where("size > 1")
+    grouped = written(keyed.join(sizes, ["i", "m"]), "hash-groups")
+    score = grouped.groupBy("cid").agg(F.sum("size").alias("score"))
+    firsts = grouped.join(score, "cid").groupBy("i", "m").agg(F.max(F.struct("score", "cid"))["cid"].alias("b"))
+    agree = grouped.join(firsts, ["i", "m"]).where("cid <> b").groupBy("cid", "b").agg(F.count("*").alias("hits"))
+    ends = [classes.select(F.col("cid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", *[f"m{i}" for i in range(HASHES)])])
+            for x in "ab"]
+    same = sum((F.col(f"a_m{i}") == F.col(f"b_m{i}")).cast("int") for i in range(HASHES))
+    return agree.select(F.col("cid").alias("a"), "b").join(ends[0], "a").join(ends[1], "b").where(
+        (same >= ALIKE) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))).select("a", "b")
 
 
 def _matrix_rows(kept: DataFrame, buckets: int) -> DataFrame:
     """(id, many, part, token): the kept tokens that lie in the unions of two groups or more.
 
-    `id` is the class, or the group where it has `many` classes.  Batches of sets are cut into buckets of tokens and travel as byte
+    `id` is the group; one that has not `many` classes is named by its only one.  Batches of sets are cut into buckets of tokens and travel as byte
     strings; a token that two groups of a batch share is marked there and then, and two rows of it travel on.
     """
-    names = ["bucket", "tokens", "ids", "groups", "flags"]
+    names = ["bucket", "tokens", "groups", "flags"]
+
+    def runs(tokens, groups) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and end of the rows of each token, and whether two groups have it; rows are sorted by token and group."""
+        at = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        to = np.append(at[1:], len(tokens))
+        return at, to, groups[at] != groups[to - 1]
 
-    def cut(tokens, ids, groups, flags) -> pa.RecordBatch:
+    def cut(tokens, groups, flags) -> pa.RecordBatch:
         order = np.lexsort((groups, tokens))
-        tokens, ids, groups, flags = tokens[order], ids[order], groups[order], flags[order]
-        many = (flags & 1).astype(bool)
+        tokens, groups, flags = tokens[order], groups[order], flags[order]
         fresh = np.ones(len(tokens), bool)
-        fresh[1:] = ~(many[1:] & (tokens[1:] == tokens[:-1]) & (groups[1:] == groups[:-1]))
-        tokens, ids, groups, flags = tokens[fresh], ids[fresh], groups[fresh], flags[fresh]
-        new = np.ones(len(tokens), bool)
-        new[1:] = tokens[1:] != tokens[:-1]
-        at = np.flatnonzero(new)
-        to = np.append(at[1:], len(tokens))
-        shared = groups[at] != groups[to - 1]
+        fresh[1:] = ~((flags[1:] & 1).astype(bool) & (tokens[1:] == tokens[:-1]) & (groups[1:] == groups[:-1]))
+        tokens, groups, flags = tokens[fresh], groups[fresh], flags[fresh]
+        at, to, shared = runs(tokens, groups)
         flags = flags | (np.repeat(shared, to - at).astype(np.uint8) << 2)
-        marked = (flags & 4).astype(bool)
         # Marked rows only pass through, spread evenly; a copy of the first and the last of each marks the others' rows.
         witness = np.concatenate([at[shared], to[shared] - 1])
-        place = (mix(tokens.view(U64) ^ (ids.view(U64) * U64(0x9E3779B97F4A7C15))) % U64(buckets)).astype(np.int64)
         own = (tokens.view(U64) % U64(buckets)).astype(np.int64)
-        spot = np.concatenate([np.where(marked, place, own), own[witness]])
+        place = (mix(tokens.view(U64) ^ (groups.view(U64) * U64(0x9E3779B97F4A7C15))) % U64(buckets)).astype(np.int64)
+        spot = np.concatenate([np.where(flags & 4, place, own), own[witness]])
         pick = np.concatenate([np.arange(len(tokens)), witness])
         kind = np.concatenate([flags, flags[witness] & 1 | 8])
         order = np.argsort(spot, kind="stable")
         pick, kind, spot = pick[order], kind[order], spot[order]
         edges = np.append(np.flatnonzero(np.diff(spot, prepend=-1)), len(spot))
         slices = list(zip(edges[:-1], edges[1:]))
-        arrays = [x[pick] for x in (tokens, ids, groups)] + [kind]
         return pa.RecordBatch.from_arrays(
             [pa.array(spot[edges[:-1]], pa.int64()), *[pa.array([x[i:j].tobytes() for i, j in slices], pa.binary())
-                                                       for x in arrays]], names=names)
+                                                       for x in (tokens[pick], groups[pick], kind)]], names=names)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -175,9 +212,8 @@ def _matrix_rows(kept: DataFrame, buckets: int) -> DataFrame:
             tokens = batch.column("tokens")
             counts = np.diff(tokens.offsets.to_numpy())
             flat = tokens.flatten().to_numpy(zero_copy_only=False)
-            cid, group = batch.column("cid").to_numpy(), batch.column("g").to_numpy()
             many = batch.column("many").to_numpy(zero_copy_only=False).astype(np.uint8)
-            held.append([flat, *[np.repeat(x, counts) for x in (np.where(many, group, cid), group, many)]])
+            held.append([flat, np.repeat(batch.column("g").to_numpy(), counts), np.repeat(many, counts)])
             size += len(flat)
             if size >= BATCH_TOKENS:
                 yield cut(*map(np.concatenate, zip(*held)))
@@ -186,25 +222,21 @@ def _matrix_rows(kept: DataFrame, buckets: int) -> DataFrame:
             yield cut(*map(np.concatenate, zip(*held)))
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        kinds = ((("tokens", np.int64), ("ids", np.int64), ("groups", np.int64), ("flags", np.uint8)))
-        tokens, ids, groups, flags = (np.concatenate([np.frombuffer(b, t) for b in frame[c]]) for c, t in kinds)
+        kinds = (("tokens", np.int64), ("groups", np.int64), ("flags", np.uint8))
+        tokens, groups, flags = (np.concatenate([np.frombuffer(b, t) for b in frame[c]]) for c, t in kinds)
         through = (flags & 4).astype(bool)
-        out = [(ids[through], flags[through] & 1, tokens[through])]
-        rest = ~through
-        tokens, ids, groups, flags = tokens[rest], ids[rest], groups[rest], flags[rest]
+        out = [(groups[through], flags[through] & 1, tokens[through])]
+        tokens, groups, flags = tokens[~through], groups[~through], flags[~through]
         order = np.lexsort((groups, tokens))
-        tokens, ids, groups, flags = tokens[order], ids[order], groups[order], flags[order]
+        tokens, groups, flags = tokens[order], groups[order], flags[order]
         if len(tokens):
-            new = np.append(True, tokens[1:] != tokens[:-1])
-            at = np.flatnonzero(new)
-            to = np.append(at[1:], len(tokens))
-            shared = np.repeat(groups[at] != groups[to - 1], to - at) & ((flags & 8) == 0)
-            out.append((ids[shared], flags[shared] & 1, tokens[shared]))
-        ids, many, tokens = map(np.concatenate, zip(*out))
-        return pd.DataFrame({"id": ids, "many": many.astype(bool), "token": tokens})
-
-    dealt = kept.select("cid", "g", "many", "tokens").mapInArrow(
-        deal, "bucket long, tokens binary, ids binary, groups binary, flags binary")
+            at, to, shared = runs(tokens, groups)
+            shared = np.repeat(shared, to - at) & ((flags & 8) == 0)
+            out.append((groups[shared], flags[shared] & 1, tokens[shared]))
+        groups, many, tokens = map(np.concatenate, zip(*out))
+        return pd.DataFrame({"id": groups, "many": many.astype(bool), "token": tokens})
+
+    dealt = kept.select("g", "many", "tokens").mapInArrow(deal, "bucket long, tokens binary, groups binary, flags binary")
     return dealt.groupBy("bucket").applyInPandas(meet, "id long, many boolean, token long")
 
 
@@ -224,47 +256,72 @@ def linked_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
         "classes")
     named = classes.where("rep is not null")
     alike = written(_alike(named, percent), "alike")
-    links = written(_verified(docs, alike, named, words, percent), "links")
+    ends = alike.select(F.col("a").alias("cid")).union(alike.select("b")).distinct()
+    links = written(_verified(_wanted(docs, named, ends, words), alike, percent), "links")
     groups = components(links)
     found = _between(docs, sets, named, groups, words, percent)
     labels = components(links.union(found))
     return _answer(sets, classes, labels)
 
 
-def _between(docs, sets, classes, groups, words, percent) -> DataFrame:
-    """Links (a, b) between classes of different groups."""
-    member = groups.select(F.col("node").alias("cid"), F.col("label").alias("g"))
-    placed = classes.select("cid", F.col("rep").alias("doc_id"), "n").join(member, "cid", "left").select(
-        "cid", "doc_id", "n", F.coalesce("g", "cid").alias("g"), F.col("g").isNotNull().alias("many"))
-    kept = written(sets.where("size(subs) > 0").select("doc_id", "cid", "subs").join(
-        placed, ["cid", "doc_id"]).select("cid", "g", "many", "n", F.posexplode("subs").alias("part", "sub")).select(
-        "cid", "g", "many", "n", "part", "sub.*"), "kept")
+def _outside(kept: DataFrame) -> DataFrame:
+    """(cid, token): the kept tokens of each set that the union of some other group has as well."""
     total = kept.agg(F.sum("kept")).first()[0] or 0
-    buckets = max(256, -(-total // BUCKET_TOKENS))
-    marked = written(_matrix_rows(kept, buckets), "matrix")
-    # The tokens of each set that some other group has as well.
+    marked = written(_matrix_rows(kept, max(256, -(-total // BUCKET_TOKENS))), "matrix")
     inside = kept.where("many").select("cid", "g", F.explode("tokens").alias("token")).join(
         marked.where("many").select(F.col("id").alias("g"), "token").distinct(), ["g", "token"]).select("cid", "token")
-    alone = marked.where("not many").select(F.col("id").alias("cid"), "token")
-    outside = written(alone.union(inside), "outside")
-    # A bound for each set over all its parts; only sets that may still link go on.
-    enough = kept.groupBy("cid").agg(F.min(F.col("kept") - F.col("need")).alias("slack"))
-    shared = outside.groupBy("cid").agg(F.count("*").alias("shared"))
-    open_ = shared.join(enough, "cid").where("shared > slack").select("cid")
-    rows = kept.join(open_, "cid", "left_semi").select(
-        "cid", "g", "n", "kept", "need", "part", F.explode("tokens").alias("token"))
-    rows = written(rows, "open").join(outside.distinct(), ["cid", "token"])
-    often = rows.groupBy("token").agg(F.count("*").alias("often"))
-    one = W.partitionBy("cid", "part")
-    prefix = written(rows.join(often, "token").where("often > 1").withColumn("with", F.count("*").over(one)).withColumn(
-        "rank", F.row_number().over(one.orderBy("often", "token"))).where(
-        F.col("rank") <= F.col("need") - F.col("kept") + F.col("with")).select("token", "cid", "g", "n"), "prefix")
-    other = prefix.select("token", *[F.col(c).alias(f"{c}2") for c in ("cid", "g", "n")])
-    pairs = prefix.join(other, "token").where(
-        (F.col("cid") < F.col("cid2")) & (F.col("g") != F.col("g2"))
-        & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))).select(
-        F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct()
-    return written(_verified(docs, written(pairs, "pairs"), classes, words, percent), "links")
+    return written(marked.where("not many").select(F.col("id").alias("cid"), "token").union(inside), "outside")
+
+
+def _open(kept: DataFrame, outside: DataFrame) -> DataFrame:
+    """(cid) of the sets that may link with another group: in some part fewer than `need` tokens are theirs alone."""
+    slack = kept.groupBy("cid").agg(F.min(F.col("kept") - F.col("need")).alias("slack"))
+    return outside.groupBy("cid").agg(F.count("*").alias("shared")).join(slack, "cid").where("shared > slack").select("cid")
+
+
+def _between(docs: DataFrame, sets: DataFrame, classes: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of different groups, enough to connect all that such links connect."""
+    member = groups.select(F.col("node").alias("cid"), F.col("label").alias("g"))
+    placed = written(classes.select("cid", F.col("rep").alias("doc_id"), "n").join(member, "cid", "left").select(
+        "cid", "doc_id", "n", F.coalesce("g", "cid").alias("g"), F.col("g").isNotNull().alias("many")), "placed")
+    kept = written(sets.where("size(subs) > 0").select("doc_id", "cid", "subs").join(
+        placed, ["cid", "doc_id"]).select("cid", "g", "many", "n", F.explode("subs").alias("sub")).select(
+        "cid", "g", "many", "n", "sub.*"), "kept")
+    may = written(_open(kept, _outside(kept)), "open")
+    # The sets left over, now with all their tokens: the same bound is several times as tight.
+    whole = _wanted(docs, classes, may, words)
+    need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    full = written(whole.join(placed.drop("doc_id"), "cid").select(
+        "cid", "g", "many", "n", F.col("n").alias("kept"), need.alias("need"), "tokens"), "kept")
+    outside = _outside(full)
+    rows = outside.distinct().join(_open(full, outside), "cid", "left_semi").join(full.select("cid", "g", "n", "need").distinct(), "cid")
+    rows = written(rows, "rows")
+    often = rows.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    one = W.partitionBy("cid")
+    # Tokens in the order of how many sets have them; `left` counts those from a token on.
+    placed_rows = rows.join(often, "token").withColumn("with", F.count("*").over(one)).withColumn(
+        "rank", F.row_number().over(one.orderBy("often", "token")))
+    prefix = written(placed_rows.where(F.col("rank") <= F.col("need") - F.col("n") + F.col("with")).select(
+        "token", "cid", "g", "n", (F.col("with") - F.col("rank") + 1).alias("left"),
+        ((F.col("n") - F.col("with")) / F.col("n")).alias("own")), "prefix")
+    central = prefix.groupBy("token").agg(F.min(F.struct("own", "cid", "g", "n", "left")).alias("c")).select("token", "c.*")
+    near = _compatible(prefix, central, percent)
+    first = written(near.select("a", "b").distinct(), "central")
+    more = written(_verified(whole, first, percent), "links")
+    joined = components(prefix.select(F.col("cid").alias("a"), F.col("g").alias("b")).distinct().union(more))
+    prefix = written(prefix.drop("own").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select(
+        "token", "cid", "n", "left", F.coalesce("label", "g").alias("g")), "prefix")
+    pairs = written(_compatible(prefix, prefix, percent).where("a < b").select("a", "b").distinct(), "pairs")
+    return written(_verified(whole, pairs, percent).union(more), "links")
+
+
+def _compatible(prefix: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different groups with a common prefix token, from which on enough tokens may be common."""
+    other = others.select("token", *[F.col(c).alias(f"{c}2") for c in ("cid", "g", "n", "left")])
+    return prefix.join(other, "token").where(
+        (F.col("g") != F.col("g2"))
+        & ((100 + percent) * F.least("left", "left2") >= percent * (F.col("n") + F.col("n2")))).select(
+        F.col("cid").alias("a"), F.col("cid2").alias("b"))
 
 
 def _answer(sets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
