@@ -93,10 +93,10 @@ def graph(text: str) -> Graph:
             cores.append(_NOT_ALNUM.sub("", raw.lower()))
         before, was = re.sub("[0-9]", "9", raw), marked
     last: dict[str, int] = {}
-    skip = []
+    skip, joined = [], set(chain)
     for i, core in enumerate(cores):
         if len(core) >= 4:
-            if core in last and last[core] != i - 1:
+            if core in last and (last[core], i) not in joined:
                 skip.append((last[core], i))
             last[core] = i
     return Graph(places, slots, np.array(chain, int).reshape(-1, 2), np.array(skip, int).reshape(-1, 2))
