@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from ledger_spark.llm.shipping import ship
+from ledger_spark.llm.texts import lean
 
 REMEMBERED = 300_000
 _NONE = np.int64(1 << 62)
@@ -179,7 +180,7 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_ranks() -> tuple[str, str]:

@@ -25,16 +25,16 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ledger_spark.llm.graph import components
 from ledger_spark.llm.shipping import ship
-from ledger_spark.llm.texts import U64, mix, shingle_sets
+from ledger_spark.llm.texts import U64, lean, mix, release, shingle_sets
 from ledger_spark.session import written
 
 HASHES = 8
 ALIKE = 4
-#: Sizes from which fewer tokens are kept, and the share kept; well above 1 - t plus the chance spread at each size.
-LEVELS = ((0, 1.0), (64, 0.5), (256, 0.27), (1024, 0.22))
-BUCKET_TOKENS = 400_000
+#: Sizes from which fewer tokens are kept, and the share kept beyond 1 - t, which covers the chance spread at each size.
+LEVELS = ((0, 1.0), (64, 0.35), (256, 0.10), (1024, 0.05))
+BUCKET_TOKENS = 200_000
 BATCH_TOKENS = 250_000
-SKETCH_BITS = 25
+SKETCH_BITS = 24
 _SALTS = [U64(x) for x in np.random.default_rng(11).integers(1, 1 << 62, 64) * 2 + 1]
 _SETS = ("doc_id long, n long, cid long, " + ", ".join(f"m{i} long" for i in range(HASHES))
          + ", subs array<struct<kept:int,need:int,tokens:array<bigint>>>")
@@ -52,7 +52,7 @@ def _kept(tokens: np.ndarray, percent: int) -> list[dict]:
     missing = n - -(-percent * n // 100)
     parts = []
     for level in range(_level(-(-percent * n // 100)), _level(100 * n // percent) + 1):
-        share = LEVELS[level][1]
+        share = 1 - percent / 100 + LEVELS[level][1]
         part = tokens if share >= 1 else tokens[tokens < U64(int(share * (1 << 64)))]
         parts.append({"kept": len(part), "need": missing + 1, "tokens": mix(part ^ _SALTS[level]).view(np.int64)})
         if len(part) <= missing:  # too few to bind: such sets meet each other on all their tokens
@@ -89,7 +89,7 @@ def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 [batch.column(0), *[pa.array(c, pa.int64()) for c in columns[:-1]], subs],
                 names=["doc_id", "n", "cid", *[f"m{i}" for i in range(HASHES)], "subs"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), _SETS)
 
 
 def _slots(ids: pa.Array) -> np.ndarray:
@@ -105,7 +105,7 @@ def _sketch(ids: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
     out = np.zeros(1 << SKETCH_BITS - 3, np.uint8)
-    for r in ids.coalesce(8).mapInArrow(run, "bits binary").collect():
+    for r in ids.coalesce(8).mapInArrow(lean(run), "bits binary").collect():
         out |= np.frombuffer(r.bits, np.uint8)
     return out
 
@@ -131,8 +131,8 @@ def _tokens_of(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
                                               pa.array([k[1] for k in kept], pa.list_(pa.int64()))],
                                              names=["cid", "tokens"])
 
-    passed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(sift, "doc_id long, text string")
-    return passed.join(wanted, "doc_id").select("text", "cid").mapInArrow(run, "cid long, tokens array<bigint>")
+    passed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean(sift), "doc_id long, text string")
+    return passed.join(wanted, "doc_id").select("text", "cid").mapInArrow(lean(run), "cid long, tokens array<bigint>")
 
 
 def _wanted(docs: DataFrame, classes: DataFrame, cids: DataFrame, words: int) -> DataFrame:
@@ -234,9 +234,11 @@ def _matrix_rows(kept: DataFrame, buckets: int) -> DataFrame:
             shared = np.repeat(shared, to - at) & ((flags & 8) == 0)
             out.append((groups[shared], flags[shared] & 1, tokens[shared]))
         groups, many, tokens = map(np.concatenate, zip(*out))
-        return pd.DataFrame({"id": groups, "many": many.astype(bool), "token": tokens})
+        out = pd.DataFrame({"id": groups, "many": many.astype(bool), "token": tokens})
+        release()
+        return out
 
-    dealt = kept.select("g", "many", "tokens").mapInArrow(deal, "bucket long, tokens binary, groups binary, flags binary")
+    dealt = kept.select("g", "many", "tokens").mapInArrow(lean(deal), "bucket long, tokens binary, groups binary, flags binary")
     return dealt.groupBy("bucket").applyInPandas(meet, "id long, many boolean, token long")
 
 

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledger_spark.llm.shipping import ship
-from ledger_spark.llm.texts import U64, row_slices, span_hashes, text_buffer
+from ledger_spark.llm.texts import U64, lean, row_slices, span_hashes, text_buffer
 
 PER_LANGUAGE = 150
 ROUNDS = 30
@@ -240,7 +240,7 @@ def labelled(docs: DataFrame, model: Model | None) -> DataFrame:
                 names=[*keep, "lang_pred", "score", "n_words"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in keep]).schema)
-    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, f"{kinds}, lang_pred string, score double, n_words long")
+    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(lean(run), f"{kinds}, lang_pred string, score double, n_words long")
 
 
 def held_out() -> Column:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledger_spark.llm.shipping import ship
+from ledger_spark.llm.texts import lean
 
 SAMPLE = 1500
 SLOTS = 1 << 12
@@ -241,7 +242,7 @@ def found(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
+        lean(run), f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

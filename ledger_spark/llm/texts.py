@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,27 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 WINDOW = 1 << 20
 
 
+def release() -> None:
+    """Give freed memory back to the system; a Python worker is used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that releases memory after every few batches and at its end."""
+    def wrapped(batches: Iterator) -> Iterator:
+        for i, out in enumerate(run(batches)):
+            yield out
+            del out
+            if i % 8 == 7:
+                release()
+        release()
+
+    return wrapped
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offset of each row; nulls are empty."""
     column = pc.fill_null(column, "")

@@ -22,6 +22,7 @@ from tokenizers import Tokenizer
 
 from ledger_spark.llm.bpe_codec import splitter
 from ledger_spark.llm.shipping import ship
+from ledger_spark.llm.texts import lean
 from ledger_spark.session import scratch_path
 
 END = 0
@@ -110,7 +111,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, pattern: str) ->
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = rows.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    dealt.mapInArrow(run, _FILES).write.options(**WRITER).parquet(folder)
+    dealt.mapInArrow(lean(run), _FILES).write.options(**WRITER).parquet(folder)
 
 
 def read_documents(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
@@ -148,7 +149,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
                 names=["doc_id", "shard", "before", "n_tokens", "ids_crc32"])
 
     read = rows.select("doc_id", "shard", "before", "ids").mapInArrow(
-        run, "doc_id long, shard int, before long, n_tokens long, ids_crc32 long")
+        lean(run), "doc_id long, shard int, before long, n_tokens long, ids_crc32 long")
     return read.join(_shard_starts(rows), "shard").select(
         "doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
