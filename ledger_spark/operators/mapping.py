@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from ledger_spark import settings
 from ledger_spark.functions import values as V
 from ledger_spark.sources import dimensions as D
-from ledger_spark.session import local_frame
 
 MAPPED_COLUMNS = ["line_item", "period_label", "period_type", "value_type", "frequency", "value",
                   "currency", "source_file", "source_page", "notes"]
@@ -47,28 +48,47 @@ def unmapped_headers(headers: DataFrame, column: str = "header") -> DataFrame:
 
 
 def header_plan(columns: list[str]) -> dict[str, str]:
-    """Raw column -> canonical column for one frame's own header; two passes, each target used once."""
+    """Raw column -> column for one frame's own header; every target is used once.
+
+    A column that has a canonical name keeps it.  Then synonyms choose, in column order, then rule families.  Of
+    columns that differ in case or blanks only, the first keeps a name; the others get a free one (`value_2`).
+    """
+    fields = {field for _, field, _, _ in settings.FIELDS} | set(settings.TAXONOMY_COLUMN.values())
     plan: dict[str, str] = {}
+    for raw in columns:
+        if raw in fields:
+            plan[raw] = raw
     for raw in columns:
         for _, field, _, synonyms in settings.FIELDS:
-            if raw.lower().strip() in {s.lower() for s in synonyms} and field not in plan.values():
+            if raw not in plan and field not in plan.values() and raw.lower().strip() in {s.lower() for s in synonyms}:
                 plan[raw] = field
-                break
+    for raw in columns:
+        field = settings.TAXONOMY_COLUMN.get(family_of(raw))
+        if raw not in plan and field and field not in plan.values():
+            plan[raw] = field
+    used = {name.lower() for name in plan.values()}
+    for raw in columns:
+        if raw not in plan:
+            name, n = raw, 1
+            while name.lower() in used:
+                n += 1
+                name = f"{raw}_{n}"
+            plan[raw] = name
+            used.add(name.lower())
     return plan
 
 
+def family_of(header: str) -> str | None:
+    """`taxonomy_family` of one header; a header has few names, so no job is needed."""
+    for name, patterns in settings.TAXONOMY:
+        if any(re.match(pattern, header, re.IGNORECASE) for pattern in patterns):
+            return name
+    return None
+
+
 def canonical_headers(df: DataFrame) -> DataFrame:
     """Rename columns to the canonical vocabulary; a rule family fills a field no synonym named."""
-    plan = header_plan(df.columns)
-    left = [c for c in df.columns if c not in plan]
-    if left:
-        families = {r["header"]: r["family"] for r in header_taxonomy(
-            local_frame(df.sparkSession, ["header"], [(c,) for c in left])).collect()}
-        for raw in left:
-            field = settings.TAXONOMY_COLUMN.get(families.get(raw))
-            if field and field not in plan.values():
-                plan[raw] = field
-    return df.withColumnsRenamed(plan)
+    return df.toDF(*[header_plan(df.columns)[c] for c in df.columns])
 
 
 def suggest_names(names: DataFrame, column: str, dictionary: list[str], cutoff: int) -> DataFrame:

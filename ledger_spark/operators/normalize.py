@@ -121,10 +121,10 @@ def stage_summary(judged: DataFrame, fact: DataFrame, key: list[str] = sinks.FAC
     They are counted by (key, reason) first; on those far fewer rows the fact table's keys are looked up.
     """
     groups = fact_columns(judged, ["reason"]).groupBy(*key, "reason").agg(F.count(F.lit(1)).alias("n"))
-    held = fact.select(*key).distinct().withColumn("_held", F.lit(True))
+    held = sinks.null_safe_key(fact, key).distinct().withColumn("_held", F.lit(True))
     good = F.col("reason").isNull()
     total = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
-    return groups.join(held, key, "left").agg(
+    return groups.join(held, sinks.null_safe_match(key), "left").agg(
         total(F.lit(True)).alias("rows_extracted"), total(good).alias("rows_normalized"),
         total(~good).alias("error_count"),
         *[total(F.col("reason") == r).alias(f"rejected_{r}") for r in REASONS],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -24,12 +26,22 @@ def last_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def append_new(fact: DataFrame, incoming: DataFrame, key: list[str] = FACT_KEY,
                order: list[str] | None = None) -> DataFrame:
-    """The incoming rows whose key the fact table does not hold yet, one per key."""
+    """The incoming rows whose key the fact table does not hold yet, one per key.  Null key parts equal each other."""
     order = order or [c for c in incoming.columns if c not in key]
-    return first_per_key(incoming, key, order).join(fact.select(*key), key, "left_anti") \
+    return first_per_key(incoming, key, order).join(null_safe_key(fact, key), null_safe_match(key), "left_anti") \
                                               .select(*incoming.columns)
 
 
+def null_safe_key(df: DataFrame, key: list[str]) -> DataFrame:
+    """The key columns under names of their own, for `null_safe_match`."""
+    return df.select(*[F.col(c).alias(f"_held_{c}") for c in key])
+
+
+def null_safe_match(key: list[str]) -> Column:
+    """Equality of all key parts, null with null.  Spark joins on it by hash or sort, as on plain equality."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_held_{c}")) for c in key])
+
+
 def append_counts(incoming: DataFrame, new_rows: DataFrame) -> DataFrame:
     """One row (incoming, inserted, skipped)."""
     both = incoming.select(F.lit(1).alias("i"), F.lit(0).alias("n")) \
@@ -51,14 +63,15 @@ def write_fact(new_rows: DataFrame, path: str, partition: str = "period_type") -
 
 
 def held_keys(spark: SparkSession, path: str, schema: StructType, incoming: DataFrame, key: list[str],
-              partition: str, at_most: int = 5000) -> DataFrame:
+              partition: str) -> DataFrame:
     """The keys of a fact table that `incoming` could meet: only the folders of its own partition values.
 
-    Those values come from the calendar; should there be more than `at_most`, all folders are read.
+    The values reach the scan as a join, however many there are; where Spark broadcasts them, it prunes the folders
+    while the query runs (the comparison with '' marks the join as selective).  Null values have a folder too.
     """
     held = spark.read.schema(schema).parquet(path)
-    values = [r[0] for r in incoming.select(partition).distinct().limit(at_most + 1).collect()]
-    return (held.where(F.col(partition).isin(values)) if len(values) <= at_most else held).select(*key)
+    values = incoming.where(F.col(partition).cast("string") >= "").select(partition).distinct()
+    return held.join(values, partition, "left_semi").unionByName(held.where(F.col(partition).isNull())).select(*key)
 
 
 def upsert(target: DataFrame, source: DataFrame, key: list[str], version: str) -> DataFrame:

@@ -132,3 +132,31 @@ def test_encodings_and_gate(spark, tmp_path):
 def test_jsonl(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"k": 1}\n{"k": \n{"k": 2}\n')
     assert sorted(r["k"] for r in files.scan_jsonl(spark, str(tmp_path), "k long").collect()) == [1, 2]
+
+
+def test_colliding_headers(spark):
+    assert M.header_plan(["amount", "value"]) == {"value": "value", "amount": "amount"}
+    assert M.header_plan(["frequency", "period_type", "value"])["period_type"] == "period_type"
+    for names in (["amount", "value", "colour"], ["frequency", "period_type", "value"], ["Amount", "amount ", "Amounts"]):
+        df = spark.createDataFrame([tuple("x" for _ in names)], ", ".join(f"`{n}` string" for n in names))
+        got = M.canonical_headers(df).columns
+        assert len({c.lower() for c in got}) == len(names) and "value" in got
+        assert M.apply_defaults(M.canonical_headers(df)).count() == 1
+
+
+def test_append_with_null_key_parts(spark):
+    rows = spark.createDataFrame([(1, "2025-01", "Revenue", "Actual", None, 5.0), (1, "2025-01", "Revenue", None, None, 6.0)],
+                                 "company_id int, period_label string, line_item string, value_type string, source_file string, value double")
+    first = sinks.append_new(rows.limit(0), rows)
+    assert first.count() == 2
+    assert sinks.append_new(first, rows).count() == 0
+
+
+def test_held_keys_of_many_partitions(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    fact = spark.range(30).selectExpr("cast(id as int) as k", "concat('p', id % 3) as part")
+    sinks.write_fact(fact, path, "part")
+    incoming = spark.createDataFrame([("p1",), ("p9",)], "part string")
+    got = sinks.held_keys(spark, path, fact.schema, incoming, ["k"], "part")
+    assert sorted(r.k for r in got.collect()) == list(range(1, 30, 3))
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
