@@ -91,17 +91,23 @@ def display_source(c: Column) -> Column:
 
 # -- hashes ------------------------------------------------------------------
 
+def _joined(mark: str, parts: list[Column]) -> Column:
+    """The parts in one string; a null part has a token of its own, so that parts never change places."""
+    return F.concat_ws(mark, *[F.coalesce(p.cast("string"), F.lit(settings.NULL_PART)) for p in parts])
+
+
 def row_hash(company: Column, period: Column, item: Column, value_type: Column, file: Column) -> Column:
-    return F.md5(F.concat_ws("_", *[x.cast("string") for x in (company, period, item, value_type, file)]))
+    return F.md5(_joined("_", [company, period, item, value_type, file]))
 
 
 def datapoint_hash(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
+    return F.sha2(_joined("|", list(parts)), 256)
 
 
-def error_fingerprint(error_type: Column, module: Column, function: Column, message: Column) -> Column:
-    """The first 12 hex digits of md5(type:module:function:first 100 characters of the message)."""
-    signature = F.concat_ws(":", error_type, module, function, F.substring(message, 1, 100))
+def error_fingerprint(error_type: Column, module: Column, function: Column, message: Column,
+                      characters: int = 100) -> Column:
+    """The first 12 hex digits of md5(type:module:function:first `characters` of the message)."""
+    signature = _joined(":", [error_type, module, function, F.substring(message, 1, characters)])
     return F.substring(F.md5(signature), 1, 12)
 
 

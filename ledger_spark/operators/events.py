@@ -80,10 +80,21 @@ def top_slow(ev: DataFrame, n: int = 10) -> DataFrame:
     return ev.orderBy(F.desc("value"), "event_id").limit(n)
 
 
-def last_n(ev: DataFrame, key: str, n: int = settings.METRIC_BUFFER) -> DataFrame:
-    """The last n per key; each task keeps at most n per key before the shuffle."""
-    newest = W.partitionBy(key).orderBy(F.desc("ts"), F.desc("event_id"))
-    return ev.withColumn("recency", F.row_number().over(newest)).where(F.col("recency") <= n)
+def last_n(ev: DataFrame, key: str, n: int = settings.METRIC_BUFFER, bucket_seconds: int = 3600) -> DataFrame:
+    """The last n per key with their `recency`, for any n; rows without a time come last.
+
+    Rows are counted per key and time bucket.  Buckets with n newer rows behind them are left out before any row is
+    shuffled, and rows are ranked inside the others only, so no task holds more of a key than one bucket.
+    """
+    rows = ev.withColumns({"_key": F.struct(key), "_bucket": F.coalesce(
+        F.floor(_micros(ev, "ts") / (bucket_seconds * 1_000_000)), F.lit(-(1 << 62)))})
+    newer = W.partitionBy("_key").orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+    needed = (rows.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+                  .select("_key", "_bucket", F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_newer"))
+                  .where(F.col("_newer") < n))
+    inside = F.row_number().over(W.partitionBy("_key", "_bucket").orderBy(F.desc("ts"), F.desc("event_id")))
+    return (rows.join(needed, ["_key", "_bucket"]).withColumn("recency", (F.col("_newer") + inside).cast("int"))
+                .where(F.col("recency") <= n).select(*ev.columns, "recency"))
 
 
 # -- errors ------------------------------------------------------------------
@@ -177,33 +188,43 @@ def running_count(df: DataFrame, key: str, order: list[str], name: str, bucket_s
 
 
 def trailing_count(df: DataFrame, keys: list[str], seconds: int, name: str, ts: str = "ts",
-                   closed: bool = True) -> DataFrame:
+                   closed: bool = True, pieces: int = settings.WINDOW_PIECES) -> DataFrame:
     """How many rows of the same keys lie in the `seconds` up to each row, that row and its ties included.
 
     `closed` counts a row exactly `seconds` old; otherwise it has just left.
 
     Time is cut into buckets as long as the window, so a row leaves the window in the bucket after its own.
-    Each row appears twice: where it enters, and one bucket later where it leaves.  Inside a bucket the
-    count is what the previous bucket handed over, plus entries, minus exits: running sums over one sort,
-    linear however dense the window is, and no window group is longer than two buckets.
+    Each row appears twice: where it enters, and one bucket later where it leaves.  At the start of a bucket
+    the window holds what leaves inside it.  A bucket is cut into `pieces`: their net changes are added up over
+    one small row per piece, and only inside a piece are rows sorted and counted one by one.  So the work is
+    linear however dense the window is, and a hot key, or no key at all, is spread over its pieces.
     """
     window = seconds * 1_000_000
     at = _micros(df, ts)
     bucket = F.floor(at / window)
+    # Entry and exit lie one window apart, so in pieces of the same number; rows without time share one.
+    piece = F.coalesce(F.floor(F.pmod(at, F.lit(window)) * pieces / window), F.lit(0))
     enter, leave = (0, 1) if closed else (1, 0)
-    rest = F.struct(*[c for c in df.columns if c not in keys])
-    # Only the entering copy carries the other columns; the leaving one is a key, a time and a sign.
-    moves = df.select(*keys, F.explode(F.array(
-        F.struct(bucket.alias("_bucket"), at.alias("_at"), F.lit(enter).alias("_phase"), rest.alias("_row")),
-        F.struct((bucket + 1).alias("_bucket"), (at + window).alias("_at"), F.lit(leave).alias("_phase"),
-                 F.lit(None).alias("_row")))).alias("_move")).select(*keys, "_move.*")
-    group = [*keys, "_bucket"]
-    so_far = W.partitionBy(*group).orderBy("_at", "_phase").rangeBetween(W.unboundedPreceding, W.currentRow)
+
+    def moves(*entering: Column) -> DataFrame:
+        """Entries and exits; only entries carry the other columns."""
+        sides = [(bucket, at, enter, list(entering)), (bucket + 1, at + window, leave, [F.lit(None).alias("_row")] * len(entering))]
+        both = F.explode(F.array(*[F.struct(F.struct(*keys, b.alias("_bucket")).alias("_key"), piece.alias("_piece"),
+                                            when.alias("_at"), F.lit(phase).alias("_phase"), *row)
+                                   for b, when, phase, row in sides]))
+        return df.select(both.alias("_move")).select("_move.*")
+
     exits = F.when(F.col("_phase") == leave, 1).otherwise(0)
     change = F.when(F.col("_phase") == leave, -1).otherwise(1)
-    count = F.sum(exits).over(W.partitionBy(*group)) + F.sum(change).over(so_far)
-    return (moves.withColumn(name, count).where(F.col("_phase") == enter)
-                 .select(*keys, "_row.*", name).select(*df.columns, name))
+    whole = W.partitionBy("_key")
+    earlier = whole.orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    before = (moves().groupBy("_key", "_piece").agg(F.sum(change).alias("_net"), F.sum(exits).alias("_out"))
+                     .select("_key", "_piece", (F.sum("_out").over(whole) + F.coalesce(F.sum("_net").over(earlier), F.lit(0)))
+                             .alias("_before")))
+    so_far = W.partitionBy("_key", "_piece").orderBy("_at", "_phase").rangeBetween(W.unboundedPreceding, W.currentRow)
+    rows = moves(F.struct(*df.columns).alias("_row")).withColumn("_inside", F.sum(change).over(so_far))
+    return (rows.where(F.col("_phase") == enter).join(before, ["_key", "_piece"])
+                .select("_row.*", (F.col("_before") + F.col("_inside")).alias(name)))
 
 
 def alerts_repeated(errors: DataFrame, n: int = settings.REPEATED_ERROR_COUNT) -> DataFrame:

@@ -239,23 +239,25 @@ def stream_alerts(t: Tables):
 
 @query("stream_rate_limit", sql=_LIMIT_SQL)
 def stream_rate_limit(t: Tables):
-    return _collected(t, J.stream_rate_limit(_event_stream(t), 3, 86400, "10 minutes"), "limits")
+    return _collected(t, J.stream_rate_limit(_event_stream(t), 3, 86400), "limits")
 
 
-@query("stream_ingest", sql=f"""WITH {JUDGED_SQL}
-SELECT DISTINCT company_id, canon AS period_label, item AS line_item, vt AS value_type, source_file FROM facts""")
+@query("stream_ingest", sql=f"""WITH {JUDGED_SQL},
+firsts AS (SELECT *, row_number() OVER (PARTITION BY company_id, canon, item, vt, source_file ORDER BY row_id) AS rn FROM facts)
+SELECT row_id, company_id, canon AS period_label, item AS line_item, vt AS value_type, source_file, {r4('amount', 'value')}
+FROM firsts WHERE rn = 1""")
 def stream_ingest(t: Tables):
-    """Raw rows dropped as CSV twice over; the second drop adds nothing."""
+    """Raw rows dropped as CSV twice, the second time after the first is in the sink: it adds nothing."""
     folder, sink, state = (scratch_path(t.spark, n) for n in ("drops", "facts", "ingest-state"))
     raw = t.raw_rows
-    for _ in range(2):
-        raw.write.mode("append").option("header", True).csv(folder)
     aliases, items = D.period_aliases(t.order_calendar), D.line_items(t.spark)
 
     def to_facts(batch: DataFrame) -> DataFrame:
         judged = N.judge(MP.map_rows(batch), items, aliases)
-        return N.accepted(judged, ["row_id"]).select("row_id", *sinks.FACT_KEY, "value", "period_type")
+        return N.accepted(judged, ["row_id"]).select(F.col("row_id").cast("long").alias("row_id"), *sinks.FACT_KEY, "value", "period_type")
 
     schema = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns]).schema
-    J.stream_ingest(t.spark, folder, schema, sink, state, to_facts).awaitTermination()
-    return t.spark.read.parquet(sink).select(*sinks.FACT_KEY)
+    for _ in range(2):
+        raw.write.mode("append").option("header", True).csv(folder)
+        J.stream_ingest(t.spark, folder, schema, sink, state, to_facts, order=["row_id"]).awaitTermination()
+    return t.spark.read.parquet(sink).select("row_id", *sinks.FACT_KEY, "value")

@@ -287,7 +287,7 @@ SELECT *, CASE WHEN item IS NULL THEN 'incomplete' WHEN canon IS NULL THEN 'peri
                WHEN item_id IS NULL THEN 'line_item' WHEN amount IS NULL THEN 'value' END AS reason
 FROM known),
 facts AS (SELECT *, CASE source_page WHEN 'Sheet1' THEN 1 WHEN 'Page 12' THEN 12 WHEN '7' THEN 7 END AS page,
-  md5(concat_ws('_', company_id, canon, item, vt, source_file)) AS hash FROM judged WHERE reason IS NULL)
+  md5(concat_ws('_', company_id, canon, item, coalesce(vt, '<null>'), coalesce(source_file, '<null>'))) AS hash FROM judged WHERE reason IS NULL)
 """
 
 HEADERS_SQL = f"""

@@ -143,6 +143,8 @@ DATE_FORMATS = ["yyyy-M-d", "M/d/yyyy", "d-M-yyyy", "yyyy/M/d"]
 # Text tokens.
 CURRENCY_SIGNS = "$€£¥"
 NULL_WORDS = ["nan", "none", "null"]
+# Stands for a missing part of a hashed key.
+NULL_PART = "<null>"
 NA_TOKENS = ["", "N/A", "NA", "null", "NULL"]
 UPLOAD_EXTENSIONS = ["csv", "xlsx", "pdf"]
 MAX_UPLOAD_BYTES = 10 * 1024 * 1024
@@ -301,11 +303,9 @@ HEALTH_UNHEALTHY_PCT = 95.0
 REPEATED_ERROR_COUNT = 5
 ERRORS_PER_MINUTE = 10
 METRIC_BUFFER = 1000
-SLOW_BUFFER = 100
-REQUESTS_PER_MINUTE = 100
+WINDOW_PIECES = 60
 MAX_QUESTIONS = 10
 
 # Which tables can be regenerated and the order to purge them in.
 TRANSIENT_TABLES = ["question_logs", "live_questions", "questions", "derived_metrics",
                     "generated_reports", "financial_metrics"]
-PERSISTENT_TABLES = ["companies", "periods", "line_item_definitions", "question_templates"]

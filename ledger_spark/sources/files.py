@@ -13,11 +13,11 @@ _FILE, _BLOCK = "_src_file", "_src_block"
 
 
 def _tidy_header(name: str) -> str:
-    return name.strip().replace("\n", " ").replace("\r", " ")
+    return name.strip().replace("\r\n", " ").replace("\n", " ").replace("\r", " ")
 
 
-def _read_csv(spark: SparkSession, path, with_position: bool = False, extra: list[str] = ()) -> DataFrame:
-    raw = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", False)
+def _read_csv(spark: SparkSession, path, with_position: bool = False, extra: list[str] = (), multi_line: bool = False) -> DataFrame:
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
            .option("escape", '"').csv(path))
     data = [F.col(f"`{c}`").cast("string").alias(_tidy_header(c)) for c in raw.columns if c not in extra]
     kept = [F.col(c).cast("string").alias(c) for c in extra]
@@ -30,9 +30,13 @@ def _any_value(columns: list[str]) -> Column:
     return F.coalesce(*[F.col(f"`{c}`") for c in columns]).isNotNull()
 
 
-def scan_csv(spark: SparkSession, path) -> DataFrame:
-    """Trimmed strings, blank -> null, rows without any value dropped, source marked 'CSV'."""
-    raw = _read_csv(spark, path)
+def scan_csv(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
+    """Trimmed strings, blank -> null, rows without any value dropped, source marked 'CSV'.
+
+    `multi_line` reads line ends inside quotes, in cells and headers; a file is then one task's work.  Without it
+    files are split over tasks, which is right only where no quoted text holds a line end.
+    """
+    raw = _read_csv(spark, path, multi_line=multi_line)
     cols = raw.columns
     return (raw.select(*[V.blank_to_null(F.col(f"`{c}`")).alias(c) for c in cols])
                .where(_any_value(cols)).withColumn("_source_sheet", F.lit("CSV")))
@@ -59,10 +63,10 @@ def _row_numbers(df: DataFrame, group: list[str], name: str, offset: int) -> Dat
                   .drop("_mono", "_first", "_before", *[f"_at{i}" for i in range(len(key))]))
 
 
-def scan_csv_na(spark: SparkSession, path, na_tokens: list[str] | None = None) -> DataFrame:
+def scan_csv_na(spark: SparkSession, path, na_tokens: list[str] | None = None, multi_line: bool = False) -> DataFrame:
     """NA tokens -> null; rows and columns without any value dropped; 1-based `_row_number` per file."""
     tokens = settings.NA_TOKENS if na_tokens is None else na_tokens
-    raw = _read_csv(spark, path, with_position=True)
+    raw = _read_csv(spark, path, with_position=True, multi_line=multi_line)
     cols = [c for c in raw.columns if c not in (_FILE, _BLOCK)]
     clean = raw.select(*[V.blank_to_null(F.col(f"`{c}`"), tokens).alias(c) for c in cols], _FILE, _BLOCK)
     filled = clean.agg(*[F.count(f"`{c}`").alias(c) for c in cols]).first()
@@ -71,12 +75,12 @@ def scan_csv_na(spark: SparkSession, path, na_tokens: list[str] | None = None) -
     return _row_numbers(rows, [_FILE], "_row_number", 1).drop(_FILE, _BLOCK)
 
 
-def scan_sheets(spark: SparkSession, path: str, sheet: str = "sheet") -> DataFrame:
+def scan_sheets(spark: SparkSession, path: str, sheet: str = "sheet", multi_line: bool = False) -> DataFrame:
     """A workbook as a folder `sheet=<name>/*.csv`: `_sheet_name`, `_row_index` (data row + 2), nulls tidied.
 
     Spark discovers the sheets as partitions, so any number of them is one scan.
     """
-    raw = _read_csv(spark, path, with_position=True, extra=[sheet])
+    raw = _read_csv(spark, path, with_position=True, extra=[sheet], multi_line=multi_line)
     cols = [c for c in raw.columns if c not in (_FILE, _BLOCK, sheet)]
     numbered = _row_numbers(raw, [sheet], "_row_index", 2)
     return (numbered.select(*[V.clean_text(F.col(f"`{c}`")).alias(c) for c in cols],
@@ -106,14 +110,14 @@ def file_lines(decoded: DataFrame) -> DataFrame:
                    .where(F.col("line") != ""))
 
 
-def admissible_files(files: DataFrame) -> DataFrame:
-    """The upload gate: allowed extension and at most 10 MB."""
+def admissible_files(files: DataFrame, extensions: list[str] = settings.UPLOAD_EXTENSIONS,
+                     at_most: int = settings.MAX_UPLOAD_BYTES) -> DataFrame:
+    """The upload gate over (path, length): allowed extension and no more than `at_most` bytes.  Other columns stay."""
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    ok_type = ext.isin(settings.UPLOAD_EXTENSIONS)
-    ok_size = F.col("length") <= settings.MAX_UPLOAD_BYTES
+    ok_type = ext.isin(extensions)
+    ok_size = F.col("length") <= at_most
     reason = F.when(~ok_type, "type").when(~ok_size, "size")
-    return files.select("path", "length", ext.alias("extension"), reason.isNull().alias("admitted"),
-                        reason.alias("reason"))
+    return files.withColumns({"extension": ext, "admitted": reason.isNull(), "reason": reason})
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:

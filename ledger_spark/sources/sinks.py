@@ -74,9 +74,10 @@ def held_keys(spark: SparkSession, path: str, schema: StructType, incoming: Data
     return held.join(values, partition, "left_semi").unionByName(held.where(F.col(partition).isNull())).select(*key)
 
 
-def upsert(target: DataFrame, source: DataFrame, key: list[str], version: str) -> DataFrame:
-    """Rows of both, the highest version per key winning."""
-    return last_per_key(target.unionByName(source), key, [version])
+def upsert(target: DataFrame, source: DataFrame, key: list[str], version: str, ties: list[str] | None = None) -> DataFrame:
+    """Rows of both, the highest version per key winning; of equal versions the highest by `ties` (all other columns)."""
+    ties = [c for c in target.columns if c not in (*key, version)] if ties is None else ties
+    return last_per_key(target.unionByName(source), key, [version, *ties])
 
 
 def seed_missing(dim: DataFrame, wanted: DataFrame, key: str = "name") -> DataFrame:

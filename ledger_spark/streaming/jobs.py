@@ -14,7 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledger_spark.operators import events as E
-from ledger_spark.session import written
 from ledger_spark.sources import sinks
 
 
@@ -34,20 +33,26 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
 # -- ingest ------------------------------------------------------------------
 
 def stream_ingest(spark: SparkSession, folder: str, schema: T.StructType, sink: str, checkpoint: str,
-                  to_facts, key: list[str] = sinks.FACT_KEY, partition: str = "period_label") -> StreamingQuery:
+                  to_facts, key: list[str] = sinks.FACT_KEY, partition: str = "period_label",
+                  order: list[str] | None = None, **options) -> StreamingQuery:
     """New CSV files -> facts appended where their key is absent.
 
     A batch that is replayed after a failure finds its own rows and adds none, so the sink stays exact.
     The sink has a folder per period, and a batch looks for its keys in the folders of its own periods only.
+    Of a key that a batch holds more than once the first by `order` stays.  `maxFilesPerTrigger` and friends go in
+    `options`.  A batch is kept (and spilled) by Spark while it is worked on, and released then.
     """
-    drops = spark.readStream.schema(schema).option("header", True).csv(folder)
+    drops = spark.readStream.schema(schema).options(header=True, **options).csv(folder)
 
     def append(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
-        facts = written(to_facts(batch), "batch")  # read for its periods and again for its rows
+        facts = to_facts(batch).persist()  # read for its periods and again for its rows
         known = sinks.held_keys(session, sink, facts.schema, facts, key, partition) \
             if _has_files(session, sink) else facts.limit(0)
-        sinks.write_fact(sinks.append_new(known, facts, key), sink, partition)
+        try:
+            sinks.write_fact(sinks.append_new(known, facts, key, order), sink, partition)
+        finally:
+            facts.unpersist()
 
     return (drops.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
                  .trigger(availableNow=True).start())
@@ -123,29 +128,26 @@ def stream_repeated_alerts(errors: DataFrame, at_least: int, keep: str, lateness
 
 # -- rate limit --------------------------------------------------------------
 
-def stream_rate_limit(ev: DataFrame, limit: int, seconds: int, lateness: str, client: str = "client") -> DataFrame:
+def stream_rate_limit(ev: DataFrame, limit: int, seconds: int, client: str = "client") -> DataFrame:
     """Allow or deny each request as it arrives; state is the last allowed times of a client, at most `limit`.
 
     A client's requests of one micro-batch are put in time order, so the batch size (`maxFilesPerTrigger`)
-    bounds what a task holds.
+    bounds what a task holds.  There is no watermark: a request that comes late is decided too, against the times held
+    then.  For that a client's few times stay in the state store for good.
     """
     decide = E.decider(limit, seconds * 1_000_000)
 
     def judge(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         held = deque(state.get[0] if state.exists else [])
         pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         micros = pdf["ts"].astype("datetime64[us]").astype("int64").tolist()
         allowed = decide(micros, held)
         state.update((list(held),))
-        state.setTimeoutTimestamp(max(micros[-1] // 1000, state.getCurrentWatermarkMs()) + seconds * 1000)
         yield pd.DataFrame({"event_id": pdf["event_id"], "client": key[0], "ts": pdf["ts"], "allowed": allowed})
 
     types = dict(ev.dtypes)
-    return (ev.withWatermark("ts", lateness).select(F.col(client).alias("client"), "event_id", "ts")
+    return (ev.select(F.col(client).alias("client"), "event_id", "ts")
               .groupBy("client")
               .applyInPandasWithState(judge, f"event_id {types['event_id']}, client {types[client]}, "
                                              "ts timestamp, allowed boolean",
-                                      "held array<long>", "append", GroupStateTimeout.EventTimeTimeout))
+                                      "held array<long>", "append", GroupStateTimeout.NoTimeout))

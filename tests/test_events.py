@@ -113,7 +113,7 @@ def test_streams_across_restarts(spark, busy, tmp_path):
         part = all_rows.where((F.col("event_id") >= low) & (F.col("event_id") < high))
         part.coalesce(1).write.mode("append").parquet(src)
         stream = J.event_stream(spark, src, part.schema)
-        J.run_to_table(J.stream_rate_limit(stream, 5, 60, "10 minutes"), out, state).awaitTermination()
+        J.run_to_table(J.stream_rate_limit(stream, 5, 60), out, state).awaitTermination()
     got = {r["event_id"]: r["allowed"] for r in spark.read.parquet(out).collect()}
     assert [got[i] for i in range(len(busy))] == brute_limit(busy, 5, 60)
 
@@ -135,3 +135,31 @@ def test_alert_stream(spark, tmp_path):
     out = str(tmp_path / "out")
     J.run_to_table(J.stream_repeated_alerts(stream, 5, "1 day", "1 minute"), out, str(tmp_path / "st")).awaitTermination()
     assert [(r["error_id"], r["count"]) for r in spark.read.parquet(out).collect()] == [("a", 8)]
+
+
+@pytest.mark.parametrize("n", [1, 7, 5000])
+def test_last_n_of_any_size(spark, busy, n):
+    got = {(r["client"], r["recency"]): r["event_id"] for r in E.last_n(log(spark, busy), "client", n, bucket_seconds=30).collect()}
+    want = {}
+    for c in {c for _, c in busy}:
+        mine = sorted(((t, i) for i, (t, d) in enumerate(busy) if d == c), reverse=True)[:n]
+        want |= {(c, k): i for k, (_, i) in enumerate(mine, 1)}
+    assert got == want
+
+
+def test_ordered_counts_put_no_key_into_one_window(spark, busy):
+    df = log(spark, busy)
+    for counted in (E.last_n(df, "client", 5000), E.trailing_count(df, ["client"], 60, "n"), E.trailing_count(df, [], 60, "n")):
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        ranks = [line for line in plan.splitlines() if "Window [" in line and ("event_id" in line or "_at" in line)]
+        assert ranks and all("_bucket" in line or "_piece" in line for line in ranks)
+
+
+def test_late_request_gets_a_decision(spark, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for part in ([(0, 100), (1, 101), (2, 4000)], [(3, 5000), (4, 0)]):
+        df = spark.createDataFrame([(i, T0 + dt.timedelta(seconds=s), 1) for i, s in part], "event_id long, ts timestamp_ntz, client long")
+        df.coalesce(1).write.mode("append").parquet(folder)
+        stream = J.event_stream(spark, folder, df.schema)
+        J.run_to_table(J.stream_rate_limit(stream, 5, 60), out, state).awaitTermination()
+    assert {r["event_id"] for r in spark.read.parquet(out).collect()} == {0, 1, 2, 3, 4}

@@ -160,3 +160,21 @@ def test_held_keys_of_many_partitions(spark, tmp_path):
     got = sinks.held_keys(spark, path, fact.schema, incoming, ["k"], "part")
     assert sorted(r.k for r in got.collect()) == list(range(1, 30, 3))
     assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quoted_line_ends(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"Line\nitem",value\n"Gross\nprofit","1,5"\n')
+    got = files.scan_csv(spark, str(tmp_path / "a.csv"), multi_line=True)
+    assert got.columns == ["Line item", "value", "_source_sheet"]
+    assert [tuple(r) for r in got.collect()] == [("Gross\nprofit", "1,5", "CSV")]
+
+
+def test_upload_gate_gives_both_reasons(spark):
+    df = spark.createDataFrame([("a/x.CSV", 10), ("a/x.csv", 11), ("a/x.exe", 11), ("noext", 1)], "path string, length long")
+    got = {(r["path"], r["admitted"], r["reason"]) for r in files.admissible_files(df, ["csv"], 10).collect()}
+    assert got == {("a/x.CSV", True, None), ("a/x.csv", False, "size"), ("a/x.exe", False, "type"), ("noext", False, "type")}
+
+
+def test_upsert_ties(spark, rows):
+    df = spark.createDataFrame([(1, 1, "a"), (1, 1, "b")], "k int, version int, v string")
+    assert rows(sinks.upsert(df.limit(0), df, ["k"], "version").select("k", "v")) == [(1, "b")]

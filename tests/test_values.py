@@ -114,3 +114,10 @@ def test_display_source(spark, raw, want):
 @pytest.mark.parametrize("path, want", [("/in/a.xlsx", ("a.xlsx", "XLSX")), ("b", ("b", "CSV"))])
 def test_source_tags(spark, path, want):
     assert tuple(one(spark, V.source_tags(F.col("c")), c=path)) == want
+
+
+def test_null_parts_keep_their_place_in_hashes(spark):
+    none = F.lit(None).cast("string")
+    assert one(spark, V.error_fingerprint(F.lit("T"), none, F.lit("f"), F.lit("m"))) \
+        != one(spark, V.error_fingerprint(F.lit("T"), F.lit("f"), none, F.lit("m")))
+    assert one(spark, V.datapoint_hash(F.lit("a"), none)) != one(spark, V.datapoint_hash(none, F.lit("a")))
