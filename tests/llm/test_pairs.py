@@ -75,6 +75,17 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 200: 200, 201: 200, 202: 200}
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_components_of_long_chains(spark, seed):
+    rng = random.Random(seed)
+    ids = [rng.randrange(1 << 62) for _ in range(1000)]
+    low = sorted(ids)[:2]  # the two smallest ids at the two ends
+    ids = [low[0], *[i for i in ids if i not in low], low[1]]
+    hub = [(1 << 62, (1 << 62) + i) for i in range(1, 50)]
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(list(zip(ids, ids[1:])) + hub, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(ids, low[0]), **dict.fromkeys([1 << 62, *[b for _, b in hub]], 1 << 62)}
+
+
 def distance(a, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(a, 1):
