@@ -1,9 +1,11 @@
 """Personal data: patterns, and a skip-chain conditional random field that carries their labels through a document.
 
 Patterns give the base spans.  The field labels the tokens with a digit or an at sign (any other token is clamped to "none", so
-it adds nothing); neighbours are joined by chain potentials, and each token to its next repetition in the document, however distant, by
-skip potentials.  Loopy message passing then makes labels consistent: the last part of a phone number that comes back
-alone is labelled by the number it came from.  Tokens labelled with certainty outside the base spans are spans too.
+it adds nothing); neighbours are joined by chain potentials, and all repetitions of a token in the document, however distant, by
+skip potentials to one hub node, so any two are two hops apart.  Tokens of base spans have the label of their span.  The other
+members of a hub share their own potentials: they count as one, however many they are.  Loopy message passing until nothing moves
+then makes labels consistent: the last part of a phone number that comes back alone, however often, is labelled by the number it
+came from.  Tokens labelled with certainty outside the base spans are spans too.
 
 Weights are fitted to the base spans of `SAMPLE` documents at most, picked by hash among those with such tokens.
 """
@@ -26,7 +28,10 @@ from ledger_spark.llm.texts import lean
 SAMPLE = 1500
 SLOTS = 1 << 12
 SURE = 0.95
-PASSES = 6
+#: Messages have settled when none moves by more; they are damped from the pass `UNDAMPED` on.
+SETTLED = 1e-4
+UNDAMPED = 20
+JOINTS = ("repeated",)
 KINDS = ("email", "ip", "card", "phone")
 _PATTERNS = (
     re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
@@ -66,15 +71,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass
 class Graph:
-    """The marked tokens of a document: places, feature slots, core texts, chain and skip edges."""
+    """The marked tokens of a document: places, feature slots, chain edges, and hubs of tokens as (kind of JOINTS, members)."""
     places: list[tuple[int, int]]
     slots: list[list[int]]
     chain: np.ndarray
-    skip: np.ndarray
+    hubs: list[tuple[int, list[int]]]
+
+
+def joint_keys(raw: str) -> list[tuple[int, str]]:
+    """(kind of JOINTS, key): tokens of a document with a common key share a hub."""
+    core = _NOT_ALNUM.sub("", raw.lower())
+    return [(0, core)] if len(core) >= 4 else []
 
 
 def graph(text: str) -> Graph:
-    places, slots, cores, chain = [], [], [], []
+    places, slots, chain = [], [], []
+    members: dict[tuple[int, str], list[int]] = {}
     before, was = "", False
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
     for i, (start, end) in enumerate(tokens):
@@ -90,17 +102,12 @@ def graph(text: str) -> Graph:
             slots.append([zlib.crc32(n.encode("utf-8", "replace")) % SLOTS for n in names])
             if was:
                 chain.append((len(places) - 1, len(places)))
+            for key in joint_keys(raw):
+                members.setdefault(key, []).append(len(places))
             places.append((start, end))
-            cores.append(_NOT_ALNUM.sub("", raw.lower()))
         before, was = re.sub("[0-9]", "9", raw), marked
-    last: dict[str, int] = {}
-    skip, joined = [], set(chain)
-    for i, core in enumerate(cores):
-        if len(core) >= 4:
-            if core in last and (last[core], i) not in joined:
-                skip.append((last[core], i))
-            last[core] = i
-    return Graph(places, slots, np.array(chain, int).reshape(-1, 2), np.array(skip, int).reshape(-1, 2))
+    hubs = {(kind, tuple(own)): None for (kind, _), own in members.items() if len(own) > 1}
+    return Graph(places, slots, np.array(chain, int).reshape(-1, 2), [(kind, list(own)) for kind, own in hubs])
 
 
 def token_labels(places: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[int]:
@@ -117,22 +124,26 @@ def token_labels(places: list[tuple[int, int]], spans: list[tuple[int, int, int]
 class Model:
     weights: np.ndarray  # SLOTS x labels
     chain: np.ndarray  # log potentials, labels x labels
-    skip: np.ndarray
+    skip: np.ndarray  # the same of each kind of JOINTS
+    hub: np.ndarray  # log shares of the labels of hubs of each kind
 
 
 def train(texts: list[str]) -> Model:
-    """Weights by regression on the base spans, potentials from how labels go together along chain and skip edges."""
+    """Weights by regression on the base spans, potentials from how labels go together along chain edges and in hubs."""
     labels = len(KINDS) + 1
-    slots, gold, pairs = [], [], ([], [])
+    slots, gold, along, within = [], [], [], [[] for _ in JOINTS]
     for text in texts:
         g = graph(text)
         own = token_labels(g.places, base_spans(text))
-        for a, b in [*g.skip, *g.skip[::-1]]:  # a repetition that the patterns miss is an example, not a counterexample
-            own[a], own[b] = own[a] or own[b], own[b] or own[a]
+        heads = [next((own[i] for i in members if own[i]), 0) for _, members in g.hubs]
+        for head, (_, members) in zip(heads, g.hubs):
+            for i in members:  # a repetition that the patterns miss is an example, not a counterexample
+                own[i] = own[i] or head
         slots += g.slots
         gold += own
-        for to, edges in zip(pairs, (g.chain, g.skip)):
-            to += [(own[a], own[b]) for a, b in edges]
+        along += [(own[a], own[b]) for a, b in g.chain]
+        for head, (kind, members) in zip(heads, g.hubs):
+            within[kind] += [(head, own[i]) for i in members]
     weights = np.zeros((SLOTS, labels))
     if slots:
         at, target = np.array(slots), np.eye(labels)[gold]
@@ -145,43 +156,65 @@ def train(texts: list[str]) -> Model:
             past += slope * slope
             weights += 0.2 * slope / np.sqrt(past)
 
-    def potential(seen: list[tuple[int, int]]) -> np.ndarray:
+    def potential(seen: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         joint = np.full((labels, labels), 0.1) + 0.9 * np.eye(labels)
         for a, b in seen:
             joint[a, b] += 1
             joint[b, a] += 1
         joint /= joint.sum()
         side = joint.sum(1)
-        return np.clip(np.log(joint / side[:, None] / side[None, :]), -4, 4)
+        return np.clip(np.log(joint / side[:, None] / side[None, :]), -4, 4), np.log(side)
 
-    return Model(weights, potential(pairs[0]), potential(pairs[1]))
+    skip, hub = zip(*map(potential, within))
+    return Model(weights, potential(along)[0], np.stack(skip), np.stack(hub))
 
 
-def marginals(model: Model, g: Graph) -> np.ndarray:
-    """Each token's distribution over labels after `PASSES` rounds of loopy message passing."""
+def marginals(model: Model, g: Graph, given: list[int] | None = None) -> np.ndarray:
+    """Each token's distribution over labels once loopy message passing has settled; labels `given` (not 0) are certain."""
     labels = model.weights.shape[1]
     if not g.places:
         return np.zeros((0, labels))
-    unary = model.weights[np.array(g.slots)].sum(1)
-    unary = np.exp(unary - unary.max(1, keepdims=True))
-    edges = np.concatenate([g.chain, g.skip])
+    size = len(g.places)
+    known = np.array(given if given is not None else [0] * size)
+    unary = np.zeros((size + len(g.hubs), labels))
+    unary[:size] = model.weights[np.array(g.slots)].sum(1)
+    unary[:size][known > 0] = -700.0
+    unary[np.flatnonzero(known), known[known > 0]] = 0.0
+    unary[size:] = model.hub[[kind for kind, _ in g.hubs]]
+    unary -= unary.max(1, keepdims=True)
+    chain, spokes, kinds, share = g.chain, [], [], []
+    for hub, (kind, members) in enumerate(g.hubs):
+        free = max(1, sum(known[i] == 0 for i in members))
+        spokes += [(i, size + hub) for i in members]
+        kinds += [kind] * len(members)
+        share += [1.0 if known[i] else 1.0 / free for i in members]
+    edges = np.concatenate([chain, np.array(spokes, int).reshape(-1, 2)])
     source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-    table = np.exp(np.stack([model.chain] * len(g.chain) + [model.skip] * len(g.skip))) if len(edges) else np.zeros((0, labels, labels))
+    table = np.exp(np.concatenate([np.stack([model.chain] * len(chain)) if len(chain) else np.zeros((0, labels, labels)), model.skip[kinds]]))
     table = np.concatenate([table, table.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-    sent = np.full((2 * len(edges), labels), 1 / labels)
+    # What a token tells its hub is weighed by its share of the hub's free members.
+    weight = np.concatenate([np.ones(len(chain)), share, np.ones(len(edges))])[:, None]
+    told = np.full((2 * len(edges), labels), -np.log(labels))
 
     def belief() -> np.ndarray:
-        logs = np.log(unary + 1e-300)
-        np.add.at(logs, target, np.log(sent + 1e-300))
+        logs = unary.copy()
+        np.add.at(logs, target, told)
         return logs
 
-    for _ in range(PASSES if len(edges) else 0):
-        inward = belief()[source] - np.log(sent[back] + 1e-300)
+    # A label reaches the end of the longest path within so many passes; settling comes long before, as a rule.
+    for turn in range(2 * len(unary) + 100 if len(edges) else 0):
+        inward = belief()[source] - told[back]
         inward = np.exp(inward - inward.max(1, keepdims=True))
         sent = np.einsum("ea,eab->eb", inward, table)
-        sent /= sent.sum(1, keepdims=True)
-    out = belief()
+        fresh = weight * np.log(sent / sent.sum(1, keepdims=True) + 1e-300)
+        if turn >= UNDAMPED:
+            fresh = (fresh + told) / 2
+        moved = np.abs(fresh - told).max()
+        told = fresh
+        if moved < SETTLED:
+            break
+    out = belief()[:size]
     out = np.exp(out - out.max(1, keepdims=True))
     return out / out.sum(1, keepdims=True)
 
@@ -191,10 +224,10 @@ def extra_spans(model: Model, text: str, base: list[tuple[int, int, int]]) -> li
     if not _MARK.search(text):
         return []
     g = graph(text)
-    free = [label == 0 for label in token_labels(g.places, base)]
+    given = token_labels(g.places, base)
     out = []
-    for (start, end), own, p in zip(g.places, free, marginals(model, g)):
-        if own and p[1:].max() >= SURE:
+    for (start, end), label, p in zip(g.places, given, marginals(model, g, given)):
+        if not label and p[1:].max() >= SURE:
             while start < end and not text[start].isalnum() and text[start] != "+":
                 start += 1
             while end > start and not text[end - 1].isalnum():

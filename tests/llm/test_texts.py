@@ -185,6 +185,21 @@ def test_skip_edges_carry_labels():
     assert skip_chain_pii.extra_spans(model, "12 apples and 34 pears", []) == []
 
 
+@pytest.mark.parametrize("times", [1, 8, 40, 300])
+def test_skip_hubs_reach_every_repetition(times):
+    model = skip_chain_pii.train([f"call +1 (0{i % 90 + 10}) 555-{1000 + i} now and again 555-{1000 + i} or {i} apples" for i in range(200)])
+    text = "call +1 (017) 555-7713 now. " + "nothing here 555-7713 at all. " * times
+    added = skip_chain_pii.extra_spans(model, text, skip_chain_pii.base_spans(text))
+    assert [(k, text[s:e]) for k, s, e in added] == [(skip_chain_pii.KINDS.index("phone"), "555-7713")] * times
+
+
+def test_skip_hubs_share_in_real_model(spark):
+    model = skip_chain_pii.learned(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    for times in (1, 8, 40):
+        text = "call +1 (017) 555-7713 now. " + "nothing here 555-7713 at all. " * times
+        assert len(skip_chain_pii.extra_spans(model, text, skip_chain_pii.base_spans(text))) == times
+
+
 def test_personal_data_of_odd_rows(spark, odd, nothing):
     model = skip_chain_pii.learned(odd)
     got = skip_chain_pii.found(odd, model).collect()
