@@ -2,7 +2,9 @@
 
 Patterns give the base spans.  The field labels the tokens with a digit or an at sign (any other token is clamped to "none", so
 it adds nothing); neighbours are joined by chain potentials, and all repetitions of a token in the document, however distant, by
-skip potentials to one hub node, so any two are two hops apart.  Tokens of base spans have the label of their span.  The other
+skip potentials to one hub node, so any two are two hops apart.  So are similar tokens: numbers with the same last seven digits,
+addresses with the same local part or domain, and tokens of one digit shape that agree in the first or the second half of
+their digits, as any two do that differ in one digit.  A token has a few keys, so edges grow with the tokens.  Tokens of base spans have the label of their span.  The other
 members of a hub share their own potentials: they count as one, however many they are.  Loopy message passing until nothing moves
 then makes labels consistent: the last part of a phone number that comes back alone, however often, is labelled by the number it
 came from.  Tokens labelled with certainty outside the base spans are spans too.
@@ -31,7 +33,9 @@ SURE = 0.95
 #: Messages have settled when none moves by more; they are damped from the pass `UNDAMPED` on.
 SETTLED = 1e-4
 UNDAMPED = 20
-JOINTS = ("repeated",)
+JOINTS = ("repeated", "last seven digits", "local part", "domain", "shape and first half", "shape and second half")
+#: The kinds of JOINTS of which a member that the patterns miss is an example for the weights.
+EXAMPLES = (0, 1, 2, 4, 5)
 KINDS = ("email", "ip", "card", "phone")
 _PATTERNS = (
     re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
@@ -42,6 +46,7 @@ _PATTERNS = (
 _NEEDS = ("@", ".", None, "+")
 _MARK = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
+_EDGES = re.compile(r"^[^0-9a-z+]+|[^0-9a-z]+$")
 _NOT_ALNUM = re.compile(r"[^0-9a-z]+")
 
 
@@ -80,8 +85,20 @@ class Graph:
 
 def joint_keys(raw: str) -> list[tuple[int, str]]:
     """(kind of JOINTS, key): tokens of a document with a common key share a hub."""
-    core = _NOT_ALNUM.sub("", raw.lower())
-    return [(0, core)] if len(core) >= 4 else []
+    low = _EDGES.sub("", raw.lower())
+    core, digits = _NOT_ALNUM.sub("", low), re.sub("[^0-9]", "", low)
+    keys = [(0, core)] if len(core) >= 4 else []
+    local, at, domain = low.rpartition("@")
+    if at:
+        return keys + [(kind, part) for kind, part in ((2, local), (3, domain)) if len(part) >= 4]
+    if re.search("[a-z]", low):
+        return keys + ([(2, low), (3, low)] if len(low) >= 4 else [])
+    if len(digits) >= 7:
+        keys.append((1, digits[-7:]))
+    if len(digits) >= 7:
+        shape, half = re.sub("[0-9]", "9", low), len(digits) // 2
+        keys += [(4, f"{shape} {digits[:half]}"), (5, f"{shape} {digits[half:]}")]
+    return keys
 
 
 def graph(text: str) -> Graph:
@@ -136,8 +153,8 @@ def train(texts: list[str]) -> Model:
         g = graph(text)
         own = token_labels(g.places, base_spans(text))
         heads = [next((own[i] for i in members if own[i]), 0) for _, members in g.hubs]
-        for head, (_, members) in zip(heads, g.hubs):
-            for i in members:  # a repetition that the patterns miss is an example, not a counterexample
+        for head, (kind, members) in zip(heads, g.hubs):
+            for i in members if kind in EXAMPLES else ():  # a repetition or likeness that the patterns miss is an example, not a counterexample
                 own[i] = own[i] or head
         slots += g.slots
         gold += own

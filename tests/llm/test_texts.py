@@ -193,6 +193,28 @@ def test_skip_hubs_reach_every_repetition(times):
     assert [(k, text[s:e]) for k, s, e in added] == [(skip_chain_pii.KINDS.index("phone"), "555-7713")] * times
 
 
+def test_similar_tokens_share_labels():
+    def number(i):
+        return str(2_000_000 + 7919 * i)[:7]
+
+    train = [f"call +1 (0{i % 90 + 10}) {number(i)[:3]}-{number(i)[3:]} now or 1017{number(i)} later, {i} apples, no {9_000_000 + i}" for i in range(200)]
+    train += [f"call +1 (017) 5{i:02}-8{i:03} now or 5{i:02}-8{i + 1:03} later, {i} apples" for i in range(10, 90)]
+    train += [f"mail und.{i}@mail{i}.example.com or und.{i} at mail{i}.example.com now" for i in range(200)]
+    model = skip_chain_pii.train(train)
+
+    def added(text):
+        return [text[s:e] for _, s, e in skip_chain_pii.extra_spans(model, text, skip_chain_pii.base_spans(text))]
+
+    far = "nothing here " * 200
+    assert added(f"call +1 (017) 555-7713 now {far} or 10175557713 later") == ["10175557713"]
+    assert added(f"call +1 (017) 555-7713 now {far} or 555-7714 later") == ["555-7714"]
+    assert added(f"mail und.77@mail3.example.com {far} or und.77 now") == ["und.77"]
+    assert added(f"{far} no 9000001 and 34 pears") == []
+    for a, b, kind in (("(555)-7713", "+1-017-555-7713", 1), ("jo.b@x1.org", "jo.b@y22.net", 2), ("ann1@mail3.org", "bob2@mail3.org", 3),
+                       ("4111111111111111", "4111111111111112", 4), ("4111111111111111", "4211111111111111", 5)):
+        assert kind in {k for k, _ in set(skip_chain_pii.joint_keys(a)) & set(skip_chain_pii.joint_keys(b))}
+
+
 def test_skip_hubs_share_in_real_model(spark):
     model = skip_chain_pii.learned(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     for times in (1, 8, 40):
