@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledger_spark.llm.shipping import ship
-from ledger_spark.llm.texts import U64, lean, row_slices, span_hashes, text_buffer
+from ledger_spark.llm.texts import U64, lean, least_texts, row_slices, span_hashes, text_buffer
 
 PER_LANGUAGE = 150
 ROUNDS = 30
@@ -196,16 +196,9 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Model:
 def learned(docs: DataFrame, usable: Column) -> Model | None:
     """A model of the `usable` rows of `docs` (doc_id, text, lang) with text and label; None if there are none."""
     pool = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = dict(tuple(r) for r in pool.groupBy("lang").count().collect())  # a row per language
-    if not sizes:
-        return None
-    chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, PER_LANGUAGE / n))) for k, n in sizes.items()])
-    picked = pool.where(chance < share).select("lang", "text", chance.alias("chance"), "doc_id").collect()
     by: dict[str, list] = {}
-    for r in sorted(picked, key=lambda r: (r.chance, r.text)):
-        if len(by.setdefault(r.lang, [])) < PER_LANGUAGE:
-            by[r.lang].append(r.text)
+    for lang, text in least_texts(pool.select(F.col("lang").alias("of"), "text"), PER_LANGUAGE):
+        by.setdefault(lang, []).append(text)
     rows = [(t, k) for k in sorted(by) for t in by[k] if _LETTER.search(t)]
     return train([t for t, _ in rows], [k for _, k in rows]) if rows else None
 

@@ -9,7 +9,7 @@ members of a hub share their own potentials: they count as one, however many the
 then makes labels consistent: the last part of a phone number that comes back alone, however often, is labelled by the number it
 came from.  Tokens labelled with certainty outside the base spans are spans too.
 
-Weights are fitted to the base spans of `SAMPLE` documents at most, picked by hash among those with such tokens.
+Weights are fitted to the base spans of `SAMPLE` different texts at most, picked by hash among those with such tokens.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledger_spark.llm.shipping import ship
-from ledger_spark.llm.texts import lean
+from ledger_spark.llm.texts import lean, least_texts
 
 SAMPLE = 1500
 SLOTS = 1 << 12
@@ -255,14 +255,8 @@ def extra_spans(model: Model, text: str, base: list[tuple[int, int, int]]) -> li
 
 
 def learned(docs: DataFrame) -> Model:
-    """A model of a bounded sample of the texts with marked tokens; whole texts are used."""
-    pool = docs.where(F.col("text").rlike("[0-9@]"))
-    count = pool.count()
-    if not count:
-        return train([])
-    chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    rows = pool.where(chance < min(1.0, SAMPLE / count)).select(chance.alias("chance"), "text").collect()
-    return train([r.text for r in sorted(rows)[:2 * SAMPLE]])
+    """A model of at most `SAMPLE` different texts with marked tokens, those of the least hashes; whole texts are used."""
+    return train([text for _, text in least_texts(docs.where(F.col("text").rlike("[0-9@]")).select(F.lit("").alias("of"), "text"), SAMPLE)])
 
 
 def spelled(spans: list[tuple[int, int, int]]) -> str:

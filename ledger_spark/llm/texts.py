@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 U64 = np.uint64
 _SEPARATORS = np.zeros(256, bool)
@@ -42,6 +44,30 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
+def least_texts(rows: DataFrame, most: int) -> list[tuple[str, str]]:
+    """(of, text): of each class `of` of `rows` (of, text) the `most` different texts of the least hashes, by class and hash.
+
+    Classes are few.  Different hashes are counted first, and a bound on the hash lets a few more than `most` of each
+    class through, which are read once each; should fewer come, the bound is widened.  Neither ids nor repeated texts have a say.
+    """
+    size = 1 << 30
+    hashed = rows.withColumn("hash", F.xxhash64("text")).withColumn("place", F.pmod("hash", F.lit(size)))
+    sizes = dict(tuple(r) for r in hashed.select("of", "hash").distinct().groupBy("of").count().collect())
+    out: list[tuple[str, str]] = []
+    room = most + 8 * most ** 0.5 + 16
+    while sizes:
+        below = F.coalesce(*[F.when(F.col("of") == k, F.lit(math.ceil(size * min(1.0, room / n)))) for k, n in sizes.items()])
+        picked = hashed.where(F.col("place") < below).groupBy("of", "place", "hash").agg(F.min("text").alias("text")).collect()
+        by: dict[str, list] = {}
+        for r in sorted(picked, key=lambda r: (r["of"], r["place"], r["hash"])):
+            by.setdefault(r["of"], []).append(r["text"])
+        for k in [k for k, n in sizes.items() if len(by.get(k, ())) >= min(most, n)]:
+            out += [(k, text) for text in by[k][:most]]
+            del sizes[k]
+        room *= 2
+    return sorted(out, key=lambda r: r[0])
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offset of each row; nulls are empty."""
     column = pc.fill_null(column, "")

@@ -268,6 +268,29 @@ def test_pipeline_stages(spark, odd):
     assert 5 not in kept and kept.count(4) == 2
 
 
+def test_samples_of_hot_ids(spark):
+    from ledger_spark.llm.texts import least_texts
+    rows = [("en", f"text {i}") for i in range(50)] + [("en", "hot")] * 300 + [("de", f"wort {i}") for i in range(3)] + [("de", "text 1")]
+    got = least_texts(spark.createDataFrame(rows, "of string, text string").repartition(7), 10)
+    want = {k: sorted({t for of, t in rows if of == k}) for k in ("de", "en")}
+    assert len(got) == len(set(got)) == 14 and all(t in want[k] for k, t in got)
+    assert got == least_texts(spark.createDataFrame(rows[::-1], "of string, text string"), 10)
+    # All rows without id: no more than the sample comes to the driver, and its texts differ.
+    docs = spark.createDataFrame([(None, f"call {i} now", "en") for i in range(4000)] + [(i, f"mail {i}@x.de", "de") for i in range(50)],
+                                 "doc_id long, text string, lang string")
+    seen = []
+    train, learn = skip_chain_pii.train, language_crf.train
+    try:
+        skip_chain_pii.train = seen.append
+        language_crf.train = lambda texts, languages: seen.append(list(zip(languages, texts)))
+        skip_chain_pii.learned(docs)
+        language_crf.learned(docs, ~language_crf.held_out())
+    finally:
+        skip_chain_pii.train, language_crf.train = train, learn
+    assert len(seen[0]) == len(set(seen[0])) == skip_chain_pii.SAMPLE and any("@" in t for t in seen[0])
+    assert sum(k == "en" for k, _ in seen[1]) == language_crf.PER_LANGUAGE and any(k == "de" for k, _ in seen[1])
+
+
 @pytest.mark.parametrize("name", ["op1_warc_bundles", "op6_blob_ledger"])
 def test_against_sql(spark, queries, name):
     import duckdb
