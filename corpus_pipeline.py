@@ -9,6 +9,7 @@ from ledger_spark.session import scratch_path, written
 
 #: Share of a document's words that its language must hold.
 SURE = 0.5
+KEY = "_row_key"
 ORACLE_SQL = None
 
 
@@ -19,18 +20,37 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return marked.where((F.col("lang_pred") != language_crf.UNDECIDED) & (F.col("score") >= SURE)).select(docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """`docs` and a row key of id and text, which rows without id have too; only rows equal in both share it."""
+    return docs.withColumn(KEY, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents (five words, similarity 0.8) the one with the smallest doc_id stays; documents without id all stay."""
-    linked = jaccard_join.linked_groups(docs, words=5, percent=80)
-    gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of linked rows (five words, similarity 0.8) those of the smallest doc_id stay, and of these those of one text.
+
+    Rows without id come last, and one of those with one text stays.  A row that comes again with id and text is
+    the same document and stays as often as it came.  Rows without a word link with nothing and all stay.
+    """
+    rows = keyed(docs)
+    linked = written(jaccard_join.linked_groups(rows.select(F.col(KEY).alias("doc_id"), "text"), words=5, percent=80).select(
+        F.col("doc_id").alias(KEY), "component_id").distinct(), "linked")
+    many = linked.groupBy("component_id").count().where("count > 1").select("component_id")
+    of = written(linked.join(many, "component_id").join(rows.select(KEY, "doc_id").distinct(), KEY), "linked")
+    first = of.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias("first")).select(
+        "component_id", F.col(f"first.{KEY}").alias("first"))
+    gone = written(of.join(first, "component_id").where(F.col(KEY) != F.col("first")).select(KEY), "gone")
+    left = rows.join(gone, KEY, "left_anti")
+    bare = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    once = left.where(bare).groupBy(KEY).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
+    return left.where(~bare).select(docs.columns).union(once)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = written(found.select("doc_id").where("doc_id is not null").distinct(), "leaks")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold a test item go, with or without id; another text under the same doc_id stays."""
+    rows = keyed(docs)
+    found = decontaminate.contaminated(rows.select(F.col(KEY).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = written(found.select(F.col("doc_id").alias(KEY)).distinct(), "leaks")
+    return rows.join(gone, KEY, "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

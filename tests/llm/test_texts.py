@@ -291,6 +291,47 @@ def test_samples_of_hot_ids(spark):
     assert sum(k == "en" for k, _ in seen[1]) == language_crf.PER_LANGUAGE and any(k == "de" for k, _ in seen[1])
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    from ledger_spark.llm import decontaminate
+    from .test_pairs import linked
+    words = "the of and to in is that for it with as was on be at by this from or have an they which one you were all her she there".split()
+    rng = random.Random(5)
+    base = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(8)]
+    item = "what is the name of that one river which all of them were at by this mill"
+    texts = [(1, base[0]), (1, base[1]), (None, base[0]), (None, base[2]), (None, base[2]), (2, base[2] + " from"), (None, base[3]), (None, base[3]),
+             (None, base[3] + " have"), (3, base[4]), (3, base[4] + " item " + item), (None, base[5] + " " + item), (4, base[6]), (4, base[6]),
+             (5, base[6]), (5, base[7]), (7, base[7] + " all"), (7, base[7] + " her")]
+    docs = [(i, t, "en", "s", len(t)) for i, t in texts]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    frame = spark.createDataFrame(docs, schema)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    order = sorted(set(texts), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    group = linked([(k, t) for k, (_, t) in enumerate(order)], 5, 80)
+
+    def survivors(rows):  # of each group all rows of the smallest id and one text; a text without id once
+        best = {}
+        for r in rows:
+            best.setdefault(group[order.index(r)][1], set()).add(r)
+        out = []
+        for members in best.values():
+            least = min((r[0] is None, r[0] or 0) for r in members)
+            out.append([r for r in members if (r[0] is None, r[0] or 0) == least])
+        return out
+
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, frame, str(tmp_path)).collect()]
+    groups = survivors(texts)
+    for candidates in groups:
+        kept = [r for r in got if r in candidates]
+        assert len(set(kept)) == 1 and len(kept) == (1 if kept[0][0] is None else texts.count(kept[0]))
+    assert len(got) == sum(len([r for r in got if r in c]) for c in groups)
+    clean = [(r.doc_id, r.text) for r in corpus_pipeline.leaks(spark, frame, str(tmp_path)).collect()]
+    assert sorted(clean, key=str) == sorted(((i, t) for i, t in texts if decontaminate.normal(item) not in decontaminate.normal(t)), key=str)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = [r for r in got if r in clean]
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(i) for i, _ in left)
+
+
 @pytest.mark.parametrize("name", ["op1_warc_bundles", "op6_blob_ledger"])
 def test_against_sql(spark, queries, name):
     import duckdb
