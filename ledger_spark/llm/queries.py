@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledger_spark.llm import (blob_ledger, bpe_codec, decontaminate, jaccard_join, kneser_ney, language_crf, projection_forest,
-                              skip_chain_pii, token_files, warc_bundles)
+from ledger_spark.llm import (blob_ledger, bpe_codec, conversation_repair, decontaminate, jaccard_join, kneser_ney, language_crf,
+                              projection_forest, skip_chain_pii, token_files, trie_bpe, vector_codes, warc_bundles)
 
 QUERIES = {
     "op1_warc_bundles": warc_bundles.op1,
@@ -16,11 +16,16 @@ QUERIES = {
     "op8_token_files": token_files.op8,
     "op9_decontaminate": decontaminate.op9,
     "op10_kneser_ney": kneser_ney.op10,
+    "op11_vector_codes": vector_codes.op11,
+    "op12_trie_bpe": trie_bpe.op12,
+    "op13_conversation_repair": conversation_repair.op13,
 }
 
 ORACLES = {
     "op1_warc_bundles": warc_bundles.SQL1,
     "op6_blob_ledger": blob_ledger.SQL6,
+    "op11_vector_codes": vector_codes.SQL11,
+    "op13_conversation_repair": conversation_repair.SQL13,
 }
 
 

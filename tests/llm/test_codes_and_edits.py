@@ -1,0 +1,262 @@
+"""Vector codes, the trie's encodings and repaired conversations against plain Python and public libraries."""
+
+import hashlib
+import itertools
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from ledger_spark.llm import conversation_repair as repair, trie_bpe, vector_codes
+
+from .conftest import SF
+
+FILE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+# -- vector codes ------------------------------------------------------------
+
+def plain_codes(rows):
+    """(vec_id, code, error, label_error, digest) with Python's integers; rows are (vec_id, vector, label)."""
+    kept = sorted([r for r in rows if r[1] is not None and all(x is not None and np.isfinite(x) for x in r[1])],
+                  key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    kept = [r for r in kept if len(r[1]) == len(kept[0][1])]
+    parts = [[[int(np.floor(x * 1024)) if abs(x) < 1e15 else int(x) * 1024 for x in v[a:b]] for _, v, _ in kept]
+             for a, b in vector_codes._cuts(len(kept[0][1]), 4)]
+    books = [[list(x) for x in p[:256]] for p in parts]
+
+    def near(x, book):
+        return min((sum((a - b) ** 2 for a, b in zip(x, c)), i) for i, c in enumerate(book))
+
+    for _ in range(4):
+        for p, book in zip(parts, books):
+            to = [near(x, book)[1] for x in p]
+            for e in set(to):
+                mine = [x for x, t in zip(p, to) if t == e]
+                book[e] = [sum(c) // len(mine) for c in zip(*mine)]
+    found = [[near(x, book) for x in p] for p, book in zip(parts, books)]
+    digest = hashlib.sha256(",".join(str(x) for b in books for c in b for x in c).encode()).hexdigest()
+    errors = [sum(f[i][0] for f in found) for i in range(len(kept))]
+    by = {}
+    for (_, _, label), e in zip(kept, errors):
+        by[label] = by.get(label, 0) + e
+    return sorted(((i, "".join(f"{f[n][1]:02x}" for f in found), min(errors[n], (1 << 63) - 1), min(by[label], (1 << 63) - 1), digest)
+                   for n, (i, _, label) in enumerate(kept)), key=repr)
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, row string, part int, key string, code int"
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, label, "r", 7, "k", 1) for i, v, label in rows], VECTORS)
+
+
+def test_codes_of_odd_rows(spark):
+    rng = np.random.default_rng(5)
+    f32 = lambda v: [None if x is None else float(np.float32(x)) for x in v]
+    rows = [(int(i), f32(rng.normal(size=10) * 10.0 ** rng.integers(-3, 2)), [None, 0, 1][i % 3]) for i in rng.permutation(400)]
+    rows += [(500, f32([1.0] * 10), 1)] * 300  # a very common vector
+    rows += [(None, f32([0.5] * 10), None), (3, f32([0.25] * 10), 4), (3, f32([0.25] * 10), 4)]
+    bad = [(600, None, 1), (601, [1.0] * 9 + [None], 1), (602, [float("nan")] * 10, 1), (603, [float("inf")] + [0.0] * 9, 1),
+           (604, [float("-inf")] * 10, 1), (605, [1.0] * 8, 1), (606, [], None)]
+    got = vector_codes.compressed(vectors(spark, rows + bad))
+    assert got.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_codes(rows)
+    assert vector_codes.compressed(vectors(spark, bad[:5])).count() == 0
+    assert vector_codes.compressed(vectors(spark, rows).where("false")).columns == got.columns
+
+
+def test_codes_beyond_longs(spark):
+    rows = [(i, [float(np.float32(x)) for x in (3e38, -3e38 + i * 1e37, i, 0.0)], i % 2) for i in range(6)]
+    got = sorted(map(tuple, vector_codes.compressed(vectors(spark, rows)).collect()), key=repr)
+    assert got == plain_codes(rows)  # six entries, each at its own row
+    rows = [(i, [float(2.0 ** 40 * (i % 7) + i)] * 4, None) for i in range(300)]
+    got = sorted(map(tuple, vector_codes.compressed(vectors(spark, rows).selectExpr("*", "'x' as low")).collect()), key=repr)
+    assert [g[:2] for g in got] == [w[:2] for w in plain_codes(vectors(spark, rows).select("vec_id", "embedding", "label").collect())]
+
+
+def test_shortlists_keep_every_nearest_entry():
+    rng = np.random.default_rng(2)
+    for spread in (1, 50, 4000):
+        rows, entries = rng.integers(-spread, spread, (64, 3)) + 100, rng.integers(-300, 300, (256, 3))
+        kept = vector_codes.shortlists(rows.min(0)[None], rows.max(0)[None], entries)[0]
+        far = ((rows[:, None] - entries[None]) ** 2).sum(2)
+        assert kept[far.argmin(1)].all() and (vector_codes.distances(rows, entries) == far).all()
+        assert spread > 1 or kept.sum() < 20
+
+
+def test_hilbert_order_steps_to_neighbours():
+    points = np.array(list(itertools.product(range(8), repeat=3)))
+    order = np.lexsort(vector_codes.hilbert_keys(points, 3).T[::-1])
+    assert (np.abs(np.diff(points[order], axis=0)).sum(1) == 1).all()
+
+
+# -- trie --------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def own():
+    return trie_bpe.TrieBpe(FILE, public_tokenizers.PATTERN)
+
+
+def joined(own, texts):
+    out = [b""] * len(texts)
+    for row, ids in own.encode(texts):
+        out[row] += ids
+    return out
+
+
+def test_trie_equals_the_library(own, spark):
+    rng = random.Random(3)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts += ["", None, "<|endoftext|>", "a <|endoftext|>  b<|endoftext|><|endoftext|", "aaaaaaa aaa", "x" * 30_000, "日本語 😀\r\n\t 's'll 'S"]
+    texts += ["".join(rng.choice("ab 'sté日<|>1.\n") for _ in range(200)) for _ in range(300)]
+    library = Tokenizer.from_file(FILE)
+    found = library.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    got = joined(own, texts)
+    assert got == [np.array(f.ids, "<u4").tobytes() for f in found]
+    assert [own.decode(g).decode("utf-8", "replace") for g in got] == [library.decode(f.ids, skip_special_tokens=False) for f in found]
+
+
+def test_each_prefix_is_walked_once(own):
+    """Words in trie order give what each gives alone, and a seam is where merging keeps two tokens."""
+    words = sorted({a + b for a in ("un", "under", "understand", " x") for b in ("", "ing", "able", "ably", "ed")})
+    assert dict(own.words(words)) == {w: i for x in words for w, i in own.words([x])}
+    library = Tokenizer.from_file(FILE)
+    rng = random.Random(1)
+    plain = [i for i, t in own.tokens.items() if t.isalpha()]
+    for a, b in ((rng.choice(plain), rng.choice(plain)) for _ in range(2000)):
+        alone = [library.encode(own.tokens[x].decode(), add_special_tokens=False).ids == [x] for x in (a, b)]
+        if all(alone):
+            assert own.seam(a, b) == (library.encode((own.tokens[a] + own.tokens[b]).decode(), add_special_tokens=False).ids == [a, b])
+
+
+def test_long_texts_in_windows(own, monkeypatch):
+    text = "some words, 12 of them; été.  \n\n" * 4000 + "y" * 50_000 + " end <|endoftext|> z" * 3
+    want = joined(own, [text])
+    monkeypatch.setattr(trie_bpe, "WINDOW", 1000)
+    assert len(list(own.parts(text))) > 50
+    assert joined(own, [text, None, text]) == [want[0], b"", want[0]]
+    assert len(joined(own, ["q" * 2_000_000])[0]) > 0
+
+
+def test_trie_of_odd_rows(spark, odd, nothing):
+    library = Tokenizer.from_file(FILE)
+    rows = {(r.doc_id, r.text) for r in odd.collect()}
+    got = trie_bpe.digests(odd, FILE, public_tokenizers.PATTERN)
+    want = sorted(((i, len(e.ids), hashlib.sha256(np.array(e.ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+                   for i, t in rows for e in [library.encode(t or "", add_special_tokens=False)]), key=repr)
+    assert sorted({tuple(r) for r in got.collect()}, key=repr) == want and got.count() == odd.count()
+    assert trie_bpe.digests(nothing, FILE, public_tokenizers.PATTERN).count() == 0
+    ids = trie_bpe.encoded(odd, FILE, public_tokenizers.PATTERN)
+    back = trie_bpe.decoded(ids, FILE, public_tokenizers.PATTERN)
+    assert {tuple(r) for r in back.collect()} == {(i, t or "") for i, t in rows}
+    broken = spark.createDataFrame([(1, None), (2, []), (3, [own_id for own_id in (0, 50256)])], "doc_id long, ids array<int>")
+    assert [r.text for r in trie_bpe.decoded(broken, FILE, public_tokenizers.PATTERN).orderBy("doc_id").collect()] == ["", "", "!<|endoftext|>"]
+
+
+# -- conversations -----------------------------------------------------------
+
+def best_by_tables(rows, entry=repair.START, ends=repair.ENDS):
+    """The least (cost, audit) by going through the rows with all states."""
+    best = {entry: (0, "")}
+
+    def spread(at):
+        for _ in range(4):
+            for q in list(at):
+                to, way = repair.NEXT[q], (at[q][0] + 5, at[q][1] + "I")
+                at[to] = min(at.get(to, way), way)
+        return at
+
+    best = spread(best)
+    for row in rows:
+        after = {}
+        for q, (cost, audit) in best.items():
+            moves = [(q, cost + 2, "D")]
+            if row.fault in ("", "truncated"):
+                cut = 5 if row.fault else 0
+                moves.append((repair.NEXT[q], cost + 1 + cut, "R"))
+                head = row.role[:1]
+                if (head, q) in {("s", 0), ("u", 0), ("u", 1), ("u", 3), ("a", 2)}:
+                    moves.append(({"s": 1, "u": 2, "a": 3}[head], cost + cut, "K"))
+            for to, c, letter in moves:
+                after[to] = min(after.get(to, (c, audit + letter)), (c, audit + letter))
+        best = spread(after)
+    return min((best[q] for q in ends if q in best), default=None)
+
+
+def random_rows(rng, most):
+    return [repair.Turn(i, rng.choice(["user", "assistant", "system", "tool", " ", ""]), "t.",
+                        rng.choice(["", "", "", "truncated", "truncated", "blank", "duplicate"])) for i in range(rng.randrange(most))]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_search_equals_tables(seed):
+    rng = random.Random(seed)
+    for _ in range(400):
+        rows = random_rows(rng, 14)
+        assert tuple(repair.cheapest(rows)) == best_by_tables(rows)
+        for entry, leave in itertools.product(repair.STATES, repair.STATES):
+            way = repair.cheapest(rows, entry, (leave,))
+            assert (tuple(way) if way else None) == best_by_tables(rows, entry, (leave,))
+
+
+def plain_repair(rows):
+    """Results from (conv_id, turn, role, text) in plain Python."""
+    by = {}
+    for conv, turn, role, text in rows:
+        into = by.setdefault(conv, [])
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if kind == 1:
+            text = ""
+        elif kind == 2:
+            text = "".join(c for c in text if c not in ".!?")
+        elif kind == 4:
+            role = "user"
+        into += [(turn, role, text)] * {0: 0, 3: 2}.get(kind, 1)
+    out = []
+    for conv, members in by.items():
+        members.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+        turns, seen = [], set()
+        for turn, role, text in members:
+            turns.append(repair.Turn(turn, role, text, repair.fault(role, text, (role, text) in seen)))
+            seen.add((role, text))
+        given = [t.turn for t in turns if t.turn is not None]
+        gaps = max(given) - min(given) + 1 - len(set(given)) if given else 0
+        count = [sum(t.fault == f for t in turns) for f in ("blank", "duplicate", "truncated")]
+        bad = sum(a.role[:1] + b.role[:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:]))
+        cost, audit = best_by_tables(turns)
+        lines = repair.replayed(turns, repair.START, audit)
+        roles = "".join(line[0] for line in lines)
+        assert not roles or roles[roles.startswith("s"):] == "ua" * (len(roles) // 2)
+        out.append((conv, gaps, *count, bad, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("long", [1, 5, repair.LONG])
+def test_repair_of_odd_rows(spark, long, monkeypatch):
+    monkeypatch.setattr(repair, "PIECE", 3)
+    rng = random.Random(9)
+    rows = [(c, rng.choice([None, 0, 1, 2, 3, 4, 5, -7, 2 ** 62]), rng.choice([None, "user", "assistant", "system", "", "Ü"]),
+             rng.choice([None, "", " \t\n", "yes.", "no", "why? ", "so! \r\n"])) for c in (None, 1, 2, 3, 4) for _ in range(30)]
+    rows += [(10, t, ("user", "assistant")[t % 2], f"text {t % 40}.") for t in range(300)] + [(10, 3, "user", "again.")] * 40
+    dropped = next(t for t in range(1000) if zlib.crc32(f"11:{t}".encode()) % 20 == 0)
+    rows += [(11, dropped, "user", "gone"), (12, 1, "user", "x" * 200_000 + "."), (12, 2, "assistant", "y.")]
+    frame = spark.createDataFrame([(*r, 1, "x", "of") for r in rows], "conv_id long, turn long, role string, text string, copies int, key string, of string")
+    got = sorted(map(tuple, repair.repaired(repair.damaged(frame), long).collect()), key=repr)
+    assert got == plain_repair(rows)
+    assert repair.repaired(repair.damaged(frame.where("false")), long).count() == 0
+
+
+def test_conversation_without_rows(spark):
+    dropped = next(t for t in range(1000) if zlib.crc32(f"5:{t}".encode()) % 20 == 0)
+    frame = spark.createDataFrame([(5, dropped, "user", "a")], "conv_id int, turn int, role string, text string")
+    assert tuple(repair.repaired(repair.damaged(frame)).first()) == (5, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+
+
+def test_repair_query(spark, queries):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert sorted(map(tuple, queries["op13_conversation_repair"](spark, SF).collect()), key=repr) == plain_repair(rows)

@@ -332,12 +332,12 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert sorted(str(r.doc_id) for r in out) == sorted(str(i) for i, _ in left)
 
 
-@pytest.mark.parametrize("name", ["op1_warc_bundles", "op6_blob_ledger"])
+@pytest.mark.parametrize("name", ["op1_warc_bundles", "op6_blob_ledger", "op11_vector_codes", "op13_conversation_repair"])
 def test_against_sql(spark, queries, name):
     import duckdb
     import __spark_entry__ as entry
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     cursor = con.execute(entry.oracle_sql()[name])
     names = [d[0] for d in cursor.description]
