@@ -12,8 +12,10 @@ Each task keeps what it has encoded in a table of bounded size.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,15 +34,39 @@ _CODECS: dict[tuple[str, str], "Codec"] = {}
 def splitter(pattern: str) -> Callable[[str], list[str]]:
     r"""All matches of `pattern` in a text, with \s as Unicode's White_Space, as the libraries for these ranks read it.
 
-    Texts of ASCII alone go by an equal pattern of plain classes, which is faster.
+    Texts of ASCII alone go by an equal pattern of plain classes, others by one of the standard library's classes unless they
+    hold a character on which these differ; both are faster.
     """
-    wide = pattern
     plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\t-\r A-Za-z0-9]")
-    for mark, full, narrow in ((r"\p{L}", r"\p{L}", "[A-Za-z]"), (r"\p{N}", r"\p{N}", "[0-9]"),
-                               (r"\s", r"\p{White_Space}", r"[\t-\r ]"), (r"\S", r"\P{White_Space}", r"[^\t-\r ]")):
-        wide, plain = wide.replace(mark, full), plain.replace(mark, narrow)
-    wide, plain = regex.compile(wide).findall, re.compile(plain).findall
-    return lambda text: (plain if text.isascii() else wide)(text)
+    word = pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\w\s]|_)")
+    wide = pattern
+    for mark, full, uni, narrow in ((r"\p{L}", r"\p{L}", r"[^\W\d_]", "[A-Za-z]"), (r"\p{N}", r"\p{N}", r"\d", "[0-9]"),
+                                    (r"\s", r"\p{White_Space}", r"\s", r"[\t-\r ]"), (r"\S", r"\P{White_Space}", r"\S", r"[^\t-\r ]")):
+        wide, word, plain = wide.replace(mark, full), word.replace(mark, uni), plain.replace(mark, narrow)
+    wide, word, plain = regex.compile(wide).findall, re.compile(word).findall, re.compile(plain).findall
+    apart = _apart()
+
+    def split(text: str) -> list[str]:
+        if text.isascii():
+            return plain(text)
+        return word(text) if apart.isdisjoint(text) else wide(text)
+
+    return split
+
+
+@functools.cache
+def _apart() -> frozenset[str]:
+    r"""The characters that the two libraries put into different classes, such as digits that are not decimal."""
+    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    return frozenset().union(*(set(regex.findall(full, every)) ^ set(re.findall(word, every)) for full, word in (
+        (r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\p{White_Space}", r"\s"))))
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    return [others.get(b, chr(b)) for b in range(256)]
 
 
 class Codec:

@@ -5,12 +5,14 @@ Documents are dealt into ranges of doc_id; a task encodes its range in order and
 document is its shard's plus its own.  Small pages and the page index that Spark's writer adds let a reader fetch the tokens of a few
 documents, and the metadata columns are read without the ids.
 
-The ids are those of the tokenizers library.  Texts are split by its byte-level pattern; each distinct piece is given to
-the library once per task, in one run of pieces, and remembered in a table of bounded size.
+The ids are those of the tokenizers library with add_special_tokens=False.  Texts are split by its
+byte-level pattern; a piece is given to the library's model once and remembered in a table of bounded size.
 """
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -20,13 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tokenizers import Tokenizer
 
-from ledger_spark.llm.bpe_codec import splitter
+from ledger_spark.llm.bpe_codec import byte_letters, splitter
 from ledger_spark.llm.shipping import ship
 from ledger_spark.llm.texts import lean
 from ledger_spark.session import scratch_path
 
 END = 0
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 WRITER = {
     "parquet.writer.version": "PARQUET_2_0",  # integers outside a dictionary are delta encoded
     "parquet.enable.dictionary": "true",
@@ -36,69 +38,71 @@ WRITER = {
     "compression": "zstd",
 }
 _FILES = "doc_id long, shard int, before long, n_tokens long, ids array<int>"
-_ENCODERS: dict[tuple[str, str], "Encoder"] = {}
+_ENCODERS: dict[tuple[str, str, bool], "Encoder"] = {}
 
 
 class Encoder:
-    def __init__(self, path: str, pattern: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    """With `added` the text of an added token is its id, as in the library; without, as in the library with
+    `encode_special_tokens` set, it is ordinary text."""
+
+    def __init__(self, path: str, pattern: str, added: bool = False) -> None:
+        tokenizer = Tokenizer.from_file(path)
+        self.model = tokenizer.model
+        # The library cuts a text at its added tokens before anything else.
+        added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()} if added else {}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.added = {mark: struct.pack("<I", i) for mark, i in added.items()}
         self.split = splitter(pattern)
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, pieces: list[str]) -> None:
-        # Words behind a blank split alike in a row and alone, so they go to the library as one text.
-        rows = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        for i in range(0, len(rows), 5000):
-            row = rows[i:i + 5000]
-            got = self.tokenizer.encode("".join(row), add_special_tokens=False)
-            ids, words = np.array(got.ids, "<u4"), np.array(got.word_ids)
-            at = np.append(np.flatnonzero(np.diff(words, prepend=-1)), len(ids))
-            if len(at) == len(row) + 1:
-                raw, ends = ids.tobytes(), (4 * at).tolist()
-                self.known.update({p: raw[x:y] for p, x, y in zip(row, ends[:-1], ends[1:])})
-        single = [p for p in pieces if p not in self.known]
-        for piece, own in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False)):
-            self.known[piece] = np.array(own.ids, "<u4").tobytes()
+        self.letters = byte_letters()
+        self.ascii = str.maketrans(dict(enumerate(self.letters[:128])))
+        self.known: dict[str, bytes] = dict(self.added)
+
+    def pieces(self, text: str) -> list[str]:
+        if not self.marks or not self.marks.search(text):
+            return self.split(text)
+        parts = self.marks.split(text)
+        return [p for part in parts for p in ([part] if part in self.added else self.split(part))]
+
+    def ids(self, piece: str) -> bytes:
+        """The ids of a piece by the library's model, which reads bytes as letters."""
+        if piece.isascii():
+            piece = piece.translate(self.ascii)
+        else:
+            piece = "".join(map(self.letters.__getitem__, piece.encode("utf-8", "surrogatepass")))
+        found = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(found)}I", *found)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
-        end = np.array([END], "<u4").tobytes()
-        texts = [t or "" for t in texts]
-        at = 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= 1 << 21):
-                size += len(texts[to])
-                to += 1
+        end = struct.pack("<I", END)
+        for text in texts:
             if len(self.known) > REMEMBERED:
-                self.known = {}
-            split = [self.split(t) for t in texts[at:to]]
-            new = list({p for pieces in split for p in pieces} - self.known.keys())
-            for i in range(0, len(new), 20_000):
-                self.learn(new[i:i + 20_000])
-            get = self.known.__getitem__
-            for pieces in split:
-                yield b"".join(map(get, pieces)) + end
-            at = to
+                self.known = dict(self.added)
+            pieces = self.pieces(text or "")
+            ids = list(map(self.known.get, pieces))
+            if None in ids:
+                for piece in {p for p, i in zip(pieces, ids) if i is None}:
+                    self.known[piece] = self.ids(piece)
+                ids = map(self.known.__getitem__, pieces)
+            yield b"".join(ids) + end
 
 
-def encoder(path: str, pattern: str) -> Encoder:
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
-    return _ENCODERS[path, pattern]
+def encoder(path: str, pattern: str, added: bool) -> Encoder:
+    if (path, pattern, added) not in _ENCODERS:
+        _ENCODERS[path, pattern, added] = Encoder(path, pattern, added)
+    return _ENCODERS[path, pattern, added]
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, pattern: str) -> None:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, pattern: str, added: bool = True) -> None:
     """Write the ids of `docs` (doc_id, text) below `folder`, in ascending order of doc_id, then text; nulls first.
 
-    Null texts are empty and have the end id alone; repeated rows are written as often as they come.
+    Null texts are empty and have the end id alone; repeated rows are written as often as they come.  `added`: see `Encoder`.
     """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, before = TaskContext.get().partitionId(), 0
-        own = encoder(tokenizer, pattern)
+        own = encoder(tokenizer, pattern, added)
         for batch in batches:
             ids = list(own.encode(batch.column(1).to_pylist()))
             sizes = np.array([len(x) // 4 for x in ids], np.int64)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledger_spark.llm.bpe_codec import splitter
+from ledger_spark.llm.bpe_codec import byte_letters, splitter
 from ledger_spark.llm.shipping import ship
 from ledger_spark.llm.texts import lean
 
@@ -37,13 +37,6 @@ _GAP = re.compile(r"\w(?= \w)")
 _TRIES: dict[tuple[str, str], "TrieBpe"] = {}
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-    return [others.get(b, chr(b)) for b in range(256)]
-
-
 class TrieBpe:
     """Of a byte-level BPE file: `tokens` (bytes by id), `seam` and `words`."""
 

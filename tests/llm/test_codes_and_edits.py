@@ -260,3 +260,14 @@ def test_conversation_without_rows(spark):
 def test_repair_query(spark, queries):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert sorted(map(tuple, queries["op13_conversation_repair"](spark, SF).collect()), key=repr) == plain_repair(rows)
+
+
+def test_token_files_hold_added_tokens_as_the_library_does(spark):
+    from ledger_spark.llm import token_files
+    from ledger_spark.session import scratch_path
+    library = Tokenizer.from_file(FILE)  # untouched
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> \n", "no <|endoftext", "日本 é½²x\x1c\x1c! \x85 ‿_", None, ""]
+    folder = scratch_path(spark, "added-test")
+    token_files.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), folder, FILE, public_tokenizers.PATTERN)
+    got = {r.doc_id: r.ids for r in token_files.read_documents(spark, folder, list(range(len(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == [library.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
