@@ -15,6 +15,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +54,13 @@ class Encoder:
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.added = {mark: struct.pack("<I", i) for mark, i in added.items()}
         self.split = splitter(pattern)
-        self.letters = byte_letters()
-        self.ascii = str.maketrans(dict(enumerate(self.letters[:128])))
+        letters = byte_letters()
+        self.letters = str.maketrans({chr(b): letters[b] for b in range(256)})
         self.known: dict[str, bytes] = dict(self.added)
+        # Whether a token begins with a blank; no token holds one behind another character but blanks and line ends.
+        names = tokenizer.get_vocab()
+        self.blank = np.zeros(max(names.values()) + 1, bool)
+        self.blank[[i for name, i in names.items() if name[0] == letters[32]]] = True
 
     def pieces(self, text: str) -> list[str]:
         if not self.marks or not self.marks.search(text):
@@ -63,28 +68,48 @@ class Encoder:
         parts = self.marks.split(text)
         return [p for part in parts for p in ([part] if part in self.added else self.split(part))]
 
-    def ids(self, piece: str) -> bytes:
-        """The ids of a piece by the library's model, which reads bytes as letters."""
-        if piece.isascii():
-            piece = piece.translate(self.ascii)
-        else:
-            piece = "".join(map(self.letters.__getitem__, piece.encode("utf-8", "surrogatepass")))
-        found = [t.id for t in self.model.tokenize(piece)]
-        return struct.pack(f"<{len(found)}I", *found)
+    def _ids(self, text: str) -> list[int]:
+        """The library's model reads bytes as letters."""
+        return [t.id for t in self.model.tokenize(text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))]
+
+    def learn(self, pieces: set[str]) -> None:
+        # Pieces that a blank begins merge alike in a row and alone, so they go to the model together.
+        rows = [p for p in pieces if p[0] == " " and not p[-1].isspace()]
+        for i in range(0, len(rows), 300):
+            row = rows[i:i + 300]
+            ids = np.array(self._ids("".join(row)), "<u4")
+            at = np.append(np.flatnonzero(self.blank[ids]), len(ids))
+            if len(at) == len(row) + 1:
+                raw, ends = ids.tobytes(), (4 * at).tolist()
+                self.known.update({p: raw[x:y] for p, x, y in zip(row, ends, ends[1:])})
+        for piece in pieces:
+            if piece not in self.known:
+                found = self._ids(piece)
+                self.known[piece] = struct.pack(f"<{len(found)}I", *found)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
         end = struct.pack("<I", END)
-        for text in texts:
+        texts = [t or "" for t in texts]
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= 1 << 20):
+                size += len(texts[to])
+                to += 1
             if len(self.known) > REMEMBERED:
-                self.known = dict(self.added)
-            pieces = self.pieces(text or "")
-            ids = list(map(self.known.get, pieces))
-            if None in ids:
-                for piece in {p for p, i in zip(pieces, ids) if i is None}:
-                    self.known[piece] = self.ids(piece)
-                ids = map(self.known.__getitem__, pieces)
-            yield b"".join(ids) + end
+                # Frequent pieces come early, so the older half is worth more.
+                self.known = dict(islice(self.known.items(), REMEMBERED // 2))
+            split = [self.pieces(t) for t in texts[at:to]]
+            got = [list(map(self.known.get, pieces)) for pieces in split]
+            open_at = [[k for k, i in enumerate(ids) if i is None] if None in ids else [] for ids in got]
+            self.learn({pieces[k] for pieces, places in zip(split, open_at) for k in places})
+            for pieces, ids, places in zip(split, got, open_at):
+                for k in places:
+                    ids[k] = self.known[pieces[k]]
+                ids.append(end)
+                yield b"".join(ids)
+            at = to
 
 
 def encoder(path: str, pattern: str, added: bool) -> Encoder:
