@@ -36,7 +36,7 @@ BUCKET_TOKENS = 200_000
 BATCH_TOKENS = 250_000
 SKETCH_BITS = 24
 _SALTS = [U64(x) for x in np.random.default_rng(11).integers(1, 1 << 62, 64) * 2 + 1]
-_SETS = ("doc_id long, n long, cid long, " + ", ".join(f"m{i} long" for i in range(HASHES))
+_SETS = ("key long, doc_id long, n long, cid long, " + ", ".join(f"m{i} long" for i in range(HASHES))
          + ", subs array<struct<kept:int,need:int,tokens:array<bigint>>>")
 
 
@@ -66,11 +66,11 @@ def _class_id(tokens: np.ndarray) -> int:
 
 
 def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, cid, m0..m7, subs) of each row: set size, class, smallest hashes, kept parts."""
+    """(key, doc_id, n, cid, m0..m7, subs) of each row of `docs` (key, doc_id, text): set size, class, smallest hashes, kept parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for tokens in shingle_sets(batch.column(1), words):
+            for tokens in shingle_sets(batch.column(2), words):
                 if len(tokens):
                     low = [int((mix(tokens ^ _SALTS[i]) >> U64(1)).min()) for i in range(HASHES)]
                     rows.append((len(tokens), _class_id(tokens), *low, _kept(tokens, percent)))
@@ -86,10 +86,10 @@ def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
                  tokens], names=["kept", "need", "tokens"])
             subs = pa.ListArray.from_arrays(np.cumsum([0, *map(len, columns[-1])]).astype(np.int32), parts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, pa.int64()) for c in columns[:-1]], subs],
-                names=["doc_id", "n", "cid", *[f"m{i}" for i in range(HASHES)], "subs"])
+                [batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns[:-1]], subs],
+                names=["key", "doc_id", "n", "cid", *[f"m{i}" for i in range(HASHES)], "subs"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), _SETS)
+    return docs.select("key", "doc_id", "text").mapInArrow(lean(run), _SETS)
 
 
 def _slots(ids: pa.Array) -> np.ndarray:
@@ -115,8 +115,8 @@ def _tokens_of(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
 
     A sketch of the ids keeps most other texts out of the shuffle; it is of a fixed size, and passes more as it fills.
     """
-    wanted = written(classes.select(F.col("rep").alias("doc_id"), "cid"), "wanted")
-    bits = docs.sparkSession.sparkContext.broadcast(_sketch(wanted.select("doc_id")))
+    wanted = written(classes.select(F.col("rep").alias("key"), "cid"), "wanted")
+    bits = docs.sparkSession.sparkContext.broadcast(_sketch(wanted.select("key")))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,8 +131,8 @@ def _tokens_of(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
                                               pa.array([k[1] for k in kept], pa.list_(pa.int64()))],
                                              names=["cid", "tokens"])
 
-    passed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean(sift), "doc_id long, text string")
-    return passed.join(wanted, "doc_id").select("text", "cid").mapInArrow(lean(run), "cid long, tokens array<bigint>")
+    passed = docs.select("key", "text").mapInArrow(lean(sift), "key long, text string")
+    return passed.join(wanted, "key").select("text", "cid").mapInArrow(lean(run), "cid long, tokens array<bigint>")
 
 
 def _wanted(docs: DataFrame, classes: DataFrame, cids: DataFrame, words: int) -> DataFrame:
@@ -246,22 +246,22 @@ def linked_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     """One row (doc_id, n_shingles, component_id) per row of `docs` (doc_id, text; other columns are ignored).
 
     Two rows link when 100 x shared >= percent x united distinct shingles of `words` words.  `component_id` is the
-    smallest doc_id that links lead to.  Null or empty text: no shingles, its own component.  Null doc_id: kept,
-    and takes no part in naming a component (null if it stands alone).  Repeated rows come back as often as they
-    came.  An empty table gives no rows.
+    smallest doc_id that links lead to.  Null or empty text: no shingles, its own component.  A row without doc_id
+    links like any other, so links through it count; it takes no part in naming a component (null if none has an id).
+    Repeated rows come back as often as they came.  An empty table gives no rows.
     """
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Classes are fetched by a key of id and text that every row has; rows that share one by chance are told apart by class.
+    docs = docs.select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(shingle_table(docs, words, percent), "shingles")
     classes = written(sets.where("n > 0").groupBy("cid").agg(
-        F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(HASHES)]),
+        F.min("key").alias("rep"), F.min("doc_id").alias("name"), F.min("n").alias("n"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(HASHES)]),
         "classes")
-    named = classes.where("rep is not null")
-    alike = written(_alike(named, percent), "alike")
+    alike = written(_alike(classes, percent), "alike")
     ends = alike.select(F.col("a").alias("cid")).union(alike.select("b")).distinct()
-    links = written(_verified(_wanted(docs, named, ends, words), alike, percent), "links")
+    links = written(_verified(_wanted(docs, classes, ends, words), alike, percent), "links")
     groups = components(links)
-    found = _between(docs, sets, named, groups, words, percent)
+    found = _between(docs, sets, classes, groups, words, percent)
     labels = components(links.union(found))
     return _answer(sets, classes, labels)
 
@@ -284,16 +284,16 @@ def _open(kept: DataFrame, outside: DataFrame) -> DataFrame:
 def _between(docs: DataFrame, sets: DataFrame, classes: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between classes of different groups, enough to connect all that such links connect."""
     member = groups.select(F.col("node").alias("cid"), F.col("label").alias("g"))
-    placed = written(classes.select("cid", F.col("rep").alias("doc_id"), "n").join(member, "cid", "left").select(
-        "cid", "doc_id", "n", F.coalesce("g", "cid").alias("g"), F.col("g").isNotNull().alias("many")), "placed")
-    kept = written(sets.where("size(subs) > 0").select("doc_id", "cid", "subs").join(
-        placed, ["cid", "doc_id"]).select("cid", "g", "many", "n", F.explode("subs").alias("sub")).select(
+    placed = written(classes.select("cid", F.col("rep").alias("key"), "n").join(member, "cid", "left").select(
+        "cid", "key", "n", F.coalesce("g", "cid").alias("g"), F.col("g").isNotNull().alias("many")), "placed")
+    kept = written(sets.where("size(subs) > 0").select("key", "cid", "subs").join(
+        placed, ["cid", "key"]).select("cid", "g", "many", "n", F.explode("subs").alias("sub")).select(
         "cid", "g", "many", "n", "sub.*"), "kept")
     may = written(_open(kept, _outside(kept)), "open")
     # The sets left over, now with all their tokens: the same bound is several times as tight.
     whole = _wanted(docs, classes, may, words)
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    full = written(whole.join(placed.drop("doc_id"), "cid").select(
+    full = written(whole.join(placed.drop("key"), "cid").select(
         "cid", "g", "many", "n", F.col("n").alias("kept"), need.alias("need"), "tokens"), "kept")
     outside = _outside(full)
     rows = outside.distinct().join(_open(full, outside), "cid", "left_semi").join(full.select("cid", "g", "n", "need").distinct(), "cid")
@@ -327,10 +327,10 @@ def _compatible(prefix: DataFrame, others: DataFrame, percent: int) -> DataFrame
 
 
 def _answer(sets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    member = classes.join(labels.withColumnRenamed("node", "cid"), "cid").select("cid", "rep", "label")
-    name = member.groupBy("label").agg(F.min("rep").alias("component_id"))
+    member = classes.join(labels.withColumnRenamed("node", "cid"), "cid").select("cid", "name", "label")
+    name = member.groupBy("label").agg(F.min("name").alias("component_id"))
     of = member.join(name, "label").select("cid", "component_id")
-    named = classes.join(of, "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"))
+    named = classes.join(of, "cid", "left").select("cid", F.coalesce("component_id", "name").alias("component_id"))
     full = sets.where("n > 0").select("doc_id", "n", "cid").join(named, "cid")
     empty = sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(empty)

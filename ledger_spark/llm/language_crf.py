@@ -5,7 +5,7 @@ n-grams (two to four bytes, the word's edges included, so that they also are its
 (lexicon); learned transitions join neighbours.  Forward-backward gives each word's distribution over the
 languages, and a document's score for a language is the mean over its words.
 
-Training takes whole texts of labelled documents, `PER_LANGUAGE` of each language at most, picked by hash;
+Training takes whole texts of labelled documents, `PER_LANGUAGE` of each language and `PER_LANGUAGE_BYTES` at most, picked by hash;
 fragments of them are strung together with changes of language, so that the transitions learn switching.
 The model is a fixed number of weights per language and goes to the tasks as one broadcast of some megabytes.
 """
@@ -22,9 +22,11 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledger_spark.llm.shipping import ship
-from ledger_spark.llm.texts import U64, lean, least_texts, row_slices, span_hashes, text_buffer
+from ledger_spark.llm.texts import U64, lean, least_texts, release, row_slices, span_hashes, text_buffer
 
-PER_LANGUAGE = 150
+PER_LANGUAGE, PER_LANGUAGE_BYTES = 150, 1 << 20
+#: Bytes of text worked on at a time; numbers per word take about a hundred times as much.
+AT_ONCE = 1 << 18
 ROUNDS = 30
 SLOTS = 1 << 17
 SEQUENCE = 96
@@ -50,7 +52,7 @@ class Model:
 def words_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices of rows: first row, last row, folded bytes with an edge around each row, starts and ends of words with letters, words per row."""
     buffer, offsets = text_buffer(pc.utf8_lower(pc.fill_null(column, "")))
-    for low, high in row_slices(offsets):
+    for low, high in row_slices(offsets, AT_ONCE):
         own = offsets[low:high + 1] - offsets[low]
         part = np.insert(_FOLD[buffer[offsets[low]:offsets[high]]], own, _EDGE)
         inside = part != _EDGE
@@ -197,10 +199,12 @@ def learned(docs: DataFrame, usable: Column) -> Model | None:
     """A model of the `usable` rows of `docs` (doc_id, text, lang) with text and label; None if there are none."""
     pool = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     by: dict[str, list] = {}
-    for lang, text in least_texts(pool.select(F.col("lang").alias("of"), "text"), PER_LANGUAGE):
+    for lang, text in least_texts(pool.select(F.col("lang").alias("of"), "text"), PER_LANGUAGE, PER_LANGUAGE_BYTES):
         by.setdefault(lang, []).append(text)
     rows = [(t, k) for k in sorted(by) for t in by[k] if _LETTER.search(t)]
-    return train([t for t, _ in rows], [k for _, k in rows]) if rows else None
+    model = train([t for t, _ in rows], [k for _, k in rows]) if rows else None
+    release()
+    return model
 
 
 def labelled(docs: DataFrame, model: Model | None) -> DataFrame:

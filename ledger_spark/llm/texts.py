@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from ledger_spark.session import local_frame
+
 U64 = np.uint64
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
@@ -44,11 +46,13 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
-def least_texts(rows: DataFrame, most: int) -> list[tuple[str, str]]:
+def least_texts(rows: DataFrame, most: int, most_bytes: int | None = None) -> list[tuple[str, str]]:
     """(of, text): of each class `of` of `rows` (of, text) the `most` different texts of the least hashes, by class and hash.
 
     Classes are few.  Different hashes are counted first, and a bound on the hash lets a few more than `most` of each
     class through, which are read once each; should fewer come, the bound is widened.  Neither ids nor repeated texts have a say.
+    With `most_bytes` a class's texts end before the one that passes it, but for the first; sizes are looked at first,
+    so no other texts come to the driver.
     """
     size = 1 << 30
     hashed = rows.withColumn("hash", F.xxhash64("text")).withColumn("place", F.pmod("hash", F.lit(size)))
@@ -57,17 +61,36 @@ def least_texts(rows: DataFrame, most: int) -> list[tuple[str, str]]:
     room = most + 8 * most ** 0.5 + 16
     while sizes:
         below = F.coalesce(*[F.when(F.col("of") == k, F.lit(math.ceil(size * min(1.0, room / n)))) for k, n in sizes.items()])
-        picked = hashed.where(F.col("place") < below).groupBy("of", "place", "hash").agg(F.min("text").alias("text")).collect()
+        near = hashed.where(F.col("place") < below)
+        if most_bytes is not None:
+            near = near.join(F.broadcast(_within(near, most, most_bytes)), ["of", "hash"], "left_semi")
+        picked = near.groupBy("of", "place", "hash").agg(F.min("text").alias("text")).collect()
         by: dict[str, list] = {}
         for r in sorted(picked, key=lambda r: (r["of"], r["place"], r["hash"])):
             by.setdefault(r["of"], []).append(r["text"])
-        for k in [k for k, n in sizes.items() if len(by.get(k, ())) >= min(most, n)]:
+        for k in [k for k, n in sizes.items() if len(by.get(k, ())) >= (min(most, n) if most_bytes is None else 1)]:
             out += [(k, text) for text in by[k][:most]]
             del sizes[k]
         room *= 2
     return sorted(out, key=lambda r: r[0])
 
 
+def _within(near: DataFrame, most: int, most_bytes: int) -> DataFrame:
+    """(of, hash) of the first texts of each class whose bytes stay within a bound; some hundred rows a class."""
+    found: dict[str, list] = {}
+    for r in near.groupBy("of", "place", "hash").agg(F.max(F.octet_length("text")).alias("size")).collect():
+        found.setdefault(r["of"], []).append((r["place"], r["hash"], r["size"]))
+    kept = []
+    for k, texts in found.items():
+        left = most_bytes
+        for i, (_, h, n) in enumerate(sorted(texts)[:most]):
+            left -= n
+            if i and left < 0:
+                break
+            kept.append((k, h))
+    return local_frame(near.sparkSession, ["of", "hash"], kept)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offset of each row; nulls are empty."""
     column = pc.fill_null(column, "")

@@ -69,6 +69,18 @@ def test_join_of_odd_rows(spark, odd, nothing):
     assert jaccard_join.linked_groups(nothing).count() == 0
 
 
+def test_rows_without_id_carry_links(spark):
+    words = [f"w{i}" for i in range(200)]
+    edit = lambda k, n: " ".join(words[:k] + [f"e{k}x{i}" for i in range(n)] + words[k + n:])
+    rows = [(1, edit(0, 0)), (None, edit(60, 9)), (2, " ".join(edit(60, 9).split()[:120] + [f"z{i}" for i in range(9)] + words[129:])),
+            (None, "all by itself here and now for once"), (None, edit(60, 9))]
+    sets = [shingles(t, 4) for _, t in rows[:3]]
+    part = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    assert part(sets[0], sets[1]) and part(sets[1], sets[2]) and not part(sets[0], sets[2])
+    got = jaccard_join.linked_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=4, percent=85).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted([(1, 1), (2, 1), (None, 1), (None, 1), (None, None)], key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100), (200, 201), (201, 202), (7, None)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
