@@ -169,6 +169,20 @@ def csv_quoted_lines(t: Tables):
     return files.scan_csv(t.spark, _write_csv(t, t.raw_rows.select("row_id", note.alias("note")), "lines-csv"), multi_line=True)
 
 
+@query("encoded_csv", sql="""SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(trim(lang), '') AS lang, md5(trim(text)) AS digest
+FROM documents WHERE trim(text) <> ''""")
+def encoded_csv(t: Tables):
+    """Documents as CSV cells with their line ends; files of those that fit ISO-8859-1 are in it, others in UTF-8; one scan reads both as columns."""
+    docs = t("documents").select("doc_id", "lang", "text")
+    narrow = F.col("text").rlike(r"^[\x{0}-\x{ff}]*$")
+    root = scratch_path(t.spark, "encoded-csv")
+    for fits, charset in ((True, "ISO-8859-1"), (False, "UTF-8")):
+        (docs.where(narrow if fits else ~narrow).write.option("header", True).option("quoteAll", True).option("escape", '"')
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("encoding", charset).csv(f"{root}/{charset}"))
+    rows = files.scan_csv(t.spark, f"{root}/*", multi_line=True, fallback=True).where("text is not null")
+    return rows.select("doc_id", "lang", F.md5("text").alias("digest"))
+
+
 @query("file_inventory")
 def file_inventory(t: Tables):
     root = scratch_path(t.spark, "inventory")
