@@ -237,6 +237,19 @@ def stream_alerts(t: Tables):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("stream_alert_rows", sql=f"""WITH {EVENTS_SQL}, {_REPEATED}, {_RATE}
+SELECT 'REPEATED_ERROR' AS alert_type, event_id, ts, error_id FROM rep
+UNION ALL SELECT 'CRITICAL_ERROR', event_id, ts, error_id FROM err WHERE severity = 'CRITICAL'
+UNION ALL SELECT 'HIGH_ERROR_RATE', event_id, ts, NULL FROM rate""")
+def stream_alert_rows(t: Tables):
+    """The alerts of `alerts_repeated`, `alerts_critical` and `alerts_error_rate` from streams, a row for each event that alerts."""
+    parts = [_collected(t, df, name) for name, df in (
+        ("repeated-rows", J.stream_repeated_crossings(_error_stream(t), 5)),
+        ("critical-rows", J.stream_critical_rows(_error_stream(t))),
+        ("rate-rows", J.stream_rate_crossings(_error_stream(t), 5, HOUR)))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("stream_rate_limit", sql=_LIMIT_SQL)
 def stream_rate_limit(t: Tables):
     return _collected(t, J.stream_rate_limit(_event_stream(t), 3, 86400), "limits")

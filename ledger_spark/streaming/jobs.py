@@ -5,8 +5,10 @@ Watermarks need `timestamp`, so event streams cast their `timestamp_ntz` column
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -126,6 +128,100 @@ def stream_repeated_alerts(errors: DataFrame, at_least: int, keep: str, lateness
                                           "total long", "append", GroupStateTimeout.EventTimeTimeout))
 
 
+# Alerts that do not depend on how the log is cut into batches.  What alerts is a set of rows that late ones can only add to, or
+# move by a place: the rows of a fingerprint but for its earliest, and the rows whose trailing window is full.  So each row is decided when
+# enough others have come, in whatever order, and is reported once, with its event.
+
+def _micro_times(ts: pd.Series) -> list[int]:
+    return ts.astype("datetime64[us]").astype("int64").tolist()
+
+
+def _report(kind: str, rows: list[tuple[int, int]], error_id: str | None = None) -> pd.DataFrame:
+    times = pd.Series([t for t, _ in rows], dtype="int64").astype("datetime64[us]")
+    return pd.DataFrame({"alert_type": kind, "event_id": pd.Series([i for _, i in rows], dtype="int64"), "ts": times,
+                         "error_id": pd.Series([error_id] * len(rows), dtype="object")})
+
+
+ALERT = "alert_type string, event_id long, ts timestamp, error_id string"
+
+
+def stream_repeated_crossings(errors: DataFrame, at_least: int) -> DataFrame:
+    """An alert for every error whose fingerprint has `at_least - 1` earlier ones (by time, then event_id), as `alerts_repeated` has.
+
+    State is those earliest few of each fingerprint.  A late error that belongs among them pushes out the latest,
+    which then is one too many and alerts.  Errors without a time take no part.
+    """
+    hold = at_least - 1
+
+    def judge(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get)) if state.exists else []
+        for pdf in batches:
+            rows = sorted(held + list(zip(_micro_times(pdf["ts"]), pdf["event_id"].tolist())))
+            held = rows[:hold]
+            if len(rows) > hold:
+                yield _report("REPEATED_ERROR", rows[hold:], key[0])
+        state.update(([t for t, _ in held], [i for _, i in held]))
+
+    return errors.where("ts is not null").select("error_id", F.col("event_id").cast("long").alias("event_id"), "ts").groupBy("error_id").applyInPandasWithState(
+        judge, ALERT, "times array<long>, events array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def thinned(times: list[int], window: int, enough: int) -> list[int]:
+    """Sorted `times` without those that no count up to `enough` over a window needs: of each bucket as long as the
+    window the first and the last `enough` stay.  A window over a time between them reaches over one end of the
+    bucket, so it has all the first or all the last of them.
+    """
+    out: list[int] = []
+    for _, of in groupby(times, key=lambda t: t // window):
+        of = list(of)
+        out += of if len(of) <= 2 * enough else of[:enough] + of[-enough:]
+    return out
+
+
+def stream_rate_crossings(errors: DataFrame, at_least: int, seconds: int, keep: str | None = None) -> DataFrame:
+    """An alert for every error with `at_least` errors in the `seconds` up to it, itself included, as `alerts_rate` has.
+
+    Time is cut into buckets as long as the window; an error goes to its own and, as one that counts there, to the
+    next, so no task has the whole log.  State is the errors of a bucket that have not alerted yet and the times that counts up to `at_least` need:
+    a few times `at_least` of each, however many errors there are.  With `keep` it goes when a bucket has had no error for that
+    long by the clock, and an error that comes later still is decided by what came since; this is for queries that run on, as
+    Spark never ends an `availableNow` run of one with timeouts.  Errors without a time never alert.
+    """
+    window = seconds * 1_000_000
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000) if keep else None
+
+    def judge(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times, open_t, open_id = map(list, state.get) if state.exists else ([], [], [])
+        waiting = list(zip(open_t, open_id))
+        for pdf in batches:
+            at = _micro_times(pdf["ts"])
+            times = sorted(times + at)
+            waiting += [(t, i) for t, i, own in zip(at, pdf["event_id"].tolist(), pdf["own"].tolist()) if own]
+            full = [bisect_right(times, t) - bisect_left(times, t - window) >= at_least for t, _ in waiting]
+            if any(full):
+                yield _report("HIGH_ERROR_RATE", [w for w, f in zip(waiting, full) if f])
+            waiting = [w for w, f in zip(waiting, full) if not f]
+            times = thinned(times, window, at_least)
+        state.update((times, [t for t, _ in waiting], [i for _, i in waiting]))
+        if keep_ms:
+            state.setTimeoutDuration(keep_ms)
+
+    bucket = F.floor(F.unix_micros("ts") / window)
+    sides = F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("bucket"), F.lit(False).alias("own"))))
+    rows = errors.where("ts is not null").select(F.col("event_id").cast("long").alias("event_id"), "ts", sides.alias("side"))
+    return rows.select("event_id", "ts", "side.*").groupBy("bucket").applyInPandasWithState(
+        judge, ALERT, "times array<long>, open_times array<long>, open_events array<long>", "append",
+        GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout)
+
+
+def stream_critical_rows(errors: DataFrame) -> DataFrame:
+    """An alert for every critical error; no state."""
+    return E.alerts_critical(errors).select(F.lit("CRITICAL_ERROR").alias("alert_type"), F.col("event_id").cast("long").alias("event_id"), "ts", "error_id")
+
+
 # -- rate limit --------------------------------------------------------------
 
 def stream_rate_limit(ev: DataFrame, limit: int, seconds: int, client: str = "client") -> DataFrame:

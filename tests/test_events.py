@@ -163,3 +163,43 @@ def test_late_request_gets_a_decision(spark, tmp_path):
         stream = J.event_stream(spark, folder, df.schema)
         J.run_to_table(J.stream_rate_limit(stream, 5, 60), out, state).awaitTermination()
     assert {r["event_id"] for r in spark.read.parquet(out).collect()} == {0, 1, 2, 3, 4}
+
+
+@pytest.fixture(scope="module")
+def storm(spark):
+    """Errors with bursts, ties, gaps, repeated rows and missing times; a hot fingerprint has most of them."""
+    rng = random.Random(4)
+    at = sorted(rng.choice([rng.randrange(4000), 600 + rng.randrange(50), 1999 + rng.randrange(3)]) for _ in range(1200))
+    rows = [(i, None if i % 97 == 0 else T0 + dt.timedelta(seconds=s, microseconds=rng.choice([0, 0, 1, 999_999])),
+             rng.choice(["hot", "hot", "hot", "a", "b", None]), "ERROR") for i, s in enumerate(at)]
+    return spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, error_id string, severity string")
+
+
+@pytest.mark.parametrize("files", [1, 3, 10])
+def test_alert_rows_do_not_depend_on_cuts(spark, storm, tmp_path, files):
+    """The same log in any number of files, in no order of time, gives the rows of the batch operators."""
+    src = str(tmp_path / "src")
+    for i in range(files):
+        storm.where(F.pmod(F.hash("event_id"), F.lit(files)) == i).coalesce(1).write.mode("append").parquet(src)
+    stream = lambda: J.event_stream(spark, src, storm.schema, maxFilesPerTrigger=1)
+    got = {}
+    for name, df in (("repeated", J.stream_repeated_crossings(stream(), 5)), ("rate", J.stream_rate_crossings(stream(), 20, 60))):
+        out = str(tmp_path / name)
+        J.run_to_table(df, out, str(tmp_path / f"{name}-state")).awaitTermination()
+        got[name] = sorted(r["event_id"] for r in spark.read.schema(df.schema).parquet(out).collect())
+    assert got["repeated"] == sorted(r["event_id"] for r in E.alerts_repeated(storm.where("ts is not null"), 5).collect())
+    assert got["rate"] == sorted(r["event_id"] for r in E.alerts_rate(storm.where("ts is not null"), 20, 60).collect())
+
+
+def test_thinned_times_keep_every_count():
+    rng = random.Random(8)
+    for _ in range(300):
+        window, enough = rng.choice([10, 60]), rng.randrange(1, 6)
+        times, kept = [], []
+        for _ in range(rng.randrange(1, 5)):
+            new = [rng.randrange(3 * window) for _ in range(rng.randrange(60))]
+            times, kept = sorted(times + new), J.thinned(sorted(kept + new), window, enough)
+            assert len(kept) <= 6 * enough
+            for t in range(-window, 4 * window):
+                count = lambda of: sum(t - window <= x <= t for x in of)
+                assert min(enough, count(times)) == min(enough, count(kept))
