@@ -22,7 +22,7 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_VALUES = np.random.default_rng(20240531).integers(1, 1 << 63, 256, dtype=U64)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 
 
 def release() -> None:
