@@ -8,19 +8,23 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 _SENT: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Add the package's sources as a zip file to the application; Spark copies it to every executor.
 
-    Texts are long, so Arrow batches get `BATCH_ROWS` rows unless the session asks for fewer.
+    Texts are long, so Arrow batches get `BATCH_ROWS` rows and `BATCH_BYTES` bytes (a longer row stands alone) unless the
+    session asks for fewer: the memory of a batch stays with the executor once it was used.
     """
     context = spark.sparkContext
     if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
         spark.conf.set(_BATCH, BATCH_ROWS)
+    most = spark.conf.get(_BYTES).lower().removesuffix("b")  # a number of bytes unless the session spelled it with a unit
+    if not most.lstrip("-").isdigit() or not 0 < int(most) <= BATCH_BYTES:
+        spark.conf.set(_BYTES, BATCH_BYTES)
     if context.applicationId in _SENT:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
