@@ -9,10 +9,15 @@ columns that the chosen observations do not use.
 The fact view must hold one value per cell and value type: where several files do, `normalize.latest_cell`
 decides first.  A window group is one series (company, line item, period type) or one (company, period), so it is
 bounded by the calendar or by the few ratio items, not by the number of input rows.
+
+Each rule declares the facts it reads (`Needs`).  Their union filters the facts before the first shuffle, so one
+observation alone reads its own period types, value types, line items and months only.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledger_spark import settings
@@ -22,9 +27,62 @@ SERIES = ["company_id", "line_item", "period_type"]
 CELL = [*SERIES, "period_label", "start_date", "period_seq"]
 OBS = ["observation_id", "observation_name", "company_id", "metric_name", "period_type", "period_label",
        "current_value", "reference_value", "calculated_value"]
-RATIO_BASE = "Revenue"
-MARGIN_ITEMS = ["Gross Profit", "EBITDA"]
-EFFICIENCY_ITEM = "Gross Profit"
+
+
+@dataclass(frozen=True)
+class Ratios:
+    """The line items of the two ratio observations: what is divided, and by what."""
+
+    base: str = "Revenue"
+    efficiency: tuple[str, ...] = ("Gross Profit",)
+    margins: tuple[str, ...] = ("Gross Profit", "EBITDA")
+
+
+# -- what a rule reads ---------------------------------------------------------
+
+@dataclass(frozen=True)
+class Needs:
+    """Facts that rules read: period types and line items (None: all), value types, and months back from now (None: all)."""
+
+    kinds: frozenset[str] | None = None
+    value_types: frozenset[str] = frozenset({"Actual"})
+    items: frozenset[str] | None = None
+    months: int | None = None
+
+    def __or__(self, other: Needs) -> Needs:
+        """What serves both."""
+        either = lambda a, b: None if a is None or b is None else a | b
+        months = None if self.months is None or other.months is None else max(self.months, other.months)
+        return Needs(either(self.kinds, other.kinds), self.value_types | other.value_types,
+                     either(self.items, other.items), months)
+
+    def of(self, fm: DataFrame, as_of: Column) -> DataFrame:
+        """The needed rows of a fact view.  The conditions name its plain columns, so they reach the scan of a fact table."""
+        kept = fm.where(F.col("value_type").isin(*sorted(self.value_types)))
+        for column, allowed in (("period_type", self.kinds), ("line_item", self.items)):
+            if allowed is not None:
+                kept = kept.where(F.col(column).isin(*sorted(allowed)))
+        return kept if self.months is None else kept.where(F.col("start_date") >= F.add_months(as_of, -self.months))
+
+
+def needs(names: list[str] | None = None, ratios: Ratios = Ratios()) -> Needs:
+    """What the named observations (all by default) read together."""
+    monthly = frozenset({"Monthly"})
+    own = {
+        "growth_mom": Needs(monthly), "growth_qoq": Needs(frozenset({"Quarterly"})), "growth_yoy": Needs(),
+        "variance_vs_budget": Needs(value_types=frozenset({"Actual", "Budget"})),
+        "variance_vs_forecast": Needs(value_types=frozenset({"Actual", "Forecast"})),
+        "trend_direction": Needs(monthly), "volatility_measure": Needs(monthly, months=12),
+        "seasonal_variance": Needs(monthly, months=36), "absolute_change": Needs(),
+        "magnitude_check": Needs(monthly, months=24),
+        "efficiency_ratio": Needs(items=frozenset({ratios.base, *ratios.efficiency})),
+        "margin_analysis": Needs(items=frozenset({ratios.base, *ratios.margins})),
+        "ytd_performance": Needs(monthly),
+    }
+    first, *rest = [own[n] for n in names or own]
+    for one in rest:
+        first = first | one
+    return first
 
 
 # -- cells and the series frame ----------------------------------------------
@@ -53,7 +111,12 @@ def ytd_running(fm: DataFrame) -> DataFrame:
               .withColumn("ytd_value", F.sum("value").over(so_far)))
 
 
-def series_frame(fm: DataFrame, as_of: Column) -> DataFrame:
+def _quoted(texts) -> str:
+    """Texts as a list of SQL literals."""
+    return ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in texts)
+
+
+def series_frame(fm: DataFrame, as_of: Column, ratios: Ratios = Ratios()) -> DataFrame:
     """The wide frame; `as_of` is the month that counts as now (a date literal or a scalar subquery)."""
     series = "partition by company_id, line_item, period_type"
     in_period = "partition by company_id, period_type, start_date"
@@ -69,7 +132,7 @@ def series_frame(fm: DataFrame, as_of: Column) -> DataFrame:
     step = f"case when age <= {settings.TREND_PERIODS} then cast(-age as double) end"
     same_month = f"over ({series}, month(start_date))"
     based = cells(fm).withColumn("now", as_of).selectExpr(
-        "*", f"cast(max(case when line_item = '{RATIO_BASE}' then actual end) over ({in_period}) as double) as base")
+        "*", f"cast(max(case when line_item = {_quoted([ratios.base])} then actual end) over ({in_period}) as double) as base")
     with_ratio = based.selectExpr("*", f"case when base > 0 then {value} / base end as ratio")
     placed = with_ratio.selectExpr(
         "*", f"{back('actual', 1)} as prev",
@@ -100,11 +163,10 @@ def _change(current: str, previous: str) -> str:
     return f"try_divide({cur} - {prev}, {prev}) * 100"
 
 
-def _rules() -> dict[str, tuple[str, str, str, str]]:
+def _rules(ratios: Ratios) -> dict[str, tuple[str, str, str, str]]:
     """name -> (row condition, current value, reference value, calculated value) over the series frame, as SQL."""
     monthly = "period_type = 'Monthly'"
     since = lambda months: f"start_date >= add_months(now, -{months})"
-    margins = ", ".join(f"'{i}'" for i in MARGIN_ITEMS)
     season = "case when n_season >= 2 then mean_season end"
     spread = "case when n_24 >= 12 and std_24 > 0 then std_24 end"
     return {
@@ -121,8 +183,8 @@ def _rules() -> dict[str, tuple[str, str, str, str]]:
         "absolute_change": ("true", "actual", "prev", "abs(cast(actual as double) - cast(prev as double))"),
         "magnitude_check": (f"{monthly} and {since(1)}", "actual", "mean_24",
                             f"try_divide(cast(actual as double) - mean_24, {spread})"),
-        "efficiency_ratio": (f"line_item = '{EFFICIENCY_ITEM}'", "ratio", "prev_ratio", "ratio"),
-        "margin_analysis": (f"line_item in ({margins})", "ratio * 100", "prev_ratio * 100", "ratio * 100"),
+        "efficiency_ratio": (f"line_item in ({_quoted(ratios.efficiency)})", "ratio", "prev_ratio", "ratio"),
+        "margin_analysis": (f"line_item in ({_quoted(ratios.margins)})", "ratio * 100", "prev_ratio * 100", "ratio * 100"),
         # Said once per year, on the year's first month.
         "ytd_performance": (f"{monthly} and nth_of_year = 1", "year_total", "last_year_total",
                             _change("year_total", "last_year_total")),
@@ -140,11 +202,11 @@ def _emit(name: str, rule: tuple[str, str, str, str]) -> str:
             f"'reference_value', cast({reference} as double), 'calculated_value', {calculated}) end")
 
 
-def observe(fm: DataFrame, as_of: Column, names: list[str] | None = None) -> DataFrame:
+def observe(fm: DataFrame, as_of: Column, names: list[str] | None = None, ratios: Ratios = Ratios()) -> DataFrame:
     """Rows of the named observations (all thirteen by default), before any materiality filter."""
-    rules = _rules()
+    rules = _rules(ratios)
     structs = ", ".join(_emit(n, rules[n]) for n in names or rules)
-    return (series_frame(fm, as_of)
+    return (series_frame(needs(names, ratios).of(fm, as_of), as_of, ratios)
             .selectExpr("company_id", "line_item as metric_name",
                         f"inline(filter(array({structs}), o -> o is not null))")
             .select(*OBS))

@@ -20,17 +20,20 @@ OBS_SQL = {
     "growth_qoq": """SELECT 20002, 'growth_qoq', c.company_id, c.line_item, c.period_type, c.period_label, c.v, p.v, (c.v-p.v)/p.v*100
       FROM act c JOIN act p USING (company_id, line_item, period_type)
       WHERE c.period_type = 'Quarterly' AND p.start_date = c.start_date - INTERVAL 3 MONTH AND p.v <> 0""",
-    "growth_yoy": """SELECT 20003, 'growth_yoy', c.company_id, c.line_item, c.period_type, c.period_label, c.v, p.v, (c.v-p.v)/p.v*100
-      FROM act c JOIN act p USING (company_id, line_item, period_type)
-      WHERE p.start_date = c.start_date - INTERVAL 12 MONTH AND p.v <> 0""",
-    "variance_vs_budget": """SELECT 20004, 'variance_vs_budget', a.company_id, a.line_item, a.period_type, a.period_label, a.v,
-        CAST(b.value AS DOUBLE), (a.v - CAST(b.value AS DOUBLE))/CAST(b.value AS DOUBLE)*100
-      FROM act a JOIN fm b USING (company_id, line_item, period_type, period_label)
-      WHERE b.value_type = 'Budget' AND b.value <> 0""",
-    "variance_vs_forecast": """SELECT 20005, 'variance_vs_forecast', a.company_id, a.line_item, a.period_type, a.period_label, a.v,
-        CAST(b.value AS DOUBLE), (a.v - CAST(b.value AS DOUBLE))/CAST(b.value AS DOUBLE)*100
-      FROM act a JOIN fm b USING (company_id, line_item, period_type, period_label)
-      WHERE b.value_type = 'Forecast' AND b.value <> 0""",
+    "growth_yoy": """SELECT 20003, 'growth_yoy', company_id, line_item, period_type, period_label, v, pv, (v-pv)/pv*100
+      FROM (SELECT *, max(v) OVER (PARTITION BY company_id, line_item, period_type ORDER BY start_date
+              RANGE BETWEEN INTERVAL 12 MONTH PRECEDING AND INTERVAL 12 MONTH PRECEDING) AS pv FROM act)
+      WHERE pv <> 0""",
+    "variance_vs_budget": """SELECT 20004, 'variance_vs_budget', company_id, line_item, period_type, period_label, a, b, (a-b)/b*100
+      FROM (SELECT company_id, line_item, period_type, period_label,
+              CAST(max(value) FILTER (WHERE value_type = 'Actual') AS DOUBLE) AS a,
+              CAST(max(value) FILTER (WHERE value_type = 'Budget') AS DOUBLE) AS b FROM fm GROUP BY ALL)
+      WHERE a IS NOT NULL AND b <> 0""",
+    "variance_vs_forecast": """SELECT 20005, 'variance_vs_forecast', company_id, line_item, period_type, period_label, a, b, (a-b)/b*100
+      FROM (SELECT company_id, line_item, period_type, period_label,
+              CAST(max(value) FILTER (WHERE value_type = 'Actual') AS DOUBLE) AS a,
+              CAST(max(value) FILTER (WHERE value_type = 'Forecast') AS DOUBLE) AS b FROM fm GROUP BY ALL)
+      WHERE a IS NOT NULL AND b <> 0""",
     "ytd_performance": """SELECT 20006, 'ytd_performance', c.company_id, c.line_item, 'Yearly', 'YTD ' || c.y, c.s, p.s, (c.s-p.s)/p.s*100
       FROM (SELECT company_id, line_item, year(start_date) AS y, CAST(sum(value) AS DOUBLE) AS s FROM act
             WHERE period_type = 'Monthly' GROUP BY ALL) c
@@ -56,8 +59,10 @@ OBS_SQL = {
             GROUP BY ALL HAVING count(*) >= 2) s
         ON c.company_id = s.company_id AND c.line_item = s.line_item AND month(c.start_date) = s.mo, nowd
       WHERE c.period_type = 'Monthly' AND c.start_date >= d - INTERVAL 3 MONTH AND s.m <> 0""",
-    "absolute_change": """SELECT 20010, 'absolute_change', c.company_id, c.line_item, c.period_type, c.period_label, c.v, p.v, abs(c.v-p.v)
-      FROM act c JOIN act p USING (company_id, line_item, period_type) WHERE p.period_seq = c.period_seq - 1""",
+    "absolute_change": """SELECT 20010, 'absolute_change', company_id, line_item, period_type, period_label, v, pv, abs(v-pv)
+      FROM (SELECT *, max(v) OVER (PARTITION BY company_id, line_item, period_type ORDER BY period_seq
+              RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS pv FROM act)
+      WHERE pv IS NOT NULL""",
     "magnitude_check": """SELECT 20011, 'magnitude_check', c.company_id, c.line_item, 'Monthly', c.period_label, c.v, h.m, (c.v-h.m)/h.s
       FROM act c JOIN (SELECT company_id, line_item, avg(v) AS m, stddev_samp(v) AS s FROM act, nowd
             WHERE period_type = 'Monthly' AND start_date >= d - INTERVAL 24 MONTH
@@ -76,6 +81,7 @@ ratio AS (SELECT m.company_id, m.line_item, m.period_type, m.period_label, m.per
   FROM act m JOIN act r USING (company_id, period_type, period_label)
   WHERE m.line_item IN ('Gross Profit', 'EBITDA') AND r.line_item = 'Revenue' AND r.v > 0)
 """
+MONTHLY_ACTUALS = M.needs(["growth_mom"])
 _HEADER = f"obs({OBS_COLUMNS})"
 MATERIAL_SQL = """,
 limits AS (SELECT *, CASE
@@ -109,7 +115,7 @@ def _material_sql(*names: str) -> str:
 def _register(key: str, name: str, what: str) -> None:
     @query(key, sql=_material_sql(name))
     def run(t: Tables):
-        return M.materiality_filter(M.observe(t.fm, t.as_of, [name]))
+        return M.materiality_filter(t.observe([name]))
     run.__doc__ = what
 
 
@@ -128,27 +134,27 @@ _register("margin_analysis", "margin_analysis", "Margins on revenue.")
 @query("absolute_change", sql=f"WITH {obs_with(['growth_mom', 'absolute_change'])} "
        f"{obs_select('', 'obs')} WHERE observation_id = 20010 AND calculated_value >= 1000")
 def absolute_change(t: Tables):
-    return M.observe(t.fm, t.as_of, ["absolute_change"]).where(F.col("calculated_value") >= 1000)
+    return t.observe(["absolute_change"]).where(F.col("calculated_value") >= 1000)
 
 
 @query("ytd_total", sql=f"WITH {FM_SQL} SELECT {big('company_id', 'company_id')}, line_item, "
        f"{big('year(start_date)', 'year')}, {r4('sum(value)', 'ytd_value')}, {big('count(*)', 'months')} "
        "FROM act WHERE period_type = 'Monthly' GROUP BY company_id, line_item, year(start_date)")
 def ytd_total(t: Tables):
-    return M.ytd_total(t.fm_monthly).drop("base_metric_id")
+    return M.ytd_total(t.fm_for(MONTHLY_ACTUALS)).drop("base_metric_id")
 
 
 @query("ytd_running", sql=f"WITH {FM_SQL} SELECT {big('company_id', 'company_id')}, line_item, period_label, "
        f"{r4('value', 'value')}, {r4('(SELECT sum(b.value) FROM act b WHERE b.company_id = a.company_id AND b.line_item = a.line_item AND b.period_type = a.period_type AND year(b.start_date) = year(a.start_date) AND b.start_date <= a.start_date)', 'ytd_value')} "
        "FROM act a WHERE period_type = 'Monthly'")
 def ytd_running(t: Tables):
-    return M.ytd_running(t.fm_monthly).select("company_id", "line_item", "period_label", "value", "ytd_value")
+    return M.ytd_running(t.fm_for(MONTHLY_ACTUALS)).select("company_id", "line_item", "period_label", "value", "ytd_value")
 
 
 @query("ytd_growth", sql=f"WITH {obs_with()} {obs_select(', ' + r4('threshold', 'threshold'), 'material')} "
        "WHERE observation_id = 20006")
 def ytd_growth(t: Tables):
-    return M.materiality_filter(M.ytd_growth(t.fm_monthly))
+    return M.materiality_filter(M.ytd_growth(t.fm_for(MONTHLY_ACTUALS)))
 
 
 @query("trend_stats", sql=f"WITH {FM_SQL} SELECT {big('company_id', 'company_id')}, line_item AS metric_name, "
@@ -156,7 +162,8 @@ def ytd_growth(t: Tables):
        "FROM act, nowd WHERE period_type = 'Monthly' AND start_date >= d - INTERVAL 12 MONTH "
        "GROUP BY company_id, line_item HAVING count(*) >= 3")
 def trend_stats(t: Tables):
-    return M.trend_stats(t.fm_monthly, t.as_of)
+    needs = M.needs(["volatility_measure"])
+    return M.trend_stats(t.fm_for(needs), t.now_for(needs))
 
 
 @query("trend_slope", sql=f"""WITH {FM_SQL}, last6 AS (
@@ -169,7 +176,7 @@ SELECT {big('company_id', 'company_id')}, metric_name, {r4('slope', 'slope')}, {
   {big('periods', 'periods')}, {r4('slope/mean_value', 'relative_slope')},
   CASE WHEN slope/mean_value >= 0.02 THEN 'up' WHEN slope/mean_value <= -0.02 THEN 'down' ELSE 'flat' END AS direction FROM s""")
 def trend_slope(t: Tables):
-    return M.trend_slope(t.fm_monthly)
+    return M.trend_slope(t.fm_for(MONTHLY_ACTUALS))
 
 
 @query("outlier_flags", sql=f"""WITH {FM_SQL}, s AS (
@@ -187,7 +194,7 @@ def outlier_flags(t: Tables):
 
 @query("materiality_filter", sql=_material_sql("growth_mom", "variance_vs_budget", "variance_vs_forecast"))
 def materiality_filter(t: Tables):
-    return M.materiality_filter(M.observe(t.fm, t.as_of, ["growth_mom", "variance_vs_budget", "variance_vs_forecast"]))
+    return M.materiality_filter(t.observe(["growth_mom", "variance_vs_budget", "variance_vs_forecast"]))
 
 
 @query("all_observations", sql=f"WITH {obs_with()} {obs_select()}")
@@ -207,7 +214,7 @@ SELECT {big('company_id', 'company_id')}, period_label, metric_name, ct AS calcu
   {r4('CAST(calculated_value AS DECIMAL(28,4))', 'calculated_value')}, '%' AS unit, base AS source_ids,
   ct || ' for ' || period_label AS calculation_note, 'Ok' AS corroboration_status, period_type AS frequency FROM d""")
 def derived_metrics(t: Tables):
-    growth = M.observe(t.fm, t.as_of, ["growth_mom", "growth_qoq", "growth_yoy", "ytd_performance"])
+    growth = t.observe(["growth_mom", "growth_qoq", "growth_yoy", "ytd_performance"])
     return M.derived_rows(M.materiality_filter(growth))
 
 
@@ -253,7 +260,7 @@ SELECT {big('company_id', 'company_id')}, line_item, {big('y', 'year')},
   {big('CASE WHEN y >= (SELECT year(d) - 1 FROM nowd) THEN 2 ELSE 1 END', 'version')} FROM y""")
 def derived_upsert(t: Tables):
     """Year totals, of which the last two years arrive again with doubled values."""
-    totals = M.ytd_total(t.fm_monthly).select("company_id", "line_item", "year", F.col("ytd_value").cast("double").alias("value"))
+    totals = M.ytd_total(t.fm_for(MONTHLY_ACTUALS)).select("company_id", "line_item", "year", F.col("ytd_value").cast("double").alias("value"))
     again = totals.where(F.col("year") >= F.year(t.as_of) - 1).select(
         "company_id", "line_item", "year", (F.col("value") * 2).alias("value"), F.lit(2).alias("version"))
     return sinks.upsert(totals.withColumn("version", F.lit(1)), again, ["company_id", "line_item", "year"], "version")

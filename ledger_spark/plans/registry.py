@@ -7,7 +7,6 @@ A query is a function of `Tables`; next to it stands the same meaning in DuckDB
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -19,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 FACT_VALUE = "decimal(28,2)"
+ALL_FACTS = M.Needs(value_types=frozenset({"Actual", "Budget", "Forecast"}))
+MONTHLY_FACTS = M.Needs(kinds=frozenset({"Monthly"}), value_types=ALL_FACTS.value_types)
 
 
 def query(name: str, sql: str | None = None):
@@ -76,16 +77,23 @@ class Tables:
 
     # -- facts -----------------------------------------------------------
 
-    @cached_property
-    def ship_months(self) -> DataFrame:
-        """One aggregation of all lines to (company, month, value type) with the three measures.
+    def ship_months(self, needs: M.Needs) -> DataFrame:
+        """One aggregation of the needed lines to (company, month, value type) with the three measures.
 
+        Return flag and ship date are tested as they are stored, so both tests reach the Parquet scan.
         Amounts are whole cents and whole percents, so a line's measures are integers in units of 0.0001.
         They are summed in two parts, millions and rest, which keeps every sum exact in a long for up to
         9e12 lines a group; decimals appear only on the few group rows.  Supplier is joined by whatever way
         fits its size, and the sums combine before the shuffle.
         """
-        lines = self("lineitem").join(self("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).selectExpr(
+        lines = self("lineitem")
+        flags = {"Actual": "l_returnflag = 'A'", "Budget": "l_returnflag = 'N'",
+                 "Forecast": "l_returnflag is null or l_returnflag not in ('A', 'N')"}
+        if needs.value_types < set(flags):
+            lines = lines.where(" or ".join(f"({test})" for kind, test in flags.items() if kind in needs.value_types))
+        if needs.months is not None:
+            lines = lines.where(F.col("l_shipdate") >= self.month_before(needs.months))
+        lines = lines.join(self("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).selectExpr(
             "s_nationkey as company_id", "trunc(cast(l_shipdate as date), 'month') as month",
             "case l_returnflag when 'A' then 'Actual' when 'N' then 'Budget' else 'Forecast' end as value_type",
             "cast(rint(l_extendedprice * 100) as long) as cents",
@@ -98,19 +106,22 @@ class Tables:
         return lines.groupBy("company_id", "month", "value_type").agg(*parts) \
                     .selectExpr("company_id", "month", "value_type", *whole)
 
-    def _facts(self, kinds: list[tuple[str, str]]) -> DataFrame:
-        months = self.ship_months
-        if [k for k, _ in kinds] == ["Monthly"]:
+    def fm_for(self, needs: M.Needs) -> DataFrame:
+        """The facts that rules need; quarters and years are sums of the month sums."""
+        months = self.ship_months(needs)
+        units = {"Monthly": "month", "Quarterly": "quarter", "Yearly": "year"}
+        kinds = [k for k in units if needs.kinds is None or k in needs.kinds]
+        if kinds == ["Monthly"]:
             rolled = months.selectExpr("company_id", "'Monthly' as period_type", "month as start_date", "value_type",
                                        "revenue", "gross", "ebitda")
         else:
-            spans = ", ".join(f"named_struct('period_type', '{kind}', 'start_date', trunc(month, '{unit}'))"
-                              for kind, unit in kinds)
+            spans = ", ".join(f"named_struct('period_type', '{k}', 'start_date', trunc(month, '{units[k]}'))" for k in kinds)
             rolled = (months.selectExpr("*", f"inline(array({spans}))")
                             .groupBy("company_id", "period_type", "start_date", "value_type")
                             .agg(*[F.sum(c).alias(c) for c in ("revenue", "gross", "ebitda")]))
         measures = ", ".join(f"named_struct('line_item', '{item}', 'value', cast({c} as {FACT_VALUE}))" for item, c in (
-            ("Revenue", "revenue"), ("Gross Profit", "gross"), ("EBITDA", "ebitda")))
+            ("Revenue", "revenue"), ("Gross Profit", "gross"), ("EBITDA", "ebitda"))
+            if needs.items is None or item in needs.items)
         kind, first = F.col("period_type"), F.col("start_date")
         return (rolled.selectExpr("*", f"inline(array({measures}))")
                       .select("company_id", "line_item", kind, P.period_label(first, kind).alias("period_label"),
@@ -118,12 +129,33 @@ class Tables:
 
     @property
     def fm(self) -> DataFrame:
-        """Monthly, quarterly and yearly facts; quarters and years are sums of the month sums."""
-        return self._facts([("Monthly", "month"), ("Quarterly", "quarter"), ("Yearly", "year")])
+        """Monthly, quarterly and yearly facts of all value types."""
+        return self.fm_for(ALL_FACTS)
 
     @property
     def fm_monthly(self) -> DataFrame:
-        return self._facts([("Monthly", "month")])
+        return self.fm_for(MONTHLY_FACTS)
+
+    def observe(self, names: list[str] | None = None) -> DataFrame:
+        """The named observations over no more facts than they read."""
+        needs = M.needs(names)
+        return M.observe(self.fm_for(needs), self.now_for(needs), names)
+
+    def now_for(self, needs: M.Needs) -> Column:
+        """The latest ship month, counted from the bound of `fm_for` where there is one.
+
+        Two different subqueries over one table would be merged into one with two fields, and a field of a
+        subquery is not handed to the scan; the same subquery twice is run once and is.
+        """
+        if needs.months is None:
+            return self.as_of
+        return F.add_months(self.month_before(needs.months).cast("date"), needs.months)
+
+    def month_before(self, months: int) -> Column:
+        """The first day of the month so many months before the latest, as a scalar subquery that the scan can be filtered with."""
+        newest = F.trunc(F.max("l_shipdate").cast("date"), "month")
+        kind = self("lineitem").schema["l_shipdate"].dataType
+        return self("lineitem").agg(F.add_months(newest, -months).cast(kind).alias("bound")).scalar()
 
     @property
     def as_of(self) -> Column:

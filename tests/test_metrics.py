@@ -102,3 +102,49 @@ def test_template_checks(spark, rows):
     obs = spark.createDataFrame([(20001,)], "observation_id int")
     assert rows(Q.template_validation(tpl, obs)) == [(1, "error", "missing template_text"),
                                                      (1, "warning", "id out of range"), (1, "warning", "unknown observation")]
+
+
+ALONE = ["growth_mom", "growth_qoq", "growth_yoy", "variance_vs_budget", "variance_vs_forecast", "ytd_performance",
+         "trend_direction", "volatility_measure", "seasonal_variance", "absolute_change", "magnitude_check",
+         "efficiency_ratio", "margin_analysis"]
+
+
+def test_alone_equals_together(spark, rows):
+    """Pruned to what it needs, each observation has the rows it has among all thirteen."""
+    seasons = [month(n, item, vt, 100.0 + 7 * ((n * year) % 11) + n * len(vt), year)
+               for year in (2022, 2023, 2024, 2025) for n in range(1, 13)
+               for item in ("Revenue", "Gross Profit", "EBITDA") for vt in ("Actual", "Budget", "Forecast")]
+    longer = [(1, "Revenue", kind, dt.date(year, 1, 1), "Actual", 50.0 + year) for kind in ("Quarterly", "Yearly")
+              for year in (2023, 2024, 2025)]
+    fm = facts(spark, seasons + longer + [(1, "Revenue", "Quarterly", dt.date(2025, 4, 1), "Actual", 9.0)]).cache()
+    together = M.observe(fm, as_of()).cache()
+    plain = lambda df: rows(df.select(*[F.round(c, 9).alias(c) if c.endswith("_value") else c for c in M.OBS]))
+    for name in ALONE:
+        alone = plain(M.observe(fm, as_of(), [name]))
+        assert alone and alone == plain(together.where(F.col("observation_name") == name)), name
+
+
+def test_needs_reach_the_scan(spark, tmp_path):
+    fm = facts(spark, [month(n, vt=vt) for n in range(1, 13) for vt in ("Actual", "Budget")])
+    fm.write.partitionBy("period_type").parquet(str(tmp_path / "fm"))
+    held = spark.read.parquet(str(tmp_path / "fm"))
+    plan = M.observe(held, as_of(), ["volatility_measure"])._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(value_type,Actual)" in plan and "GreaterThanOrEqual(start_date,2024-12-01)" in plan
+    assert "period_type" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert plan.count("FileScan") == 1
+
+
+def test_needs_together():
+    assert M.needs(["growth_mom", "volatility_measure"]) == M.Needs(frozenset({"Monthly"}))
+    assert M.needs(["volatility_measure", "seasonal_variance"]).months == 36
+    assert M.needs() == M.Needs(value_types=frozenset({"Actual", "Budget", "Forecast"}))
+
+
+def test_ratio_items_are_arguments(spark):
+    fm = facts(spark, [month(1, "Net Sales", value=200.0), month(1, "Owner's Cut", value=50.0), month(1, "EBITDA", value=20.0)])
+    ratios = M.Ratios(base="Net Sales", efficiency=("Owner's Cut",), margins=("Owner's Cut", "EBITDA"))
+    obs = M.observe(fm, as_of(), ["efficiency_ratio", "margin_analysis"], ratios)
+    assert values(obs, "efficiency_ratio") == {"2025-01": pytest.approx(0.25)}
+    assert {r["metric_name"]: r["calculated_value"] for r in obs.where("observation_name = 'margin_analysis'").collect()} \
+        == {"Owner's Cut": pytest.approx(25.0), "EBITDA": pytest.approx(10.0)}
+    assert M.observe(fm, as_of(), ["margin_analysis"]).count() == 0
