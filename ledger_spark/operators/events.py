@@ -12,7 +12,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ledger_spark import settings
 from ledger_spark.functions import values as V
@@ -45,10 +45,25 @@ def metric_family(df: DataFrame, patterns: list[str]) -> DataFrame:
     return df.where(V.rlike_any(F.col("name"), patterns))
 
 
-def perf_summary(ev: DataFrame) -> DataFrame:
-    return ev.groupBy("name").agg(F.count(F.lit(1)).alias("events"), F.avg("value").alias("average"),
-                                  F.min("value").alias("smallest"), F.max("value").alias("largest"),
-                                  F.max_by("value", F.struct("ts", "event_id")).alias("latest"))
+def recency(df: DataFrame, ts: str = "ts", number: str = "event_id") -> Column:
+    """An order by time, then number, in which rows without either come first: one decimal where the number is integral.
+
+    A decimal is kept in place by hash aggregates, while a struct makes Spark sort all rows.  It holds times of the years
+    1 to 9999 in microseconds above 2 * 10**19, which is beyond every long moved up to start at 1.  Rows equal in both
+    count as one event.
+    """
+    if not isinstance(df.schema[number].dataType, T.IntegralType):
+        return F.struct(ts, number)
+    high = F.coalesce(_micros(df, ts), F.lit(-10**18)).cast("decimal(19,0)") * F.expr("20000000000000000000BD")
+    return high + F.coalesce(F.col(number).cast("decimal(20,0)") + F.expr("9223372036854775809BD"), F.expr("0BD"))
+
+
+def perf_summary(ev: DataFrame, since: Column | None = None) -> DataFrame:
+    """Statistics and the latest value of each name, of all time or since a bound."""
+    rows = ev if since is None else ev.where(F.col("ts") >= since)
+    return rows.groupBy("name").agg(F.count(F.lit(1)).alias("events"), F.avg("value").alias("average"),
+                                    F.min("value").alias("smallest"), F.max("value").alias("largest"),
+                                    F.max_by("value", recency(ev)).alias("latest"))
 
 
 def tagged_counts(ev: DataFrame, tags: list[str]) -> DataFrame:
@@ -58,9 +73,10 @@ def tagged_counts(ev: DataFrame, tags: list[str]) -> DataFrame:
                                  F.avg("value").alias("avg_ms"))
 
 
-def query_type_summary(ev: DataFrame, kind: str) -> DataFrame:
-    return ev.groupBy(kind).agg(F.count(F.lit(1)).alias("events"), F.avg("value").alias("avg_ms"),
-                                F.min("value").alias("min_ms"), F.max("value").alias("max_ms"))
+def query_type_summary(ev: DataFrame, kind: str, since: Column | None = None) -> DataFrame:
+    rows = ev if since is None else ev.where(F.col("ts") >= since)
+    return rows.groupBy(kind).agg(F.count(F.lit(1)).alias("events"), F.avg("value").alias("avg_ms"),
+                                  F.min("value").alias("min_ms"), F.max("value").alias("max_ms"))
 
 
 def timed_calls(ev: DataFrame, function: str, success: Column) -> DataFrame:
@@ -111,8 +127,9 @@ def error_summary(errors: DataFrame, since: Column) -> DataFrame:
                                            F.count(F.lit(1)).alias("unique_errors"))
 
 
-def top_errors(errors: DataFrame, n: int = 10) -> DataFrame:
-    return (errors.groupBy("error_id").agg(F.count(F.lit(1)).alias("occurrences"))
+def top_errors(errors: DataFrame, n: int = 10, since: Column | None = None) -> DataFrame:
+    rows = errors if since is None else errors.where(F.col("ts") >= since)
+    return (rows.groupBy("error_id").agg(F.count(F.lit(1)).alias("occurrences"))
                   .orderBy(F.desc("occurrences"), "error_id").limit(n))
 
 
@@ -240,20 +257,43 @@ def alerts_rate(errors: DataFrame, n: int = settings.ERRORS_PER_MINUTE, seconds:
     return trailing_count(errors, [], seconds, "error_count").where(F.col("error_count") >= n)
 
 
-def all_alerts(errors: DataFrame, repeated: int, rate: int, seconds: int) -> DataFrame:
+def _alert_rows(repeated: DataFrame, critical: DataFrame, crowded: DataFrame, seconds: int) -> DataFrame:
     """The three kinds of alert as one table (alert_type, event_id, ts, error_id, message)."""
     def shape(df: DataFrame, kind: str, message: Column) -> DataFrame:
         return df.select(F.lit(kind).alias("alert_type"), "event_id", "ts", "error_id", message.alias("message"))
-    return (shape(alerts_repeated(errors, repeated), "REPEATED_ERROR",
+    return (shape(repeated, "REPEATED_ERROR",
                   F.concat(F.lit("Error "), F.col("error_id"), F.lit(" occurred "),
                            F.col("occurrence").cast("string"), F.lit(" times")))
-            .unionByName(shape(alerts_critical(errors), "CRITICAL_ERROR",
+            .unionByName(shape(critical, "CRITICAL_ERROR",
                                F.concat(F.lit("Critical error occurred: "), F.col("message"))))
-            .unionByName(shape(alerts_rate(errors, rate, seconds), "HIGH_ERROR_RATE",
+            .unionByName(shape(crowded, "HIGH_ERROR_RATE",
                                F.concat(F.lit("High error rate: "), F.col("error_count").cast("string"),
                                         F.lit(f" errors in {seconds} s")))))
 
 
+def all_alerts(errors: DataFrame, repeated: int, rate: int, seconds: int) -> DataFrame:
+    """All alerts of the whole log; see `alerts_since` for those of late."""
+    return _alert_rows(alerts_repeated(errors, repeated), alerts_critical(errors), alerts_rate(errors, rate, seconds), seconds)
+
+
+def alerts_since(errors: DataFrame, since: Column, repeated: int = settings.REPEATED_ERROR_COUNT,
+                 rate: int = settings.ERRORS_PER_MINUTE, seconds: int = 60) -> DataFrame:
+    """`all_alerts` of the errors from `since` on, without ordering the history before it.
+
+    Older errors, and those without a time, only add to the counts of their fingerprints; the trailing count reads one
+    window more.
+    """
+    recent = errors.where(F.col("ts") >= since)
+    counted = running_count(recent, "error_id", ["ts", "event_id"], "occurrence")
+    before = errors.where(F.col("ts").isNull() | (F.col("ts") < since)).groupBy(F.col("error_id").alias("_id")) \
+                   .agg(F.count(F.lit(1)).alias("_before"))
+    counted = counted.join(before, F.col("error_id").eqNullSafe(F.col("_id")), "left").withColumn(
+        "occurrence", F.col("occurrence") + F.coalesce("_before", F.lit(0))).drop("_id", "_before")
+    lately = errors.where(F.col("ts") >= since - F.expr(f"interval {seconds} seconds"))
+    crowded = alerts_rate(lately, rate, seconds).where(F.col("ts") >= since)
+    return _alert_rows(counted.where(F.col("occurrence") >= repeated), alerts_critical(recent), crowded, seconds)
+
+
 def recent_alerts(alerts: DataFrame, since: Column) -> DataFrame:
     return alerts.where(F.col("ts") >= since).orderBy(F.desc("ts"), "alert_type", "event_id")
 
@@ -336,11 +376,9 @@ def rate_limit(ev: DataFrame, limit: int, seconds: int, client: str = "client")
 
 def health_status(samples: DataFrame, host: str = "host") -> DataFrame:
     """The status of each host at its latest sample."""
-    newest = samples.groupBy(host).agg(F.max_by(F.struct("ts", "cpu_percent", "memory_percent"),
-                                                F.struct("ts", "event_id")).alias("s"))
-    worst = F.greatest("s.cpu_percent", "s.memory_percent")
-    return newest.select(host, F.col("s.cpu_percent").alias("cpu_percent"),
-                         F.col("s.memory_percent").alias("memory_percent"),
+    newest = samples.groupBy(host).agg(*[F.max_by(c, recency(samples)).alias(c) for c in ("cpu_percent", "memory_percent")])
+    worst = F.greatest("cpu_percent", "memory_percent")
+    return newest.select(host, "cpu_percent", "memory_percent",
                          F.when(worst > settings.HEALTH_UNHEALTHY_PCT, "unhealthy")
                           .when(worst > settings.HEALTH_DEGRADED_PCT, "degraded")
                           .otherwise("healthy").alias("status"))

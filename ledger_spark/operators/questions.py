@@ -142,6 +142,14 @@ def live_questions(new: DataFrame, existing: DataFrame, as_of: Column) -> DataFr
                  .withColumn("status", F.when(F.col("expires_at") < as_of, "expired").otherwise("live")))
 
 
+def unlisted_questions(rows: DataFrame, live: Column, as_of: Column) -> DataFrame:
+    """`live_questions` where one frame holds the new rows and, marked by `live`, the listed ones: one aggregation, no join."""
+    return (rows.groupBy("company_id", "question_text")
+                .agg(F.max("expires_at").alias("expires_at"), F.coalesce(F.bool_or(live), F.lit(False)).alias("_live"))
+                .where(~F.col("_live")).drop("_live")
+                .withColumn("status", F.when(F.col("expires_at") < as_of, "expired").otherwise("live")))
+
+
 def placeholders(tpl: DataFrame, column: str = "question_text") -> DataFrame:
     """Add `variables`: the placeholder names of a template in order of appearance."""
     return tpl.withColumn("variables", F.regexp_extract_all(F.col(column), F.lit(r"\{(\w+)\}"), F.lit(1)))

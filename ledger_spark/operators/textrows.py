@@ -91,11 +91,12 @@ def zip_cells(df: DataFrame, key: list[str], labels: str, values: str) -> DataFr
               .where(F.col("raw_label").isNotNull() & F.col("raw_value").isNotNull()))
 
 
-def aligned_items(df: DataFrame, key: list[str], labels: str, values: str) -> DataFrame:
+def aligned_items(df: DataFrame, key: list[str], labels: str, values: str, skip: list[str] | None = None,
+                  terms: list[str] | None = None, phrases: list[str] | None = None) -> DataFrame:
     """Paired cells kept where the label is a financial line and the value holds a number."""
     pairs = zip_cells(df, key, labels, values)
-    return (pairs.where(is_financial_line(F.col("raw_label")))
-                 .select(*key, "position", clean_line_item(F.col("raw_label")).alias("line_item"),
+    return (pairs.where(is_financial_line(F.col("raw_label"), skip, terms))
+                 .select(*key, "position", clean_line_item(F.col("raw_label"), phrases).alias("line_item"),
                          first_value(F.col("raw_value")).alias("value"))
                  .where(F.col("value").isNotNull()))
 

@@ -34,6 +34,13 @@ def perf_summary(t: Tables):
     return E.perf_summary(t.events)
 
 
+@query("perf_summary_recent", sql=f"WITH {EVENTS_SQL} SELECT name, {big('count(*)', 'events')}, {r4('avg(value)', 'average')}, "
+       f"{r4('min(value)', 'smallest')}, {r4('max(value)', 'largest')}, {r4('first(value ORDER BY ts DESC, event_id DESC)', 'latest')} "
+       "FROM ev, mx WHERE ts >= t - INTERVAL 60 MINUTE GROUP BY name")
+def perf_summary_recent(t: Tables):
+    return E.perf_summary(t.events, E.latest(t("events"), back="60 minutes"))
+
+
 @query("tagged_counters", sql=f"WITH {EVENTS_SQL} SELECT {big('k % 4', 'path')}, {big('client % 3', 'method')}, {big('count(*)', 'requests')}, "
        f"""{big("count(*) FILTER (WHERE name = 'error')", 'errors')}, {r4("count(*) FILTER (WHERE name = 'error') / count(*)", 'error_ratio')}, """
        f"{r4('avg(value)', 'avg_ms')} FROM ev GROUP BY k % 4, client % 3")
@@ -48,6 +55,12 @@ def query_type_summary(t: Tables):
     return E.query_type_summary(t.events.withColumnRenamed("k", "query_type"), "query_type")
 
 
+@query("query_type_recent", sql=f"WITH {EVENTS_SQL} SELECT {big('k', 'query_type')}, {big('count(*)', 'events')}, {r4('avg(value)', 'avg_ms')}, "
+       f"{r4('min(value)', 'min_ms')}, {r4('max(value)', 'max_ms')} FROM ev, mx WHERE ts >= t - INTERVAL 1440 MINUTE GROUP BY k")
+def query_type_recent(t: Tables):
+    return E.query_type_summary(t.events.withColumnRenamed("k", "query_type"), "query_type", E.latest(t("events"), back="1440 minutes"))
+
+
 @query("slow_operations", sql=f"WITH {EVENTS_SQL} SELECT event_id, name, {r4('value', 'value')}, "
        f"{r4('''CASE name WHEN 'view' THEN 100 WHEN 'click' THEN 200 ELSE 150 END''', 'threshold')} FROM ev "
        "WHERE (name = 'view' AND value > 100) OR (name = 'click' AND value > 200) OR (name = 'purchase' AND value > 150)")
@@ -93,6 +106,12 @@ def top_errors(t: Tables):
     return E.top_errors(t.errors)
 
 
+@query("top_errors_recent", sql=f"WITH {EVENTS_SQL} SELECT error_id, {big('count(*)', 'occurrences')} FROM err, mx "
+       "WHERE ts >= t - INTERVAL 24 HOUR GROUP BY error_id ORDER BY count(*) DESC, error_id LIMIT 10")
+def top_errors_recent(t: Tables):
+    return E.top_errors(t.errors, since=E.latest(t("events"), back="24 hours"))
+
+
 @query("error_details", sql=f"WITH {EVENTS_SQL} SELECT error_id, error_type, {big('count(*)', 'occurrences')}, min(ts) AS first_seen, "
        "max(ts) AS last_seen FROM err GROUP BY error_id, error_type")
 def error_details(t: Tables):
@@ -135,7 +154,8 @@ al AS (SELECT 'REPEATED_ERROR' AS alert_type, event_id, ts, error_id, 'Error ' |
   UNION ALL SELECT 'HIGH_ERROR_RATE', event_id, ts, error_id, 'High error rate: ' || error_count || ' errors in 3600 s' FROM rate)
 SELECT al.* FROM al, mx WHERE ts >= t - INTERVAL 168 HOUR""")
 def recent_alerts(t: Tables):
-    return E.recent_alerts(E.all_alerts(t.errors, 5, 5, HOUR), E.latest(t("events"), back="168 hours"))
+    since = E.latest(t("events"), back="168 hours")
+    return E.recent_alerts(E.alerts_since(t.errors, since, 5, 5, HOUR), since)
 
 
 @query("resolved_errors", sql=f"""WITH {EVENTS_SQL}, fixed AS (SELECT DISTINCT error_id FROM err WHERE value > 300)
@@ -152,6 +172,13 @@ def error_retention(t: Tables):
     return E.retention(t.errors, E.latest(t("events"), back="10 days"))
 
 
+@query("errors_retained", sql=f"""WITH {EVENTS_SQL} SELECT event_id, error_id FROM err WHERE error_id NOT IN (
+  SELECT error_id FROM err GROUP BY error_id HAVING max(ts) < (SELECT t - INTERVAL 1 DAY FROM mx))""")
+def errors_retained(t: Tables):
+    """The errors of fingerprints seen on the last day; the others go with all their events."""
+    return E.retain(t.errors, E.latest(t("events"), back="1 day")).select("event_id", "error_id")
+
+
 @query("sliding_request_count", sql=f"""WITH {EVENTS_SQL} SELECT event_id, client, {big('count(*) OVER (PARTITION BY client ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECOND PRECEDING AND CURRENT ROW)', 'requests')} FROM ev""")
 def sliding_request_count(t: Tables):
     rows = t.events.select("event_id", "client", "ts")

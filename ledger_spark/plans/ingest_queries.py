@@ -238,6 +238,28 @@ def alias_suggestion(t: Tables):
     return MP.suggest_names(t.headers, "header", _FIELD_NAMES, 3)
 
 
+_WRITTEN = "CASE row_id % 3 WHEN 0 THEN {iso} WHEN 1 THEN {us} ELSE {eu} END"
+
+
+@query("period_alias_or_date", sql=f"""WITH {JUDGED_SQL},
+p AS (SELECT r.row_id, k.canon, k.kind, k.start_date, CAST(r.o_orderdate AS DATE) AS od, trim(r.period_label) AS label FROM raw_rows r JOIN known k USING (row_id))
+SELECT row_id, CASE WHEN canon IS NULL THEN {_WRITTEN.format(iso="strftime(od, '%Y-%m-%d')", us="strftime(od, '%m/%d/%Y')", eu="strftime(od, '%d-%m-%Y')")} ELSE label END AS label_as_written,
+  coalesce(kind, 'Monthly') AS period_type, coalesce(canon, strftime(od, '%Y-%m-%d')) AS period_label,
+  CAST(coalesce(start_date, od) AS VARCHAR) AS start_date, CAST(CASE kind WHEN 'Monthly' THEN last_day(start_date)
+    WHEN 'Quarterly' THEN last_day(CAST(start_date + INTERVAL 2 MONTH AS DATE)) WHEN 'Yearly' THEN last_day(CAST(start_date + INTERVAL 11 MONTH AS DATE))
+    ELSE od END AS VARCHAR) AS end_date, false AS is_fallback FROM p""")
+def period_alias_or_date(t: Tables):
+    """Labels that the aliases name, and dates in three written forms in place of the labels that name nothing."""
+    days = t("orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderdate").alias("day"))
+    form = lambda pattern: F.date_format("day", pattern)
+    written = F.when(F.col("row_id") % 3 == 0, form("yyyy-MM-dd")).when(F.col("row_id") % 3 == 1, form("MM/dd/yyyy")).otherwise(form("dd-MM-yyyy"))
+    rows = t.raw_rows.select("row_id", "period_label").join(days, "row_id").withColumn(
+        "period_label", F.when(F.col("row_id") % 8 == 7, written).otherwise(F.col("period_label")))
+    as_of = t("orders").agg(F.max("o_orderdate").cast("date").alias("d")).scalar()
+    parsed = P.parse_period(F.col("period_label"), as_of, None, F.col("alias_label"), F.col("alias_type"))
+    return N.resolve_alias(rows, D.period_aliases(t.order_calendar)).select("row_id", parsed.alias("p")).select("row_id", "p.*")
+
+
 # -- rows ----------------------------------------------------------------------
 
 @query("line_item_mapping", sql=f"""WITH {RAW_SQL}

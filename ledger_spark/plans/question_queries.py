@@ -136,10 +136,34 @@ SELECT {big('template_id', 'template_id')}, 'warning' AS severity, 'unknown obse
 WHERE observation_id NOT IN (SELECT observation_id FROM material)""")
 def template_validation(t: Tables):
     """Templates checked against the observations that the data produces."""
-    made = M.materiality_filter(M.observe(t.fm, t.as_of, ["growth_mom", "growth_qoq", "variance_vs_budget"]))
+    made = M.materiality_filter(t.observe(["growth_mom", "growth_qoq", "variance_vs_budget"]))
     return Q.template_validation(D.templates(t.spark), made.select("observation_id"))
 
 
+_DRAFTS = {  # a template drafted for every part, with faults by its key
+    "template_id": "CASE WHEN p_partkey % 11 <> 0 THEN 29990 + p_partkey % 20 END",
+    "observation_id": "CASE WHEN p_partkey % 7 <> 0 THEN 20001 + p_partkey % 4 END",
+    "template_text": "CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END",
+    "category": "CASE WHEN p_partkey % 13 <> 0 THEN p_brand END",
+    "priority": "CASE WHEN p_partkey % 17 = 0 THEN '' ELSE 'high' END",
+    "importance": "CASE WHEN p_partkey % 19 <> 0 THEN p_size END",
+}
+
+
+@query("template_draft_faults", sql=f"""WITH {obs_with(['growth_mom', 'variance_vs_budget'])},
+drafts AS (SELECT {', '.join(f'{x} AS {c}' for c, x in _DRAFTS.items())} FROM part),
+faults AS ({' UNION ALL '.join(f"SELECT template_id, 'error' AS severity, 'missing {c}' AS rule FROM drafts WHERE coalesce(CAST({c} AS VARCHAR), '') = ''" for c in _DRAFTS)}
+  UNION ALL SELECT template_id, 'warning', 'unknown observation' FROM drafts WHERE observation_id NOT IN (SELECT observation_id FROM material)
+  UNION ALL SELECT template_id, 'warning', 'id out of range' FROM drafts WHERE template_id < 30001 OR template_id > 39999)
+SELECT {big('template_id', 'template_id')}, severity, rule, {big('count(*)', 'drafts')} FROM faults GROUP BY ALL""")
+def template_draft_faults(t: Tables):
+    """Every rule of the validation, over drafts that break each of them."""
+    drafts = t("part").selectExpr(*[f"{x} as {c}" for c, x in _DRAFTS.items()])
+    made = M.materiality_filter(t.observe(["growth_mom", "variance_vs_budget"]))
+    return (Q.template_validation(drafts, made.select("observation_id"))
+             .groupBy("template_id", "severity", "rule").agg(F.count(F.lit(1)).alias("drafts")))
+
+
 @query("live_questions", sql=f"""WITH {RENDERED_SQL},
 dated AS (SELECT company_id, question_text, observation_id,
   CAST(CASE WHEN period_label LIKE 'YTD %' THEN substr(period_label, 5, 4) || '-12-31'
@@ -160,7 +184,7 @@ def live_questions(t: Tables):
             .otherwise(F.concat(label, F.lit("-28"))))
     rows = Q.render(t.questions).select("company_id", "question_text", "observation_id",
                                         day.cast("date").alias("expires_at"))
-    return Q.live_questions(rows, rows.where(F.col("observation_id") == 20001), t.as_of)
+    return Q.unlisted_questions(rows, F.col("observation_id") == 20001, t.as_of)
 
 
 _VARIANCE_TEXT = [text for cat, _, text in settings.PLACEHOLDER_TEMPLATES if cat == "variance_analysis"]
@@ -178,7 +202,7 @@ FROM v
 UNION ALL SELECT company_id, metric_name, period_label, 4, 'metric_name,variance_percent,variance_direction',
   metric_name || ' is ' || p || '% ' || dir || ' than expected. What factors contributed to this variance?' FROM v""")
 def template_placeholders(t: Tables):
-    rows = M.materiality_filter(M.observe(t.fm, t.as_of, ["variance_vs_budget"]))
+    rows = M.materiality_filter(t.observe(["variance_vs_budget"]))
     tpl = Q.placeholders(D.placeholder_templates(t.spark).where(F.col("category") == "variance_analysis"))
     money = lambda c: F.col(c).cast("decimal(30,2)").cast("string")
     text = Q.fill_placeholders(F.col("question_text"), {

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from ledger_spark import settings
 from ledger_spark.operators import textrows as X
 from ledger_spark.plans.registry import Tables, big, query
 
@@ -11,6 +14,7 @@ from ledger_spark.plans.registry import Tables, big, query
 TERMS = ["tion", "ing", "the", "que"]
 SKIP = ["copyright", "license"]
 WORDS = ["the", "der", "que", "tion"]
+PHRASES = ["Ring", "Que"]
 
 # trim() of both engines strips blanks only, so lines keep tabs and carriage returns alike.
 LINES_SQL = """
@@ -53,6 +57,8 @@ la AS (SELECT doc_id, list_filter(list_transform(string_split(labels, chr(10)),
 pairs AS (SELECT doc_id, i - 1 AS position, l[i] AS raw_label, v[i] AS raw_value
   FROM (SELECT *, unnest(range(1, least(len(l), len(v)) + 1)) AS i FROM la))
 """
+_BARE_NAME = reduce(lambda x, word: f"replace({x}, '{word}', '')", settings.NAME_QUALIFIERS, "trim(raw_label)")
+_NAME_SQL = "CASE " + " ".join(f"WHEN contains(lower({_BARE_NAME}), '{p.lower()}') THEN '{p}'" for p in PHRASES) + f" ELSE {_BARE_NAME} END"
 _FIRST_VALUE = ("list_filter(regexp_extract_all(trim({c}), '[\\(]?[0-9,]+\\.?[0-9]*[\\)]?'), "
                 "lambda t: length(translate(t, ',()', '')) >= 2)[1]")
 
@@ -70,6 +76,15 @@ def cell_alignment(t: Tables):
         "doc_id", "position", F.md5("raw_label").alias("label_digest"), F.md5("raw_value").alias("value_digest"))
 
 
+@query("cell_items", sql=f"""WITH {_PAIRED_SQL}, f AS (SELECT doc_id, position, {_NAME_SQL} AS line_item,
+  {_FIRST_VALUE.format(c='raw_value')} AS value FROM pairs WHERE {_financial('raw_label')})
+SELECT doc_id, {big('position', 'position')}, md5(line_item) AS item_digest, value FROM f WHERE value IS NOT NULL""")
+def cell_items(t: Tables):
+    """Aligned cells through all steps: filter of the labels, clean names, first values."""
+    return X.aligned_items(_paired(t), ["doc_id"], "labels", "amounts", SKIP, WORDS, PHRASES).select(
+        "doc_id", "position", F.md5("line_item").alias("item_digest"), "value")
+
+
 @query("first_financial_value", sql=f"WITH {LINES_SQL}, f AS (SELECT doc_id, line_no, {_FIRST_VALUE.format(c='line')} AS value FROM lines) "
        f"SELECT doc_id, {big('line_no', 'line_no')}, value FROM f WHERE value IS NOT NULL")
 def first_financial_value(t: Tables):

@@ -203,3 +203,31 @@ def test_thinned_times_keep_every_count():
             for t in range(-window, 4 * window):
                 count = lambda of: sum(t - window <= x <= t for x in of)
                 assert min(enough, count(times)) == min(enough, count(kept))
+
+
+def test_latest_by_packed_order(spark, rows):
+    """Time, then number, nulls first, over the whole range of both; the aggregate sorts no rows."""
+    lowest, highest = -2**63, 2**63 - 1
+    day = lambda y: dt.datetime(y, 1, 1)
+    data = [("a", day(2020), 1, 1.0), ("a", day(2020), 2, 2.0), ("a", None, highest, 3.0),
+            ("b", day(1), lowest, 1.0), ("b", day(1), None, 2.0), ("b", None, highest, 3.0),
+            ("c", day(9999), highest, 1.0), ("c", day(9999), highest - 1, 2.0), ("c", day(9998), highest, 3.0),
+            ("d", None, None, 7.0), ("e", day(1960), -5, 1.0), ("e", day(1960), -6, 2.0)]
+    for kind in ("timestamp", "timestamp_ntz"):
+        ev = spark.createDataFrame(data, f"name string, ts {kind}, event_id long, value double")
+        got = E.perf_summary(ev)
+        assert rows(got.select("name", "latest")) == [("a", 2.0), ("b", 1.0), ("c", 1.0), ("d", 7.0), ("e", 1.0)]
+        assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    texts = spark.createDataFrame([("a", day(2020), "x", 1.0), ("a", day(2020), "y", 2.0)], "name string, ts timestamp, event_id string, value double")
+    assert rows(E.perf_summary(texts).select("latest")) == [(2.0,)]
+
+
+def test_alerts_since_equal_recent_ones_of_all(spark, rows):
+    start = dt.datetime(2024, 1, 1)
+    data = [(i, start + dt.timedelta(seconds=37 * (i * i % 97)) if i % 10 else None, f"e{i % 3}", "CRITICAL" if i % 7 == 0 else "ERROR", "m")
+            for i in range(120)]
+    errors = spark.createDataFrame(data, "event_id long, ts timestamp, error_id string, severity string, message string")
+    since = F.lit(start + dt.timedelta(seconds=1500))
+    want = rows(E.recent_alerts(E.all_alerts(errors, 4, 3, 60), since))
+    assert {r[0] for r in want} == {"REPEATED_ERROR", "CRITICAL_ERROR", "HIGH_ERROR_RATE"}
+    assert rows(E.alerts_since(errors, since, 4, 3, 60)) == want
