@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledger_spark.llm.shipping import ship
+from ledger_spark.llm.texts import lean
 
 EDIT_RATE = 0.1
 BLOCK_CHARS = 4_000_000
@@ -159,7 +160,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, cha
                 yield pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "item_id": [r[1] for r in rows],
                                     "distance": [r[2] for r in rows]}).astype({"item_id": "int64", "distance": "int64"})
 
-        out = out.union(texts.mapInPandas(run, "doc_id long, item_id long, distance long"))
+        out = out.union(texts.mapInPandas(lean(run), "doc_id long, item_id long, distance long"))
     return out
 
 

@@ -9,6 +9,9 @@ import zipfile
 from pyspark.sql import SparkSession
 
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Adaptive execution merges small shuffle partitions up to this size, and cuts skewed ones to it.
+MERGED_BYTES = 16 << 20
+_MERGED = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 _BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 _SENT: set[str] = set()
 
@@ -17,9 +20,12 @@ def ship(spark: SparkSession) -> None:
     """Add the package's sources as a zip file to the application; Spark copies it to every executor.
 
     Texts are long, so Arrow batches get `BATCH_ROWS` rows and `BATCH_BYTES` bytes (a longer row stands alone) unless the
-    session asks for fewer: the memory of a batch stays with the executor once it was used.
+    session asks for fewer: the memory of a batch stays with the executor once it was used.  For the same reason shuffle
+    partitions are merged up to `MERGED_BYTES` only, where the session has Spark's own size for it.
     """
     context = spark.sparkContext
+    if spark.conf.get(_MERGED).lower() in ("64mb", "64m", str(64 << 20), f"{64 << 20}b"):
+        spark.conf.set(_MERGED, MERGED_BYTES)
     if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
         spark.conf.set(_BATCH, BATCH_ROWS)
     most = spark.conf.get(_BYTES).lower().removesuffix("b")  # a number of bytes unless the session spelled it with a unit
