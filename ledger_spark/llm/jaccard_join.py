@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ledger_spark.llm.graph import components
 from ledger_spark.llm.shipping import ship
 from ledger_spark.llm.texts import U64, lean, mix, release, shingle_sets
-from ledger_spark.session import written
+from ledger_spark.session import dropped, written
 
 HASHES = 8
 ALIKE = 4
@@ -257,13 +257,28 @@ def linked_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     classes = written(sets.where("n > 0").groupBy("cid").agg(
         F.min("key").alias("rep"), F.min("doc_id").alias("name"), F.min("n").alias("n"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(HASHES)]),
         "classes")
+    rows = written(sets.select("doc_id", "n", "cid"), "rows")
     alike = written(_alike(classes, percent), "alike")
     ends = alike.select(F.col("a").alias("cid")).union(alike.select("b")).distinct()
-    links = written(_verified(_wanted(docs, classes, ends, words), alike, percent), "links")
+    whole = _wanted(docs, classes, ends, words)
+    links = written(_verified(whole, alike, percent), "links")
+    dropped(whole)
     groups = components(links)
-    found = _between(docs, sets, classes, groups, words, percent)
+    placed, kept = _placed(sets, classes, groups)
+    dropped(sets)
+    found = _between(docs, placed, kept, classes, words, percent)
     labels = components(links.union(found))
-    return _answer(sets, classes, labels)
+    return _answer(rows, classes, labels)
+
+
+def _placed(sets: DataFrame, classes: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cid, key, n, g, many): the group of each class and whether it has many; and the kept parts of the classes' sets with it."""
+    member = groups.select(F.col("node").alias("cid"), F.col("label").alias("g"))
+    placed = written(classes.select("cid", F.col("rep").alias("key"), "n").join(member, "cid", "left").select(
+        "cid", "key", "n", F.coalesce("g", "cid").alias("g"), F.col("g").isNotNull().alias("many")), "placed")
+    return placed, written(sets.where("size(subs) > 0").select("key", "cid", "subs").join(
+        placed, ["cid", "key"]).select("cid", "g", "many", "n", F.explode("subs").alias("sub")).select(
+        "cid", "g", "many", "n", "sub.*"), "kept")
 
 
 def _outside(kept: DataFrame) -> DataFrame:
@@ -272,7 +287,9 @@ def _outside(kept: DataFrame) -> DataFrame:
     marked = written(_matrix_rows(kept, max(256, -(-total // BUCKET_TOKENS))), "matrix")
     inside = kept.where("many").select("cid", "g", F.explode("tokens").alias("token")).join(
         marked.where("many").select(F.col("id").alias("g"), "token").distinct(), ["g", "token"]).select("cid", "token")
-    return written(marked.where("not many").select(F.col("id").alias("cid"), "token").union(inside), "outside")
+    outside = written(marked.where("not many").select(F.col("id").alias("cid"), "token").union(inside), "outside")
+    dropped(marked)
+    return outside
 
 
 def _open(kept: DataFrame, outside: DataFrame) -> DataFrame:
@@ -281,15 +298,11 @@ def _open(kept: DataFrame, outside: DataFrame) -> DataFrame:
     return outside.groupBy("cid").agg(F.count("*").alias("shared")).join(slack, "cid").where("shared > slack").select("cid")
 
 
-def _between(docs: DataFrame, sets: DataFrame, classes: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes of different groups, enough to connect all that such links connect."""
-    member = groups.select(F.col("node").alias("cid"), F.col("label").alias("g"))
-    placed = written(classes.select("cid", F.col("rep").alias("key"), "n").join(member, "cid", "left").select(
-        "cid", "key", "n", F.coalesce("g", "cid").alias("g"), F.col("g").isNotNull().alias("many")), "placed")
-    kept = written(sets.where("size(subs) > 0").select("key", "cid", "subs").join(
-        placed, ["cid", "key"]).select("cid", "g", "many", "n", F.explode("subs").alias("sub")).select(
-        "cid", "g", "many", "n", "sub.*"), "kept")
-    may = written(_open(kept, _outside(kept)), "open")
+def _between(docs: DataFrame, placed: DataFrame, kept: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of different groups, enough to connect all that such links connect.  `kept` is dropped."""
+    outside = _outside(kept)
+    may = written(_open(kept, outside), "open")
+    dropped(kept, outside)
     # The sets left over, now with all their tokens: the same bound is several times as tight.
     whole = _wanted(docs, classes, may, words)
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -298,6 +311,7 @@ def _between(docs: DataFrame, sets: DataFrame, classes: DataFrame, groups: DataF
     outside = _outside(full)
     rows = outside.distinct().join(_open(full, outside), "cid", "left_semi").join(full.select("cid", "g", "n", "need").distinct(), "cid")
     rows = written(rows, "rows")
+    dropped(full, outside)
     often = rows.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
     one = W.partitionBy("cid")
     # Tokens in the order of how many sets have them; `left` counts those from a token on.
@@ -306,6 +320,7 @@ def _between(docs: DataFrame, sets: DataFrame, classes: DataFrame, groups: DataF
     prefix = written(placed_rows.where(F.col("rank") <= F.col("need") - F.col("n") + F.col("with")).select(
         "token", "cid", "g", "n", (F.col("with") - F.col("rank") + 1).alias("left"),
         ((F.col("n") - F.col("with")) / F.col("n")).alias("own")), "prefix")
+    dropped(rows)
     central = prefix.groupBy("token").agg(F.min(F.struct("own", "cid", "g", "n", "left")).alias("c")).select("token", "c.*")
     near = _compatible(prefix, central, percent)
     first = written(near.select("a", "b").distinct(), "central")
@@ -314,7 +329,9 @@ def _between(docs: DataFrame, sets: DataFrame, classes: DataFrame, groups: DataF
     prefix = written(prefix.drop("own").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select(
         "token", "cid", "n", "left", F.coalesce("label", "g").alias("g")), "prefix")
     pairs = written(_compatible(prefix, prefix, percent).where("a < b").select("a", "b").distinct(), "pairs")
-    return written(_verified(whole, pairs, percent).union(more), "links")
+    links = written(_verified(whole, pairs, percent).union(more), "links")
+    dropped(whole)
+    return links
 
 
 def _compatible(prefix: DataFrame, others: DataFrame, percent: int) -> DataFrame:

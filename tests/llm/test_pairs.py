@@ -1,5 +1,6 @@
 """Set join, leak matching and nearest neighbours against brute force."""
 
+import os
 import random
 import re
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 
 from ledger_spark.llm import decontaminate, graph, jaccard_join, projection_forest
+from ledger_spark.session import shared_dir
 
 from .conftest import SF
 
@@ -81,6 +83,15 @@ def test_rows_without_id_carry_links(spark):
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted([(1, 1), (2, 1), (None, 1), (None, 1), (None, None)], key=str)
 
 
+def test_join_keeps_only_tables_that_are_still_read(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = set(os.listdir(shared_dir(spark)))
+    got = jaccard_join.linked_groups(docs)
+    left = {n.split("-")[0] for n in set(os.listdir(shared_dir(spark))) - before}
+    assert got.count() == docs.count()
+    assert not left & {"shingles", "kept", "matrix", "outside", "sets"} and {"rows", "classes"} <= left
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100), (200, 201), (201, 202), (7, None)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -1,5 +1,8 @@
 """Sizing, scratch paths and lineage cuts."""
 
+import os
+from urllib.parse import unquote, urlparse
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,3 +45,15 @@ def test_scratch_needs_a_shared_folder_off_local_mode():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         S.scratch_path(Session(), "x")
+
+
+def test_written_tables_leave_no_shuffle_files_and_can_be_dropped(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffles = lambda: {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+    before = shuffles()
+    table = S.written(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "a b")
+    assert not shuffles() - before
+    assert spark.conf.get(S._CLEANUP) == "false" and table.count() == 10
+    folder = os.path.dirname(unquote(urlparse(table.inputFiles()[0]).path))
+    S.dropped(table.select("k"))
+    assert not os.path.exists(folder) and os.path.exists(os.path.dirname(folder))
