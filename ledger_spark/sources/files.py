@@ -10,6 +10,8 @@ from ledger_spark import settings
 from ledger_spark.functions import values as V
 
 _FILE, _BLOCK, _POS = "_src_file", "_src_block", "_src_pos"
+#: Lines of a split that are put in order together, and bytes of the files whose lines one task puts in order.
+PIECE_LINES, TASK_BYTES = 8192, 4 << 20
 
 
 def _tidy_header(name: str) -> str:
@@ -33,8 +35,9 @@ def _read_csv(spark: SparkSession, path, with_position: bool = False, extra: lis
 #
 # A file is read by lines, so its splits go to many tasks.  Whether a line begins inside a quoted cell depends on all
 # before it, but a line does to either state what its own quotes say: it keeps it, turns it over, or ends in one state
-# whatever came before.  Such steps can be put together in any grouping.  Each split is run through for both states that it may
-# begin in, the splits of a file are put together in order, and then every split knows its state and its first record's number.
+# whatever came before.  Such steps can be put together in any grouping.  A split is cut into pieces of a bounded number of lines.
+# Each piece is run through for both states that it may begin in, the pieces of a file are put together in order, and then every
+# piece knows its state and its first record's number.  So no task sorts a split, whose lines may need twenty times its bytes.
 
 def _quote_step(state: Column, before: Column) -> Column:
     """The state behind a quote; `before` is the text between it and the quote before.
@@ -60,38 +63,43 @@ def _state(first: Column, turns: Column, fixed: Column) -> Column:
 
 
 def _marked_lines(spark: SparkSession, path, extra: list[str], fallback: bool) -> DataFrame:
-    """Lines with `_on`/`_off`, the ends from either state, `_turns` and `_fixed` before them in their split."""
+    """Lines with `_on`/`_off`, the ends from either state, `_turns` and `_fixed` before them in their piece, and
+    `_starts0`/`_starts1`, the records that begin in the piece up to them if it begins in state 0 or 1."""
     lines = spark.read.option("lineSep", "\n").text(path).select(
         "value", *extra, F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK),
         F.monotonically_increasing_id().alias("_at"))
     if fallback:
         lines = utf8_or_latin1(lines, "value", _FILE)
+    # A given number of partitions is not merged again by the size of their compressed bytes.
+    size = scan_binary(spark, path).agg(F.sum("length")).first()[0] or 0
+    lines = lines.withColumn("_piece", F.floor(F.col("_at") / PIECE_LINES)).repartition(-(-size // TASK_BYTES) or 1, _FILE, _BLOCK, "_piece")
     ends = lines.withColumns({"_off": _inside_after(F.col("value"), 0), "_on": _inside_after(F.col("value"), 1)})
-    split = W.partitionBy(_FILE, _BLOCK).orderBy("_at")
+    piece = W.partitionBy(_FILE, _BLOCK, "_piece").orderBy("_at")
     turn = ((F.col("_off") == 1) & (F.col("_on") == 0)).cast("long")
-    turned = ends.withColumn("_upto", F.sum(turn).over(split))
+    turned = ends.withColumn("_upto", F.sum(turn).over(piece))
     fixed = F.when(F.col("_off") == F.col("_on"), F.col("_off") + F.col("_upto"))
-    before = split.rowsBetween(W.unboundedPreceding, -1)
-    return turned.withColumns({"_turns": F.col("_upto") - turn, "_mark": fixed,
-                               "_fixed": F.last(fixed, ignorenulls=True).over(before)})
+    before = piece.rowsBetween(W.unboundedPreceding, -1)
+    marked = turned.withColumns({"_turns": F.col("_upto") - turn, "_mark": fixed,
+                                 "_fixed": F.last(fixed, ignorenulls=True).over(before)})
+    filled = F.trim(F.regexp_replace("value", "\r$", "")) != ""
+    return marked.withColumns({f"_starts{first}": F.sum(
+        ((_state(F.lit(first), F.col("_turns"), F.col("_fixed")) == 0) & filled).cast("long")).over(piece) for first in (0, 1)})
 
 
-def _split_starts(marked: DataFrame) -> DataFrame:
-    """(file, block, _first, _before, _crlf): the state at each split's start, the records that begin before it in the
+def _piece_starts(marked: DataFrame) -> DataFrame:
+    """(file, block, piece, _first, _before, _crlf): the state at each piece's start, the records that begin before it in the
     file, and whether the file's first line ends in \\r\\n."""
-    filled = F.trim(F.regexp_replace("value", "\r$", "")) != ""
-    starts = [((_state(F.lit(first), F.col("_turns"), F.col("_fixed")) == 0) & filled).cast("long") for first in (0, 1)]
-    splits = marked.groupBy(_FILE, _BLOCK).agg(
+    pieces = marked.groupBy(_FILE, _BLOCK, "_piece").agg(
         F.max("_upto").alias("_all"), F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("_at"))).alias("_last"),
-        F.min_by(F.col("value").endswith("\r"), "_at").alias("_cr"), *[F.sum(s).alias(f"_starts{i}") for i, s in enumerate(starts)])
-    order = W.partitionBy(_FILE).orderBy(_BLOCK)
+        F.min_by(F.col("value").endswith("\r"), "_at").alias("_cr"), *[F.max(f"_starts{i}").alias(f"_starts{i}") for i in (0, 1)])
+    order = W.partitionBy(_FILE).orderBy(_BLOCK, "_piece")
     before = order.rowsBetween(W.unboundedPreceding, -1)
-    # The same sums once more, over the few splits of a file.
-    upto = splits.withColumn("_sum", F.sum("_all").over(order))
+    # The same sums once more, over the few pieces of a file.
+    upto = pieces.withColumn("_sum", F.sum("_all").over(order))
     fixed = F.when(F.col("_last").isNotNull(), F.col("_last") + F.col("_all") + F.col("_sum"))
     first = upto.withColumn("_first", _state(F.lit(0), F.col("_sum") - F.col("_all"), F.last(fixed, ignorenulls=True).over(before)))
     count = F.when(F.col("_first") == 0, F.col("_starts0")).otherwise(F.col("_starts1"))
-    return first.select(F.col(_FILE).alias("_of"), F.col(_BLOCK).alias("_from"), "_first",
+    return first.select(F.col(_FILE).alias("_of"), F.col(_BLOCK).alias("_from"), F.col("_piece").alias("_part"), "_first",
                         F.coalesce(F.sum(count).over(before), F.lit(0)).alias("_before"), F.first("_cr").over(order).alias("_crlf"))
 
 
@@ -104,14 +112,13 @@ def csv_records(spark: SparkSession, path, extra: list[str] = (), fallback: bool
     record of the rest of its file.
     """
     marked = _marked_lines(spark, path, list(extra), fallback)
-    starts = _split_starts(marked)
-    known = marked.join(starts, (F.col(_FILE) == F.col("_of")) & (F.col(_BLOCK) == F.col("_from")))
+    starts = _piece_starts(marked)
+    known = marked.join(starts, (F.col(_FILE) == F.col("_of")) & (F.col(_BLOCK) == F.col("_from")) & (F.col("_piece") == F.col("_part")))
     inside = _state(F.col("_first"), F.col("_turns"), F.col("_fixed"))
     after = F.when(inside == 1, F.col("_on")).otherwise(F.col("_off"))
     blank = F.trim(F.regexp_replace("value", "\r$", "")) == ""
-    split = W.partitionBy(_FILE, _BLOCK).orderBy("_at")
-    lines = known.withColumns({"_starts": (inside == 0) & ~blank, "_ends": after == 0}).where(~((inside == 0) & blank)).withColumn(
-        _POS, F.col("_before") + F.sum(F.col("_starts").cast("long")).over(split))
+    place = F.col("_before") + F.when(F.col("_first") == 0, F.col("_starts0")).otherwise(F.col("_starts1"))
+    lines = known.withColumns({"_starts": (inside == 0) & ~blank, "_ends": after == 0, _POS: place}).where(~((inside == 0) & blank))
     whole = F.col("_starts") & F.col("_ends")
     clean = lambda c: F.regexp_replace(c, "\r$", "").alias("record")
     single = lines.where(whole).select(_FILE, _BLOCK, _POS, clean("value"), *extra)
@@ -173,7 +180,8 @@ def _row_numbers(df: DataFrame, group: list[str], name: str, offset: int) -> Dat
     gives where each split begins.
     """
     key = [*group, _FILE, _BLOCK]
-    if _POS in df.columns:  # records, which tasks no longer hold in order: their places count inside a split
+    if _POS in df.columns:  # records, which tasks no longer hold in order: their places count, in pieces of a file
+        df = df.withColumn(_BLOCK, F.floor(F.col(_POS) / PIECE_LINES))
         marked = df.withColumn("_mono", F.row_number().over(W.partitionBy(*key).orderBy(_POS))).drop(_POS)
     else:
         marked = df.withColumn("_mono", F.monotonically_increasing_id())

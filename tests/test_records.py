@@ -49,6 +49,23 @@ def test_records_equal_the_whole_file_reader(spark, tmp_path, small_splits, seed
     assert "Python" not in plan and "multiLine=true" not in plan.replace(" ", "")
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_a_split_is_put_in_order_by_pieces(spark, tmp_path, monkeypatch, end):
+    monkeypatch.setattr(files, "PIECE_LINES", 7)
+    monkeypatch.setattr(files, "TASK_BYTES", 500)
+    for seed in (3, 4):
+        (tmp_path / f"{seed}.csv").write_bytes(csv_text(random.Random(seed), 150, end).encode())
+    marked = files._marked_lines(spark, str(tmp_path), [], False)
+    assert marked.select(files._FILE, files._BLOCK).distinct().count() == 2
+    assert marked.groupBy(files._FILE, files._BLOCK, "_piece").count().agg({"count": "max"}).first()[0] <= 7
+    assert marked.rdd.getNumPartitions() >= 8
+    whole = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path))
+    assert rows_of(files._read_csv(spark, str(tmp_path), multi_line=True)) == rows_of(whole)
+    numbers = files.scan_csv_na(spark, str(tmp_path), multi_line=True)
+    first = [r.one for r in numbers.where("_row_number <= 40").orderBy("_row_number").collect()]
+    assert sorted(first) == sorted([f"r{i}" for i in range(40)] * 2) and numbers.count() == 300
+
+
 def test_row_numbers_over_splits(spark, tmp_path, small_splits):
     lines = ["k,note,none"]
     for i in range(200):
