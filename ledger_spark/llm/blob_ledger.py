@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ledger_spark.session import scratch_path
+from ledger_spark.session import empty_frame, scratch_path
 
 _OPEN, _CLOSE, _NEUTRAL = "\x01", "\x02", "\x03"
 
@@ -77,7 +77,7 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     exists = spark._jvm.org.apache.hadoop.fs.Path(path)
     if exists.getFileSystem(spark._jsc.hadoopConfiguration()).exists(exists):
         return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    return empty_frame(spark, schema)
 
 
 def update(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pandas as pd
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledger_spark.llm.shipping import ship
 from ledger_spark.llm.texts import lean
+from ledger_spark.session import empty_frame
 
 EDIT_RATE = 0.1
 BLOCK_CHARS = 4_000_000
@@ -148,8 +150,9 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, cha
     """
     spark = docs.sparkSession
     ship(spark)
-    out = spark.createDataFrame([], "doc_id long, item_id long, distance long")
+    schema = "doc_id long, item_id long, distance long"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    parts = []
     for block in blocks(items, chars):
         shared = spark.sparkContext.broadcast((block, rate))
 
@@ -160,8 +163,8 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, cha
                 yield pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "item_id": [r[1] for r in rows],
                                     "distance": [r[2] for r in rows]}).astype({"item_id": "int64", "distance": "int64"})
 
-        out = out.union(texts.mapInPandas(lean(run), "doc_id long, item_id long, distance long"))
-    return out
+        parts.append(texts.mapInPandas(lean(run), schema))
+    return reduce(lambda a, b: a.union(b), parts) if parts else empty_frame(spark, schema)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,26 +113,24 @@ def _sketch(ids: DataFrame) -> np.ndarray:
 def _tokens_of(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """(cid, tokens): the whole sets of `classes` (cid, rep), read from the texts of their representatives.
 
-    A sketch of the ids keeps most other texts out of the shuffle; it is of a fixed size, and passes more as it fills.
+    A sketch of the ids keeps most other texts out of the work and the shuffle; it is of a fixed size, and passes more as it
+    fills.  Sifting and reading are one Python step: two of them in one stage would hold twice as many workers, which stay.
     """
     wanted = written(classes.select(F.col("rep").alias("key"), "cid"), "wanted")
     bits = docs.sparkSession.sparkContext.broadcast(_sketch(wanted.select("key")))
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = _slots(batch.column(0))
-            yield batch.filter(pa.array((bits.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [(c, t.view(np.int64)) for c, t in zip(batch.column(1).to_pylist(), shingle_sets(batch.column(0), words))
-                    if len(t) and _class_id(t) == c]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()),
-                                              pa.array([k[1] for k in kept], pa.list_(pa.int64()))],
-                                             names=["cid", "tokens"])
-
-    passed = docs.select("key", "text").mapInArrow(lean(sift), "key long, text string")
-    return passed.join(wanted, "key").select("text", "cid").mapInArrow(lean(run), "cid long, tokens array<bigint>")
+            slot = _slots(batch.column(0))
+            batch = batch.filter(pa.array((bits.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)))
+            kept = [(k, _class_id(t), t.view(np.int64)) for k, t in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words))
+                    if len(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64()),
+                                              pa.array([k[2] for k in kept], pa.list_(pa.int64()))],
+                                             names=["key", "cid", "tokens"])
+
+    passed = docs.select("key", "text").mapInArrow(lean(run), "key long, cid long, tokens array<bigint>")
+    return passed.join(wanted, ["key", "cid"]).select("cid", "tokens")
 
 
 def _wanted(docs: DataFrame, classes: DataFrame, cids: DataFrame, words: int) -> DataFrame:

@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from ledger_spark.llm import decontaminate, graph, jaccard_join, projection_forest
-from ledger_spark.session import shared_dir
+from ledger_spark.llm import blob_ledger, decontaminate, graph, jaccard_join, projection_forest
+from ledger_spark.session import scratch_path, shared_dir
 
 from .conftest import SF
 
@@ -92,6 +93,29 @@ def test_join_keeps_only_tables_that_are_still_read(spark):
     assert not left & {"shingles", "kept", "matrix", "outside", "sets"} and {"rows", "classes"} <= left
 
 
+def test_join_reads_whole_sets_in_one_python_step(spark):
+    texts = {1: "a b c d e f", 2: "x", 3: None, 4: "", 5: "a b c d e f g"}
+    docs = spark.createDataFrame(list(texts.items()), "key long, text string")
+    cids = {k: jaccard_join._class_id(t) for k, t in zip(texts, jaccard_join.shingle_sets(pa.array(texts.values(), pa.string()), 4)) if len(t)}
+    # Class 1 is asked for by its own key and, as by a chance of keys, by that of another text.
+    wanted = spark.createDataFrame([(1, cids[1]), (5, cids[1]), (2, cids[2]), (3, 7)], "rep long, cid long")
+    got = jaccard_join._tokens_of(docs, wanted, 4)
+    assert sorted((r.cid, len(r.tokens)) for r in got.collect()) == sorted([(cids[1], 3), (cids[2], 1)])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_empty_frames_need_no_python_workers(spark):
+    items = spark.createDataFrame([(1, "the cat sat on the mat")], "item_id long, text string")
+    docs = spark.range(2).selectExpr("id as doc_id", "'the cat sat on the mat' as text")
+    for of, rows in ((items, 2), (items.where("false"), 0)):
+        got = decontaminate.contaminated(docs, of)
+        assert got.schema.simpleString() == "struct<doc_id:bigint,item_id:bigint,distance:bigint>" and got.count() == rows
+        assert "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()
+    table = blob_ledger._table(spark, scratch_path(spark, "none"), "blob string, place long")
+    assert table.schema.simpleString() == "struct<blob:string,place:bigint>" and table.count() == 0
+    assert "ExistingRDD" not in table._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100), (200, 201), (201, 202), (7, None)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
