@@ -16,11 +16,13 @@ read; at most two rows of it per batch travel on.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ledger_spark.llm.graph import components
@@ -35,6 +37,8 @@ LEVELS = ((0, 1.0), (64, 0.35), (256, 0.10), (1024, 0.05))
 BUCKET_TOKENS = 200_000
 BATCH_TOKENS = 250_000
 SKETCH_BITS = 24
+#: The token-group matrix is made in so many passes over the kept tokens, of which only one's stand on disk in shuffle files.
+SLICES = 4
 _SALTS = [U64(x) for x in np.random.default_rng(11).integers(1, 1 << 62, 64) * 2 + 1]
 _SETS = ("key long, doc_id long, n long, cid long, " + ", ".join(f"m{i} long" for i in range(HASHES))
          + ", subs array<struct<kept:int,need:int,tokens:array<bigint>>>")
@@ -96,6 +100,11 @@ def _slots(ids: pa.Array) -> np.ndarray:
     return (mix(ids.to_numpy(zero_copy_only=False).view(U64)) & U64((1 << SKETCH_BITS) - 1)).astype(np.int64)
 
 
+def _in_sketch(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
+    slot = _slots(ids)
+    return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def _sketch(ids: DataFrame) -> np.ndarray:
     """A bit map of a fixed size with the hash of each id set, made in few tasks and joined on the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +130,7 @@ def _tokens_of(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = _slots(batch.column(0))
-            batch = batch.filter(pa.array((bits.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)))
+            batch = batch.filter(pa.array(_in_sketch(bits.value, batch.column(0))))
             kept = [(k, _class_id(t), t.view(np.int64)) for k, t in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words))
                     if len(t)]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64()),
@@ -166,11 +174,12 @@ def _alike(classes: DataFrame, percent: int) -> DataFrame:
         (same >= ALIKE) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))).select("a", "b")
 
 
-def _matrix_rows(kept: DataFrame, buckets: int) -> DataFrame:
-    """(id, many, part, token): the kept tokens that lie in the unions of two groups or more.
+def _matrix_rows(kept: DataFrame, buckets: int, part: int = 0, parts: int = 1, bits: Broadcast | None = None) -> DataFrame:
+    """(id, many, token): the kept tokens that lie in the unions of two groups or more, of one of `parts` equal ranges of tokens.
 
     `id` is the group; one that has not `many` classes is named by its only one.  Batches of sets are cut into buckets of tokens and travel as byte
-    strings; a token that two groups of a batch share is marked there and then, and two rows of it travel on.
+    strings; a token that two groups of a batch share is marked there and then, and two rows of it travel on.  With `bits`, rows of `kept` that
+    are `loose` are left out if the sketch has their class, as these come again with their group.
     """
     names = ["bucket", "tokens", "groups", "flags"]
 
@@ -207,12 +216,16 @@ def _matrix_rows(kept: DataFrame, buckets: int) -> DataFrame:
         held: list[list[np.ndarray]] = []
         size = 0
         for batch in batches:
+            if bits is not None:
+                loose = batch.column("loose").to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(~(loose & _in_sketch(bits.value, batch.column("g")))))
             tokens = batch.column("tokens")
             counts = np.diff(tokens.offsets.to_numpy())
             flat = tokens.flatten().to_numpy(zero_copy_only=False)
             many = batch.column("many").to_numpy(zero_copy_only=False).astype(np.uint8)
-            held.append([flat, np.repeat(batch.column("g").to_numpy(), counts), np.repeat(many, counts)])
-            size += len(flat)
+            here = (flat.view(U64) >> U64(32)) * U64(parts) >> U64(32) == part
+            held.append([x[here] for x in (flat, np.repeat(batch.column("g").to_numpy(), counts), np.repeat(many, counts))])
+            size += len(held[-1][0])
             if size >= BATCH_TOKENS:
                 yield cut(*map(np.concatenate, zip(*held)))
                 held, size = [], 0
@@ -236,7 +249,7 @@ def _matrix_rows(kept: DataFrame, buckets: int) -> DataFrame:
         release()
         return out
 
-    dealt = kept.select("g", "many", "tokens").mapInArrow(lean(deal), "bucket long, tokens binary, groups binary, flags binary")
+    dealt = kept.select("g", "many", "tokens", *["loose"] * (bits is not None)).mapInArrow(lean(deal), "bucket long, tokens binary, groups binary, flags binary")
     return dealt.groupBy("bucket").applyInPandas(meet, "id long, many boolean, token long")
 
 
@@ -253,7 +266,7 @@ def linked_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     docs = docs.select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(shingle_table(docs, words, percent), "shingles")
     classes = written(sets.where("n > 0").groupBy("cid").agg(
-        F.min("key").alias("rep"), F.min("doc_id").alias("name"), F.min("n").alias("n"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(HASHES)]),
+        F.min("key").alias("rep"), F.min("doc_id").alias("name"), F.count("*").alias("copies"), F.min("n").alias("n"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(HASHES)]),
         "classes")
     rows = written(sets.select("doc_id", "n", "cid"), "rows")
     alike = written(_alike(classes, percent), "alike")
@@ -262,31 +275,55 @@ def linked_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     links = written(_verified(whole, alike, percent), "links")
     dropped(whole)
     groups = components(links)
-    placed, kept = _placed(sets, classes, groups)
-    dropped(sets)
-    found = _between(docs, placed, kept, classes, words, percent)
+    placed = _placed(classes, groups)
+    found = _between(docs, sets, placed, classes, words, percent)
     labels = components(links.union(found))
     return _answer(rows, classes, labels)
 
 
-def _placed(sets: DataFrame, classes: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cid, key, n, g, many): the group of each class and whether it has many; and the kept parts of the classes' sets with it."""
+def _placed(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(cid, key, n, g, many, loose): the group of each class and whether it has many; `loose`: a class of one row and a group of its own."""
     member = groups.select(F.col("node").alias("cid"), F.col("label").alias("g"))
-    placed = written(classes.select("cid", F.col("rep").alias("key"), "n").join(member, "cid", "left").select(
-        "cid", "key", "n", F.coalesce("g", "cid").alias("g"), F.col("g").isNotNull().alias("many")), "placed")
-    return placed, written(sets.where("size(subs) > 0").select("key", "cid", "subs").join(
-        placed, ["cid", "key"]).select("cid", "g", "many", "n", F.explode("subs").alias("sub")).select(
-        "cid", "g", "many", "n", "sub.*"), "kept")
+    return written(classes.select("cid", F.col("rep").alias("key"), "n", "copies").join(member, "cid", "left").select(
+        "cid", "key", "n", F.coalesce("g", "cid").alias("g"), F.col("g").isNotNull().alias("many"),
+        (F.col("g").isNull() & (F.col("copies") == 1)).alias("loose")), "placed")
+
+
+def _grouped(sets: DataFrame, placed: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """The kept parts (cid, g, many, kept, need, tokens) of the classes that are not loose, one row of each, and a sketch of these classes.
+
+    The others know their group without a join, so they need not travel; some pass the sketch and are joined all the same.
+    """
+    fixed = placed.where("not loose")
+    bits = sets.sparkSession.sparkContext.broadcast(_sketch(fixed.select("cid")))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in_sketch(bits.value, batch.column(0))))
+
+    some = sets.where("size(subs) > 0").select("cid", "key", "subs")
+    passed = some.mapInArrow(lean(run), some.schema)
+    return written(passed.join(placed.drop("n"), ["cid", "key"]).select("cid", "g", "many", F.explode("subs").alias("sub")).select(
+        "cid", "g", "many", "sub.*"), "kept"), bits
 
-def _outside(kept: DataFrame) -> DataFrame:
-    """(cid, token): the kept tokens of each set that the union of some other group has as well."""
-    total = kept.agg(F.sum("kept")).first()[0] or 0
-    marked = written(_matrix_rows(kept, max(256, -(-total // BUCKET_TOKENS))), "matrix")
+
+def _outside(kept: DataFrame, loose: DataFrame | None = None, bits: Broadcast | None = None) -> DataFrame:
+    """(cid, token): the kept tokens of each set that the union of some other group has as well.
+
+    `kept` (cid, g, many, kept, tokens) has a row for each class; or for those in the sketch `bits`, and `loose` (cid, kept, tokens) for all.
+    """
+    every = kept
+    if loose is not None:
+        every = loose.select(F.col("cid").alias("g"), F.lit(False).alias("many"), "kept", "tokens", F.lit(True).alias("loose")).union(
+            kept.select("g", "many", "kept", "tokens", F.lit(False)))
+    total = every.agg(F.sum("kept")).first()[0] or 0
+    buckets = max(256, -(-total // (SLICES * BUCKET_TOKENS)))
+    slices = [written(_matrix_rows(every, buckets, part, SLICES, bits), "matrix") for part in range(SLICES)]
+    marked = functools.reduce(DataFrame.union, slices)
     inside = kept.where("many").select("cid", "g", F.explode("tokens").alias("token")).join(
         marked.where("many").select(F.col("id").alias("g"), "token").distinct(), ["g", "token"]).select("cid", "token")
     outside = written(marked.where("not many").select(F.col("id").alias("cid"), "token").union(inside), "outside")
-    dropped(marked)
+    dropped(*slices)
     return outside
 
 
@@ -296,19 +333,22 @@ def _open(kept: DataFrame, outside: DataFrame) -> DataFrame:
     return outside.groupBy("cid").agg(F.count("*").alias("shared")).join(slack, "cid").where("shared > slack").select("cid")
 
 
-def _between(docs: DataFrame, placed: DataFrame, kept: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes of different groups, enough to connect all that such links connect.  `kept` is dropped."""
-    outside = _outside(kept)
-    may = written(_open(kept, outside), "open")
-    dropped(kept, outside)
+def _between(docs: DataFrame, sets: DataFrame, placed: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of different groups, enough to connect all that such links connect.  `sets` is dropped."""
+    kept, bits = _grouped(sets, placed)
+    parts = sets.select("cid", F.explode("subs").alias("sub")).select("cid", "sub.*")
+    outside = _outside(kept, parts, bits)
+    may = written(_open(parts, outside), "open")
+    dropped(kept, outside, sets)
     # The sets left over, now with all their tokens: the same bound is several times as tight.
     whole = _wanted(docs, classes, may, words)
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    full = written(whole.join(placed.drop("key"), "cid").select(
+    full = written(whole.join(placed.select("cid", "n", "g", "many"), "cid").select(
         "cid", "g", "many", "n", F.col("n").alias("kept"), need.alias("need"), "tokens"), "kept")
     outside = _outside(full)
-    rows = outside.distinct().join(_open(full, outside), "cid", "left_semi").join(full.select("cid", "g", "n", "need").distinct(), "cid")
-    rows = written(rows, "rows")
+    # Joined first: then all is dealt by class, and the rows of open sets alone are made distinct where they are.
+    rows = outside.join(_open(full, outside), "cid", "left_semi").join(full.select("cid", "g", "n", "need").distinct(), "cid")
+    rows = written(rows.distinct(), "rows")
     dropped(full, outside)
     often = rows.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
     one = W.partitionBy("cid")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from ledger_spark.llm import blob_ledger, decontaminate, graph, jaccard_join, projection_forest
-from ledger_spark.session import scratch_path, shared_dir
+from ledger_spark.session import scratch_path, shared_dir, written
 
 from .conftest import SF
 
@@ -93,6 +93,31 @@ def test_join_keeps_only_tables_that_are_still_read(spark):
     assert not left & {"shingles", "kept", "matrix", "outside", "sets"} and {"rows", "classes"} <= left
 
 
+def test_join_keeps_loose_classes_where_they_are_and_makes_the_matrix_in_passes(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [[rng.choice([f"w{i}" for i in range(500)]) for _ in range(30)] for _ in range(60)]
+    near = [texts[0][:29] + ["x"], texts[1], texts[2][:15] + ["y"] + texts[2][16:]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts + near)]
+    made = []
+
+    def noted(df, name):
+        table = written(df, name)
+        made.append((name, table.collect() if name in ("kept", "matrix") else None))
+        return table
+
+    monkeypatch.setattr(jaccard_join, "written", noted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked_groups(
+        spark.createDataFrame(rows, "doc_id long, text string"), 2, 70).collect()}
+    assert got == linked(rows, 2, 70)
+    # Only classes of several rows or of a group travel to learn it: those of texts 0 to 2 and their copies.
+    first = next(t for name, t in made if name == "kept")
+    assert 3 <= len({r.cid for r in first}) <= 8
+    slices = [t for name, t in made if name == "matrix"]
+    assert len(slices) == 2 * jaccard_join.SLICES
+    for i, t in enumerate(slices):
+        assert all(((r.token & (1 << 64) - 1) >> 32) * jaccard_join.SLICES >> 32 == i % jaccard_join.SLICES for r in t)
+
+
 def test_join_reads_whole_sets_in_one_python_step(spark):
     texts = {1: "a b c d e f", 2: "x", 3: None, 4: "", 5: "a b c d e f g"}
     docs = spark.createDataFrame(list(texts.items()), "key long, text string")
