@@ -43,13 +43,24 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     for mark, full, uni, narrow in ((r"\p{L}", r"\p{L}", r"[^\W\d_]", "[A-Za-z]"), (r"\p{N}", r"\p{N}", r"\d", "[0-9]"),
                                     (r"\s", r"\p{White_Space}", r"\s", r"[\t-\r ]"), (r"\S", r"\P{White_Space}", r"\S", r"[^\t-\r ]")):
         wide, word, plain = wide.replace(mark, full), word.replace(mark, uni), plain.replace(mark, narrow)
+    # The contractions as one alternative: only one of them can begin with each letter.
+    word, plain = (x.replace("'s|'t|'re|'ve|'m|'ll|'d|", "'(?:[stmd]|re|ve|ll)|") for x in (word, plain))
     wide, word, plain = regex.compile(wide).findall, re.compile(word).findall, re.compile(plain).findall
     apart = _apart()
+    # Most texts that are not ASCII are Latin-1, where a look for each of a few characters is faster than one at every character.
+    few = [c.encode("latin-1") for c in apart if c < "\u0100"]
+
+    def alike(text: str) -> bool:
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return apart.isdisjoint(text)
+        return not any(c in raw for c in few)
 
     def split(text: str) -> list[str]:
         if text.isascii():
             return plain(text)
-        return word(text) if apart.isdisjoint(text) else wide(text)
+        return word(text) if alike(text) else wide(text)
 
     return split
 

@@ -42,6 +42,17 @@ _FILES = "doc_id long, shard int, before long, n_tokens long, ids array<int>"
 _ENCODERS: dict[tuple[str, str, bool], "Encoder"] = {}
 
 
+def _open(ids: list[bytes | None]) -> list[int]:
+    """The places of None."""
+    places, k = [], -1
+    try:
+        while True:
+            k = ids.index(None, k + 1)
+            places.append(k)
+    except ValueError:
+        return places
+
+
 class Encoder:
     """With `added` the text of an added token is its id, as in the library; without, as in the library with
     `encode_special_tokens` set, it is ordinary text."""
@@ -55,12 +66,15 @@ class Encoder:
         self.added = {mark: struct.pack("<I", i) for mark, i in added.items()}
         self.split = splitter(pattern)
         letters = byte_letters()
-        self.letters = str.maketrans({chr(b): letters[b] for b in range(256)})
+        self.letters = np.array([ord(x) for x in letters], "<u2")
         self.known: dict[str, bytes] = dict(self.added)
         # Whether a token begins with a blank; no token holds one behind another character but blanks and line ends.
         names = tokenizer.get_vocab()
         self.blank = np.zeros(max(names.values()) + 1, bool)
         self.blank[[i for name, i in names.items() if name[0] == letters[32]]] = True
+        # Whether a token is a line end alone: one that stays so between two pieces has kept them apart.
+        self.line = np.zeros(len(self.blank), bool)
+        self.line[[i for name, i in names.items() if name == letters[10]]] = True
 
     def pieces(self, text: str) -> list[str]:
         if not self.marks or not self.marks.search(text):
@@ -70,22 +84,36 @@ class Encoder:
 
     def _ids(self, text: str) -> list[int]:
         """The library's model reads bytes as letters."""
-        return [t.id for t in self.model.tokenize(text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))]
-
-    def learn(self, pieces: set[str]) -> None:
-        # Pieces that a blank begins merge alike in a row and alone, so they go to the model together.
-        rows = [p for p in pieces if p[0] == " " and not p[-1].isspace()]
-        for i in range(0, len(rows), 300):
-            row = rows[i:i + 300]
-            ids = np.array(self._ids("".join(row)), "<u4")
-            at = np.append(np.flatnonzero(self.blank[ids]), len(ids))
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        return [t.id for t in self.model.tokenize(self.letters[raw].tobytes().decode("utf-16-le"))]
+
+    def _learn_rows(self, pieces: list[str], lead: str, leads: np.ndarray, skip: int) -> list[str]:
+        """Learn `pieces` some hundred at a time, each behind `lead`: the first of its tokens is in `leads`, and `skip` of them are not its own.
+
+        Returns those whose tokens could not be told apart.
+        """
+        apart: list[str] = []
+        for i in range(0, len(pieces), 300):
+            row = pieces[i:i + 300]
+            ids = np.array(self._ids(lead + lead.join(row)), "<u4")
+            at = np.append(np.flatnonzero(leads[ids]), len(ids))
             if len(at) == len(row) + 1:
                 raw, ends = ids.tobytes(), (4 * at).tolist()
-                self.known.update({p: raw[x:y] for p, x, y in zip(row, ends, ends[1:])})
-        for piece in pieces:
-            if piece not in self.known:
-                found = self._ids(piece)
-                self.known[piece] = struct.pack(f"<{len(found)}I", *found)
+                self.known.update({p: raw[x + 4 * skip:y] for p, x, y in zip(row, ends, ends[1:])})
+            else:
+                apart += row
+        return apart
+
+    def learn(self, pieces: set[str]) -> None:
+        # Pieces that a blank begins merge alike in a row and alone, so they go to the model together; so do others with line ends between them.
+        blank, bare, alone = [], [], []
+        for p in pieces:
+            (blank if p[0] == " " and not p[-1].isspace() else bare if "\n" not in p and not p[-1].isspace() else alone).append(p)
+        alone += self._learn_rows(blank, "", self.blank, 0)
+        alone += self._learn_rows(bare, "\n", self.line, 1)
+        for piece in alone:
+            found = self._ids(piece)
+            self.known[piece] = struct.pack(f"<{len(found)}I", *found)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
@@ -102,7 +130,7 @@ class Encoder:
                 self.known = dict(islice(self.known.items(), REMEMBERED // 2))
             split = [self.pieces(t) for t in texts[at:to]]
             got = [list(map(self.known.get, pieces)) for pieces in split]
-            open_at = [[k for k, i in enumerate(ids) if i is None] if None in ids else [] for ids in got]
+            open_at = [_open(ids) for ids in got]
             self.learn({pieces[k] for pieces, places in zip(split, open_at) for k in places})
             for pieces, ids, places in zip(split, got, open_at):
                 for k in places:

@@ -273,6 +273,20 @@ def test_token_files_hold_added_tokens_as_the_library_does(spark):
     assert [got[i] for i in range(len(texts))] == [library.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
 
 
+def test_new_pieces_without_a_blank_go_to_the_model_in_rows():
+    from ledger_spark.llm import token_files
+    library = Tokenizer.from_file(FILE)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeéèßЖ日😀") for _ in range(rng.randrange(2, 9))) for _ in range(900)]
+    texts = ["\n".join(words), "\n\xa0".join(words[:50]), "\xa0x\n\xa0\n y\r\nz\t\n", "it's I'll we'd\n'tis 'x ²½ 5²\x1c\x85 é²", "é's ñ'll\x1d\xa0ü", "Ж² 'S"]
+    own = token_files.Encoder(FILE, public_tokenizers.PATTERN)
+    calls, ids = [], own._ids
+    own._ids = lambda text: calls.append(text) or ids(text)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    # One at a time these were some 900 calls.
+    assert len(calls) < 60
+
+
 def test_secrets_stage_counts_characters_and_keeps_odd_columns(spark):
     import corpus_pipeline
     from .test_texts import secrets as plain_spans
